@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import chat, fingerprints, kd_shards, licenses
+from gaugeflow.llm import chat, fingerprints, kd_shards, licenses, ngram_join
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_read(spark, sf_dir, "documents"), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = fingerprints.with_sketch(docs).withColumn("n_chars", F.char_length("text").cast("long"))
@@ -54,5 +58,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_kd_shards, op3_license_scan, op6_scaled_sketch, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_kd_shards, op3_license_scan, op4_ngram_join, op6_scaled_sketch, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
