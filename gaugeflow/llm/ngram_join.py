@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm._graph import components
 from gaugeflow.llm._hashing import SPACED, as_bytes, shingles, word_hashes
+from gaugeflow.llm._packed import BLOCK, by_set, lists, pack_sets, shared_blocks
 from gaugeflow.llm._scratch import Scratch
 
-#: N-grams packed at once in a task, and in one range of hashes, about.
-BLOCK = 1_500_000
 #: Ranges into which the suffix filter divides two sets.
 SUFFIX_PARTS = 16
 
@@ -38,42 +37,6 @@ def _gram_sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield np.unique(shingles(words, width))
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side: the high ones of small numbers compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def _unplanes(raw: memoryview, n: int, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T).view(kind).ravel()
-
-
-def _pack(grams: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, seen: np.ndarray | None = None) -> bytes:
-    """grams sorted; owner numbers their classes, of which keys and sizes tell the id and the n-gram count."""
-    used, owner = np.unique(owner, return_inverse=True)
-    parts = [np.array([len(grams), len(used)], np.int64).tobytes(), _planes(np.diff(grams, prepend=np.uint64(0))), _planes(owner.astype(np.uint32)), keys[used].tobytes(), _planes(sizes[used].astype(np.int32))]
-    return b"".join(parts + ([_planes(seen.astype(np.uint32))] if seen is not None else []))
-
-
-def _unpack(blob: bytes, with_seen: bool = False) -> tuple[np.ndarray, ...]:
-    """grams, their classes' ids and n-gram counts, and in how many classes each is."""
-    view = memoryview(blob)
-    n, k = np.frombuffer(view, np.int64, 2)
-    at = 16
-    grams = np.cumsum(_unplanes(view[at:], n, "u8"), dtype=np.uint64)
-    owner = _unplanes(view[(at := at + 8 * n) :], n, "u4")
-    keys = np.frombuffer(view[(at := at + 4 * n) :], np.int64, k)
-    sizes = _unplanes(view[(at := at + 8 * k) :], k, "i4")
-    seen = (_unplanes(view[at + 4 * k :], n, "u4"),) if with_seen else ()
-    return grams, keys[owner], sizes[owner], *seen
-
-
-def _ranges(values: np.ndarray, bits: int) -> np.ndarray:
-    """Where, in sorted 64-bit values, each of 2**bits equal ranges begins, and the end."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
-    return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
-
-
 def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,79 +48,14 @@ def _classes(width: int):
 
 def _blocks(width: int, bits: int):
     """Packs each batch's n-grams, a row for each range of hashes."""
-
-    def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
-        keys, sets = np.fromiter(held, np.int64, len(held)), list(held.values())
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(grams)
-        grams, owner = grams[order], owner[order]
-        at = _ranges(grams, bits)
-        rows = [(i, _pack(grams[a:b], owner[a:b], keys, sizes)) for i, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["range", "blob"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = {}, 0
-        for batch in batches:
-            for grams in _gram_sets(batch, width):
-                if len(grams) and (key := _class_of(grams)) not in held:
-                    held[key] = grams
-                    total += len(grams)
-                if total > BLOCK:
-                    yield packed(held)
-                    held, total = {}, 0
-        if held:
-            yield packed(held)
-
-    return run
-
-
-def _shared(bits: int):
-    """Of one range of hashes: the n-grams of two classes or more, packed for each range of classes."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x) for x in table.column("blob").to_pylist()]
-        grams, keys, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(grams, kind="stable")
-        sorted_grams = grams[order]
-        same = np.concatenate(([False], sorted_grams[1:] == sorted_grams[:-1], [False]))
-        order = order[same[1:] | same[:-1]]
-        order = order[np.lexsort((keys[order], grams[order]))]
-        grams, keys, sizes = grams[order], keys[order], sizes[order]
-        if len(grams):  # the same class may come from several tasks
-            fresh = np.concatenate(([True], (grams[1:] != grams[:-1]) | (keys[1:] != keys[:-1])))
-            grams, keys, sizes = grams[fresh], keys[fresh], sizes[fresh]
-            starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-            seen = np.repeat(counts := np.diff(np.append(starts, len(grams))), counts)
-            keep = seen > 1
-            grams, keys, sizes, seen = grams[keep], keys[keep], sizes[keep], seen[keep]
-        else:
-            seen = np.empty(0, np.int64)
-        group = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        order = np.argsort(group, kind="stable")
-        at = np.searchsorted(group[order], np.arange((1 << bits) + 1))
-        rows = []
-        for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-            if b > a:
-                ids, owner = np.unique(keys[x := order[a:b]], return_inverse=True)
-                size_of = np.empty(len(ids), np.int64)
-                size_of[owner] = sizes[x]
-                rows.append((i, _pack(grams[x], owner, ids, size_of, seen[x])))
-        return pa.table({"group": pa.array([i for i, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
-
-    return run
+    return pack_sets(lambda batch: ((_class_of(g), g) for g in _gram_sets(batch, width) if len(g)), bits)
 
 
 def _prefixes(num: int, den: int):
     """Of one range of classes: each class that may have partners, with its prefix and all its shared n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x, True) for x in table.column("blob").to_pylist()]
-        grams, keys, sizes, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((grams, seen, keys))
-        grams, keys, sizes = grams[order], keys[order], sizes[order]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        grams, keys, sizes, starts = by_set(table)
         ends = np.append(starts[1:], len(keys))
         size = sizes[starts].astype(np.int64)
         alone = size - (ends - starts)
@@ -165,7 +63,6 @@ def _prefixes(num: int, den: int):
         use = take > 0
         heads = [grams[s : s + t] for s, t in zip(starts[use], take[use], strict=True)]
         rests = [np.sort(grams[s:e]) for s, e in zip(starts[use], ends[use], strict=True)]
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in x]))), pa.int32()), pa.array((np.concatenate(x) if x else np.empty(0, np.uint64)).view(np.int64)))
         return pa.table({"key": keys[starts[use]], "n": size[use], "alone": alone[use], "prefix": lists(heads), "grams": lists(rests)})
 
     return run
@@ -226,8 +123,7 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     bits = max(0, int(total // BLOCK)).bit_length()
     blocks = docs.select("text").mapInArrow(_blocks(width, bits), "range int, blob binary")
-    shared = blocks.groupBy("range").applyInArrow(_shared(bits), "group int, blob binary")
-    sets = scratch.table(shared.groupBy("group").applyInArrow(_prefixes(num, den), "key bigint, n bigint, alone bigint, prefix array<bigint>, grams array<bigint>"))
+    sets = scratch.table(shared_blocks(blocks, bits).groupBy("group").applyInArrow(_prefixes(num, den), "key bigint, n bigint, alone bigint, prefix array<bigint>, grams array<bigint>"))
 
     postings = scratch.table(sets.select("key", "n", "alone", F.posexplode("prefix").alias("i", "gram")).select("gram", "key", "n", (F.col("alone") + F.col("i")).alias("at")))
     hubs = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "n", "at")).alias("hub")).where("c > 1").select("gram", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"))
