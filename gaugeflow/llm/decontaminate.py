@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.llm._carry import add_columns
 from gaugeflow.llm._hashing import ALNUM, as_bytes, shingles, word_hashes
 
 #: Words of a benchmark window, of a hashed gram, and hashes of which the smallest is kept: WINDOW = GRAM + KEEP_OF - 1.
@@ -120,23 +121,25 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(blobs, pa.binary())], ["item", "words"])
 
 
-def _lookup(shared, first: bool, last: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lookup(shared, text: str, first: bool):
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def compute():
         block = _Block([(item, np.frombuffer(raw, np.uint64)) for item, raw in shared.value])
-        for batch in batches:
-            texts = batch.column("text")
+
+        def of(batch: pa.RecordBatch) -> list[pa.Array]:
             runs, items, counts = [], [], []
             old = [(None, None)] * batch.num_rows if first else zip(batch.column("hit_runs").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for words, (had, whose) in zip(word_hashes(as_bytes(texts), ALNUM), old, strict=True):
+            for words, (had, whose) in zip(word_hashes(as_bytes(batch.column(text)), ALNUM), old, strict=True):
                 r, names = block.hits(words)
                 runs.append([{"start": s, "end": e} for s, e in _merge(r + [(x["start"], x["end"]) for x in had or []])])
                 items.append(sorted(names | set(whose or [])))
                 counts.append(len(words))
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            out = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(runs, span), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out + ([] if last else [texts]), ["id", "n_words", "hit_runs", "items"] + ([] if last else ["text"]))
+            return [pa.array(counts, pa.int64()), pa.array(runs, span), pa.array(items, pa.list_(pa.string()))]
+
+        return of
 
-    return run
+    return compute
 
 
 def _blocks(segments: DataFrame, total: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -152,28 +155,27 @@ def _blocks(segments: DataFrame, total: int) -> Iterator[list[tuple[str, bytes]]
         yield [(r["item"], bytes(r["words"])) for r in dealt.where(F.col("block") == i).select("item", "words").collect()]
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:  # noqa: A002
-    """(id, n_words, n_hit, hit_runs, items, contaminated) for each row of df.
+def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df's columns named in keep (all, if None) with n_words, n_hit, hit_runs, items and contaminated.
 
     Words are runs of letters and digits (all beyond ASCII counts as a letter), A-Z lower-cased. A window is 13 consecutive
     words of an item; an item with fewer, but some, is one window. A word inside any occurrence of a window is hit;
     contaminated if n_hit > 0 and 20 * n_hit >= n_words. items holds the ids (as strings, sorted) of items of which a window
     occurs; a null id counts as "". Null and empty texts have no words. Rows are kept as they are, repeated ones too; an
-    empty benchmark hits nothing. Words are compared by 64-bit hashes.
+    empty benchmark hits nothing. Words are compared by 64-bit hashes. Columns of the added names are replaced.
     """
-    spark = df.sparkSession
     source = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text"))
     segments = source.mapInArrow(_segments, "item string, words binary").distinct()
     total = (segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // 8
-    docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
-    blocks = list(_broadcast_blocks(spark, segments, total))
+    blocks = list(_broadcast_blocks(df.sparkSession, segments, total))
+    added = ["n_words", "hit_runs", "items"]
+    wanted = [c for c in (df.columns if keep is None else keep) if c not in added]
+    out = df.select(*dict.fromkeys([*wanted, text]))
     for i, shared in enumerate(blocks):
-        last = i == len(blocks) - 1
-        docs = docs.mapInArrow(_lookup(shared, i == 0, last), f"id {kind}, n_words bigint, hit_runs array<struct<start:bigint,end:bigint>>, items array<string>" + ("" if last else ", text string"))
+        carried = wanted if i == len(blocks) - 1 else [*wanted, text]
+        out = add_columns(out, "n_words bigint, hit_runs array<struct<start:bigint,end:bigint>>, items array<string>", _lookup(shared, text, i == 0), carried)
     hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
-    out = docs.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
-    return out.select(F.col("id").alias(id), "n_words", "n_hit", "hit_runs", "items", "contaminated")
+    return out.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
 def _broadcast_blocks(spark, segments: DataFrame, total: int):

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import chat, chunk_dedup, column_dedup, decontaminate, fingerprints, kd_shards, licenses, ngram_join, toxicity
+from gaugeflow.llm import chat, chunk_dedup, column_dedup, decontaminate, fingerprints, kd_shards, licenses, mixing, ngram_join, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    rates = mixing.with_rates(docs, mixing.fit_mixture(docs, labels), keep=["doc_id"])
+    shares = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(mixing.TARGET)]
+    return rates.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     placed = kd_shards.kd_shards(docs, 40).select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "shard")
@@ -36,7 +43,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
@@ -58,7 +65,7 @@ def op7_column_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    found = toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep=["doc_id"])
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
@@ -78,5 +85,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_kd_shards, op3_license_scan, op4_ngram_join, op5_winnow_decontaminate, op6_scaled_sketch, op7_column_dedup, op8_toxicity, op9_chunk_dedup, op10_chat_format)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_kd_shards, op3_license_scan, op4_ngram_join, op5_winnow_decontaminate, op6_scaled_sketch, op7_column_dedup, op8_toxicity, op9_chunk_dedup, op10_chat_format, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
