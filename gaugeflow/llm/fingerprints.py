@@ -19,6 +19,8 @@ SHINGLE = 5
 SCALE = 16
 #: Rows that one task orders to find each document's successor, about.
 NEIGHBOUR_ROWS = 2_000
+#: Ranges at most: their first keys are broadcast, 16 bytes each.
+MOST_RANGES = 200_000
 
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
@@ -76,7 +78,7 @@ def with_next(df: DataFrame, key: str, tie: Column, carry: list[str]) -> DataFra
     keyed = df.withColumn("__key", F.coalesce(F.col(key), F.lit(-(1 << 62)))).withColumn("__tie", tie)
     low, high, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
     low, high = (0, 0) if low is None else (low, high)
-    width = max(1, math.ceil((high - low + 1) / max(1, math.ceil(rows / NEIGHBOUR_ROWS))))
+    width = max(1, math.ceil((high - low + 1) / max(1, min(MOST_RANGES, math.ceil(rows / NEIGHBOUR_ROWS)))))
     last = (high - low) // width + 1
     keyed = keyed.withColumn("__range", F.when(F.col(key).isNull(), F.lit(last)).otherwise(F.call_function("div", F.lit(high).cast("long") - F.col("__key"), F.lit(width).cast("long"))).cast("long"))
     # The first key of each range and the range before it that has rows, the first range wrapping to the last.
@@ -84,7 +86,7 @@ def with_next(df: DataFrame, key: str, tie: Column, carry: list[str]) -> DataFra
     order = Window.orderBy("__range")
     ends = heads.agg(F.max("__range").alias("__last"))
     heads = heads.withColumn("__before", F.lag("__range").over(order)).crossJoin(F.broadcast(ends)).select("__head", F.coalesce("__before", "__last").alias("__before"))
-    sent = keyed.join(heads, keyed["__key"] == heads["__head"]).drop("__head", "__range").withColumnRenamed("__before", "__range")
+    sent = keyed.join(F.broadcast(heads), keyed["__key"] == heads["__head"]).drop("__head", "__range").withColumnRenamed("__before", "__range")
     both = keyed.withColumn("__sent", F.lit(False)).unionByName(sent.withColumn("__sent", F.lit(True)))
     window = Window.partitionBy("__range").orderBy("__sent", F.col("__key").desc(), "__tie")
     out = both.withColumn("next", F.lead(F.struct(*carry)).over(window))
