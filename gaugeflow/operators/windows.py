@@ -81,8 +81,8 @@ def detection_delay(df: DataFrame, stream: list[str], threshold: Column | str, c
 
 
 def early_warning(df: DataFrame, stream: list[str], by: list[str], threshold: str, soon: float = 10800.0) -> DataFrame:
-    """(by, median_delay, within_3h, in_window, n_streams) over streams with active steps."""
-    d = detection_delay(df, stream, threshold)
+    """(by, median_delay, within_3h, in_window, n_streams) over leak streams with active steps."""
+    d = detection_delay(df.where(F.col("scenario_kind") == "leak"), stream, threshold)
     return d.groupBy(*by).agg(F.median("delay").alias("median_delay"), F.avg(((F.col("detected") == 1) & (F.col("delay") < soon)).cast("double")).alias("within_3h"), F.avg(F.col("detected").cast("double")).alias("in_window"), F.count(F.lit(1)).alias("n_streams"))
 
 
@@ -118,11 +118,11 @@ def step_length(df: DataFrame, by: list[str]) -> DataFrame:
     return gaps.groupBy(*by).agg(F.median("gap").alias("step"))
 
 
-def episodes_per_day(df: DataFrame, stream: list[str], by: list[str], threshold: str) -> DataFrame:
-    """(by, per_day): episodes of normal streams over their days (rows times step length)."""
+def episodes_per_day(df: DataFrame, stream: list[str], by: list[str], threshold: str, step_by: list[str]) -> DataFrame:
+    """(by, per_day): episodes of normal streams over their days (rows times the step length of all rows by step_by)."""
     normal = df.where(F.col("scenario_kind") == "baseline")
     total = alarm_episodes(normal, stream, threshold).groupBy(*by).agg(F.sum("episodes").alias("episodes"))
-    days = normal.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).join(step_length(df, by), by)
+    days = normal.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).join(step_length(df, step_by), step_by)
     return total.join(days, by).select(*by, F.try_divide(F.col("episodes").cast("double"), F.col("rows") * F.col("step") / 86400.0).alias("per_day"))
 
 
@@ -132,7 +132,7 @@ def pre_onset_alarm(df: DataFrame, stream: list[str], threshold: str) -> DataFra
     return marked.groupBy(*stream).agg(F.max(((F.col("time_seconds") < F.col("onset")) & (F.col("score") >= F.col(threshold))).cast("int")).alias("early"))
 
 
-def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: float, candidates: int = 400, order: list[str] = ORDER) -> DataFrame:
+def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: float, step_by: list[str], candidates: int = 400, order: list[str] = ORDER) -> DataFrame:
     """(by, threshold): the lowest of `candidates` high quantiles of the normal scores at which normal streams have at most
     `budget` episodes a day; just above the maximum if none.
 
@@ -147,7 +147,7 @@ def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: fl
     # From the largest value downwards: episodes at thresholds in (next smaller value, v] are the same.
     above = Window.partitionBy(*by).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
     curve = steps.select(*by, "v", (F.sum("up").over(above) - F.sum("down").over(above)).alias("episodes")).withColumn("below", F.lag("v").over(Window.partitionBy(*by).orderBy("v")))
-    sizes = normal.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("most")).join(step_length(df, by), by)
+    sizes = normal.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("most")).join(step_length(df, step_by), step_by)
     grid = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
     q = 1 - F.exp(F.log(F.lit(0.3)) + F.col("i") / float(candidates - 1) * (F.log(F.lit(1e-6)) - F.log(F.lit(0.3))))
     grid = grid.withColumn("h", q * (F.col("n") - 1))
@@ -164,12 +164,12 @@ def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: fl
     return known.groupBy(*by).agg(F.coalesce(F.min(F.when(fits, F.col("at"))), F.max("most") + 1e-9).alias("threshold"))
 
 
-def alarm_budget(df: DataFrame, stream: list[str], by: list[str], budgets: list[float], soon: float = 10800.0) -> DataFrame:
+def alarm_budget(df: DataFrame, stream: list[str], by: list[str], budgets: list[float], step_by: list[str], soon: float = 10800.0) -> DataFrame:
     """(by, budget, within_3h, in_window, pre_onset, n_streams) at the thresholds that each budget allows."""
     out = None
     for budget in budgets:
-        held = df.join(budget_threshold(df, stream, by, budget), by)
-        early = pre_onset_alarm(held, stream, "threshold").groupBy(*by).agg(F.avg(F.col("early").cast("double")).alias("pre_onset"))
+        held = df.join(budget_threshold(df, stream, by, budget, step_by), by)
+        early = pre_onset_alarm(held.where(F.col("scenario_kind") == "leak"), stream, "threshold").groupBy(*by).agg(F.avg(F.col("early").cast("double")).alias("pre_onset"))
         one = early_warning(held, stream, by, "threshold", soon).join(early, by).select(*by, F.lit(budget).alias("budget"), "within_3h", "in_window", "pre_onset", "n_streams")
         out = one if out is None else out.unionByName(one)
     return out

@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules whose import fills the registry.
-MODULES = ["metrics"]
+MODULES = ["metrics", "windows"]
 
 
 def _load():
