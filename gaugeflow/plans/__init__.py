@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules whose import fills the registry.
-MODULES = ["metrics", "windows"]
+MODULES = ["metrics", "windows", "aggregates"]
 
 
 def _load():
