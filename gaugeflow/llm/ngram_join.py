@@ -6,9 +6,9 @@
 3. Each class orders what is left rarest first; its prefix holds what any partner must share one of.
 4. Prefix n-grams first link every class to one hub of each n-gram. What is then connected needs no more pairs; classes of
    different components that share a prefix n-gram are paired by length and position, each pair once.
-5. Members of an n-gram that very many classes share are compared in blocks by what stands at the head of their orders,
-   where near misses differ, before any pair is made; the blocks' sizes are bounded.
-6. Pairs pass a suffix filter, then their sets are compared.
+5. Pairs pass a suffix filter, then their sets are compared.
+6. Where many classes share an n-gram, no pairs are made: they meet under its hub, in pairs of blocks of bounded size, and
+   each block pair counts what its sets share by a product of incidence matrices. Only links leave it.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from gaugeflow.llm._scratch import Scratch
 
 #: Ranges into which the suffix filter divides two sets.
 SUFFIX_PARTS = 16
-#: Classes of an n-gram from which on they meet in blocks, and classes of a block.
-CROWD, CROWD_BLOCK = 64, 1_000
+#: Classes of an n-gram beyond which they meet in blocks; classes and n-grams of a block at most, about.
+CROWD, CROWD_BLOCK, CROWD_GRAMS = 32, 1_000, 1_000_000
+#: Columns of an incidence matrix.
+COLUMNS = 2_048
 
 
 def _class_of(grams: np.ndarray) -> int:
@@ -56,8 +58,7 @@ def _blocks(width: int, bits: int):
 
 
 def _prefixes(num: int, den: int):
-    """Of one range of classes: each class that may have partners, with the length of its prefix, what its order begins with
-    (thrice the prefix) and all its shared n-grams."""
+    """Of one range of classes: each class that may have partners, with its prefix and all its shared n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
         grams, keys, sizes, starts = by_set(table)
@@ -66,9 +67,9 @@ def _prefixes(num: int, den: int):
         alone = size - (ends - starts)
         take = np.minimum(size - (-(-num * size // den)) + 1 - alone, ends - starts)
         use = take > 0
-        heads = [grams[s : s + 3 * t] for s, t in zip(starts[use], take[use], strict=True)]
+        heads = [grams[s : s + t] for s, t in zip(starts[use], take[use], strict=True)]
         rests = [np.sort(grams[s:e]) for s, e in zip(starts[use], ends[use], strict=True)]
-        return pa.table({"key": keys[starts[use]], "n": size[use], "alone": alone[use], "take": take[use].astype(np.int64), "head": lists(heads), "grams": lists(rests)})
+        return pa.table({"key": keys[starts[use]], "n": size[use], "alone": alone[use], "prefix": lists(heads), "grams": lists(rests)})
 
     return run
 
@@ -100,37 +101,33 @@ def _linked(num: int, den: int):
 
 
 def _crowds(num: int, den: int):
-    """Of two blocks of classes that share an n-gram: pairs of different components that may link.
-
-    What two classes share is at most what their heads share and what the longer rest behind a head holds: of two heads,
-    whatever the one that ends earlier lacks lies behind its end.
-    """
+    """Of two blocks of classes under one hub: links between classes of different components."""
 
     def run(table: pa.Table) -> pa.Table:
         first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
-        key, n, alone, root, block = (table.column(c).to_numpy() for c in ("key", "n", "alone", "root", "block"))
-        heads = table.column("head").combine_chunks()
-        at, values = heads.offsets.to_numpy(), heads.values.to_numpy()
-        values, size = values[at[0] : at[-1]], np.diff(at)
-        owner = np.repeat(np.arange(len(key)), size)
-        known, column, count = np.unique(values, return_inverse=True, return_counts=True)
-        shared = count[column] > 1
-        has = np.zeros((len(key), int((count > 1).sum())), np.float32)
-        has[owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]] = 1
-        rest = n - alone - size
+        key, n, root, block = (table.column(c).to_numpy() for c in ("key", "n", "root", "block"))
+        sets = table.column("grams").combine_chunks()
+        at = sets.offsets.to_numpy()
+        values = sets.values.to_numpy()[at[0] : at[-1]]
+        owner = np.repeat(np.arange(len(key)), np.diff(at))
+        _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+        shared = (np.cumsum(count > 1) - 1)[column]
+        use = np.flatnonzero(count[column] > 1)
+        use = use[np.argsort(shared[use], kind="stable")]
+        owner, shared = owner[use], shared[use]
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        out_a, out_b = [], []
-        for part in np.array_split(left, max(1, len(left) // 256)):
-            a, b = part[:, None], right[None, :]
-            need = -(-num * (n[a] + n[b]) // (num + den))
-            keep = (has[part] @ has[right].T + np.maximum(rest[a], rest[b]) >= need) & (root[a] != root[b])
-            keep &= den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])
-            if first == second:
-                keep &= key[a] < key[b]
-            i, j = np.nonzero(keep)
-            out_a.append(np.minimum(key[part[i]], key[right[j]]))
-            out_b.append(np.maximum(key[part[i]], key[right[j]]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+        both = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, int(count[count > 1].size), COLUMNS):
+            a, b = np.searchsorted(shared, (start, start + COLUMNS))
+            has = np.zeros((len(key), COLUMNS), np.float32)
+            has[owner[a:b], shared[a:b] - start] = 1
+            both += has[left] @ has[right].T
+        size = n[left][:, None] + n[right][None, :]
+        keep = (both * (num + den) >= num * size) & (root[left][:, None] != root[right][None, :])
+        if first == second:
+            keep &= key[left][:, None] < key[right][None, :]
+        i, j = np.nonzero(keep)
+        return pa.table({"a": key[left[i]], "b": key[right[j]]})
 
     return run
 
@@ -164,9 +161,9 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     bits = max(0, int(total // BLOCK)).bit_length()
     blocks = docs.select("text").mapInArrow(_blocks(width, bits), "range int, blob binary")
-    sets = scratch.table(shared_blocks(blocks, bits).groupBy("group").applyInArrow(_prefixes(num, den), "key bigint, n bigint, alone bigint, take bigint, head array<bigint>, grams array<bigint>"))
+    sets = scratch.table(shared_blocks(blocks, bits).groupBy("group").applyInArrow(_prefixes(num, den), "key bigint, n bigint, alone bigint, prefix array<bigint>, grams array<bigint>"))
 
-    postings = scratch.table(sets.select("key", "n", "alone", F.posexplode(F.slice("head", F.lit(1), F.col("take").cast("int"))).alias("i", "gram")).select("gram", "key", "n", (F.col("alone") + F.col("i")).alias("at")))
+    postings = scratch.table(sets.select("key", "n", "alone", F.posexplode("prefix").alias("i", "gram")).select("gram", "key", "n", (F.col("alone") + F.col("i")).alias("at")))
     hubs = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "n", "at")).alias("hub")).where("c > 1").select("gram", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"))
     stars = postings.join(hubs, "gram").where(F.col("key") != F.col("hub")).where(_may_link(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at"), num, den))
     first = scratch.table(stars.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
@@ -174,22 +171,21 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     roots = components(scratch, links)
 
     at_root = postings.join(roots, F.col("key") == F.col("node"), "left").select("gram", "key", "n", "at", F.coalesce("root", "key").alias("root"))
-    mixed = at_root.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("gram", "c")
-    few = mixed.where(F.col("c") <= CROWD).select("gram")
-    left = at_root.join(few, "gram", "left_semi")
+    mixed = at_root.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"), F.min("key").alias("hub")).where("lo < hi")
+    left = at_root.join(mixed.where(F.col("c") <= CROWD).select("gram"), "gram", "left_semi")
     right = left.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "at", "root")])
-    met = left.join(right, "gram").where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _may_link(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"), num, den)).select(F.col("key").alias("a"), F.col("key_b").alias("b"))
-
-    parts = F.ceil(F.col("c") / CROWD_BLOCK).cast("int")
-    crowd = at_root.join(mixed.where(F.col("c") > CROWD), "gram").select("gram", "key", "root", parts.alias("parts"), F.pmod(F.xxhash64("key"), parts).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    facing = crowd.withColumn("other", other).select("gram", "key", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-    told = facing.join(sets.select("key", "n", "alone", "head"), "key").select("gram", "first", "second", "block", "key", "root", "n", "alone", "head")
-    crowded = told.groupBy("gram", "first", "second").applyInArrow(_crowds(num, den), "a bigint, b bigint")
-    second = met.union(crowded).distinct().join(first, ["a", "b"], "left_anti")
+    met = left.join(right, "gram").where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _may_link(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"), num, den))
+    second = met.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = _verified(scratch, second, sets, num, den)
-    scratch.drop(sets, postings, first)
-    whole = components(scratch, roots.toDF("a", "b").union(more))
+
+    crowd = scratch.table(at_root.join(mixed.where(F.col("c") > CROWD).select("gram", "hub"), "gram").select("hub", "key", "root").distinct().join(sets.select("key", F.size("grams").alias("size")), "key"))
+    parts = crowd.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CROWD_BLOCK), F.ceil(F.sum("size") / CROWD_GRAMS)).cast("int").alias("parts"))
+    dealt = crowd.join(parts, "hub").withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    facing = dealt.select("hub", "key", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    told = facing.join(sets.select("key", "n", "grams"), "key").select("hub", "first", "second", "block", "key", "root", "n", "grams")
+    crowded = scratch.table(told.groupBy("hub", "first", "second").applyInArrow(_crowds(num, den), "a bigint, b bigint"))
+    scratch.drop(sets, postings, first, crowd)
+    whole = components(scratch, roots.toDF("a", "b").union(more).union(crowded))
 
     least = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
     named = least.join(whole, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "id")
