@@ -24,7 +24,7 @@ ARMS = {"forest": ("none", "forest"), "logistic": ("none", "logistic"), "noise":
 
 def _split(spark, sf_dir):
     df = steps(spark, sf_dir)
-    return df.where("scenario_id % 4 <> 0"), df.where("scenario_id % 4 = 0")
+    return df.where("floor(scenario_id / 4) % 4 <> 0"), df.where("floor(scenario_id / 4) % 4 = 0")
 
 
 @query("d3_class_weights", f"WITH {STEPS}, c AS (SELECT event_label, count(*) AS c FROM steps GROUP BY event_label) SELECT event_label, {r('sum((SELECT sum(c) FROM c) / (2.0 * c.c))')} AS total FROM steps JOIN c USING (event_label) GROUP BY event_label")
@@ -63,7 +63,7 @@ def d9(spark, sf_dir):
     from gaugeflow.functions import scalar as S
 
     df = plausible(spark, sf_dir)
-    train, test = df.where("scenario_id % 4 <> 0"), df.where("scenario_id % 4 = 0")
+    train, test = df.where("floor(scenario_id / 4) % 4 <> 0"), df.where("floor(scenario_id / 4) % 4 = 0")
     base = D.fit_logistic(train, FEATURES)
     with_base = lambda x: S.triage_features(D.score_rows(base, x, "base").withColumnRenamed("score__base", "base_score"))
     names = ["base_score", "plausibility", "mass", "energy", "pressure_range", "head_gap", "demand_flow_ratio", "score_by_plausibility", "score_by_mass"]
