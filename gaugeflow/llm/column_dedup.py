@@ -67,7 +67,7 @@ def _anchor_rows(length: int, gram: int):
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for key, text in zip(batch.column("key").to_numpy(), as_bytes(batch.column("text")), strict=True):
-                n = len(text or b"")
+                n, last = len(text or b""), -1
                 for at in range(0, max(0, n - length + 1), PIECE):
                     # Windows that begin in this piece, with what their anchors' neighbourhoods reach on both sides.
                     lead, end = max(0, at - before), min(n, at + PIECE + 3 * length)
@@ -76,6 +76,8 @@ def _anchor_rows(length: int, gram: int):
                     inner = min(n, at + PIECE + length - 1)
                     f = anchors(buf[at - lead : inner - lead], sums[at - lead : inner - lead + 1] - sums[at - lead], length, gram) if at == lead else _shifted(buf, at - lead, inner - lead, length, gram)
                     f = f + (at - lead)
+                    f = f[f + lead > last]  # the last anchor of a piece may be the first of the next
+                    last = int(f[-1]) + lead if len(f) else last
                     s, e = np.maximum(f - before, 0), np.minimum(f + after, len(buf))
                     left = f - s
                     values = (_strings(sums, f, f + gram), np.full(len(f), key), f + lead, left, e - f, mix(_strings(sums, s, e) + left.astype(np.uint64)))
@@ -167,10 +169,11 @@ def _sorted_blocks(length: int):
     return run
 
 
-def _window_hashes(text: bytes, length: int) -> np.ndarray:
+def _window_hashes(anchor: int, text: bytes, length: int) -> np.ndarray:
+    """Hashes of the strings of a neighbourhood, different for each anchor: a string may hold several."""
     buf = np.frombuffer(text, np.uint8)
     starts = np.arange(len(buf) - length + 1)
-    return _strings(_running(buf), starts, starts + length)
+    return mix(_strings(_running(buf), starts, starts + length) ^ np.uint64(anchor % (1 << 64)))
 
 
 def _contexts(length: int, gram: int):
@@ -192,8 +195,8 @@ def _contexts(length: int, gram: int):
 
 def _packed_windows(length: int, bits: int):
     def members(batch: pa.RecordBatch):
-        for around, text in zip(batch.column("around").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-            yield around, np.unique(_window_hashes(text, length))
+        for anchor, around, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "around", "bytes")), strict=True):
+            yield around, np.unique(_window_hashes(anchor, text, length))
 
     return pack_sets(members, bits)
 
@@ -206,7 +209,7 @@ def _marked(length: int):
             rows = []
             for r in batch.to_pylist():
                 shared = np.array(r["members"], np.int64).view(np.uint64)
-                starts = np.flatnonzero(np.isin(_window_hashes(r["bytes"], length), shared))
+                starts = np.flatnonzero(np.isin(_window_hashes(r["anchor"], r["bytes"], length), shared))
                 rows += [(r["key"], r["at"] - r["left"] + s, r["at"] - r["left"] + e) for s, e in _covered(starts, length)]
             yield _span_batch(rows)
 
@@ -271,8 +274,8 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id: st
     spans = whole.union(sorted_out)
     if count:
         bits = max(0, count * (length - gram) // BLOCK).bit_length()
-        members = shared_members(many.select("around", "bytes").mapInArrow(_packed_windows(length, bits), "range int, blob binary"), bits)
-        spans = spans.union(many.where("n = 1").join(members.withColumnRenamed("key", "around"), "around").select("key", "at", "left", "bytes", "members").mapInArrow(_marked(length), _SPANS))
+        members = shared_members(many.select("anchor", "around", "bytes").mapInArrow(_packed_windows(length, bits), "range int, blob binary"), bits)
+        spans = spans.union(many.where("n = 1").join(members.withColumnRenamed("key", "around"), "around").select("anchor", "key", "at", "left", "bytes", "members").mapInArrow(_marked(length), _SPANS))
     out = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return out
 

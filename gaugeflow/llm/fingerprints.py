@@ -29,14 +29,14 @@ def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     Words are runs of letters and digits (all beyond ASCII counts as a letter), A-Z lower-cased. A text with fewer words
     than a shingle has its whole word sequence as one; null and empty texts have none.
     """
-    bound = F.lit(-(1 << 63) + (1 << 64) // scale)
+    last = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
     hashes = F.transform(F.filter(F.split(spaced_words(text), " "), lambda w: w != ""), lambda w: F.xxhash64(w))
 
     def rolled(h: Column) -> Column:
         n = F.size(h)
         full = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(shingle)]))
         short = F.when(n > 0, F.array(F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: F.xxhash64(acc, x)))).otherwise(F.array().cast("array<bigint>"))
-        return F.array_sort(F.array_distinct(F.filter(F.when(n >= shingle, full).otherwise(short), lambda x: x < bound)))
+        return F.array_sort(F.array_distinct(F.filter(F.when(n >= shingle, full).otherwise(short), lambda x: x <= last)))
 
     return let(hashes, rolled)
 
