@@ -101,7 +101,7 @@ def _linked(num: int, den: int):
 
 
 def _crowds(num: int, den: int):
-    """Of two blocks of classes under one hub: links between classes of different components."""
+    """Of two blocks of classes under one hub: links that join different components, as few as do."""
 
     def run(table: pa.Table) -> pa.Table:
         first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
@@ -126,8 +126,19 @@ def _crowds(num: int, den: int):
         keep = (both * (num + den) >= num * size) & (root[left][:, None] != root[right][None, :])
         if first == second:
             keep &= key[left][:, None] < key[right][None, :]
-        i, j = np.nonzero(keep)
-        return pa.table({"a": key[left[i]], "b": key[right[j]]})
+        # Of many links between the same components one is enough.
+        _, of = np.unique(root, return_inverse=True)
+        label, out_a, out_b = np.arange(len(key)), [], []
+        for i in np.flatnonzero(keep.any(axis=1)):
+            j = np.flatnonzero(keep[i])
+            mine = label[of[left[i]]]
+            others, at = np.unique(label[of[right[j]]], return_index=True)
+            at = at[others != mine]
+            out_a.append(np.full(len(at), key[left[i]]))
+            out_b.append(key[right[j[at]]])
+            label[np.isin(label, others)] = mine
+        none = np.empty(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 
     return run
 
