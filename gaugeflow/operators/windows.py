@@ -152,8 +152,8 @@ def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: fl
     q = 1 - F.exp(F.log(F.lit(0.3)) + F.col("i") / float(candidates - 1) * (F.log(F.lit(1e-6)) - F.log(F.lit(0.3))))
     grid = grid.withColumn("h", q * (F.col("n") - 1))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("score"))
-    sorted_x = normal.select(*by, F.col("score").alias("s"), rank.alias("k"))
-    lo, hi = sorted_x.select(*by, F.col("s").alias("lo"), F.col("k").alias("klo")), sorted_x.select(*by, F.col("s").alias("hi"), F.col("k").alias("khi"))
+    sorted_x = normal.select(*by, F.col("score").alias("__s"), rank.alias("k"))
+    lo, hi = sorted_x.select(*by, F.col("__s").alias("lo"), F.col("k").alias("klo")), sorted_x.select(*by, F.col("__s").alias("hi"), F.col("k").alias("khi"))
     cut = grid.withColumn("klo", (F.floor("h") + 1).cast("int")).withColumn("khi", (F.ceil("h") + 1).cast("int")).join(lo, [*by, "klo"]).join(hi, [*by, "khi"])
     cut = cut.select(*by, "n", "step", "most", (F.col("lo") + (F.col("h") - F.floor("h")) * (F.col("hi") - F.col("lo"))).alias("t"))
     # A candidate takes the episodes of the smallest value that isn't below it: both sorted together, the next value counts.
