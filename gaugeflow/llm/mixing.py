@@ -8,6 +8,7 @@ one small vector a step: a step is one pass over a slim table that sums a few nu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ from gaugeflow.llm._scratch import Scratch
 #: Domains in order, and the share of tokens each shall have.
 TARGET = {"high": 0.7, "low": 0.3, "toxic": 0.0}
 #: Hashed byte trigrams that describe a text, and labelled rows the classifier learns from at most, by hash of the id.
-FEATURES, TRAIN_ROWS = 1024, 20_000
+FEATURES, TRAIN_ROWS = 1024, 8_000
 #: Steps at most, and the relative change of the domain totals at which they end.
 STEPS, ENOUGH = 60, 1e-6
 #: Bytes of text looked at together.
@@ -78,18 +79,18 @@ class Mixture:
 
 def _learn(x: np.ndarray, y: np.ndarray, kinds: int) -> np.ndarray:
     """Softmax regression by accelerated gradient descent with a small ridge; the last row holds the intercepts."""
-    x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
-    w = v = np.zeros((x.shape[1], kinds))
+    x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1)
+    w = v = np.zeros((x.shape[1], kinds), x.dtype)
     if not len(x):
         return w
-    goal = np.eye(kinds)[y]
+    goal = np.eye(kinds, dtype=x.dtype)[y]
     rate, last = 1.0, 1.0  # a row's squared length is 2 at most, a softmax's curvature 1/2
     for _ in range(300):
         z = x @ v
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         after = v - rate * (x.T @ (p - goal) / len(x) + 1e-5 * v)
-        momentum = (1 + np.sqrt(1 + 4 * last * last)) / 2
+        momentum = (1 + math.sqrt(1 + 4 * last * last)) / 2
         v, w, last = after + (last - 1) / momentum * (after - w), after, momentum
     return w
 
@@ -130,7 +131,7 @@ def fit_mixture(df: DataFrame, labels: DataFrame, target: dict[str, float] | Non
     rows = docs.join(F.broadcast(known), F.col("id") == F.col("__id")).select("kind", "text")
     as_features = add_columns(rows, "x binary", lambda: lambda b: [pa.array([r.astype(np.float16).tobytes() for r in features(as_bytes(b.column("text")))], pa.binary())], ["kind"])
     seen = as_features.toPandas()
-    x = np.stack([np.frombuffer(r, np.float16) for r in seen["x"]]).astype(float) if len(seen) else np.empty((0, FEATURES))
+    x = np.stack([np.frombuffer(r, np.float16) for r in seen["x"]]).astype(np.float32) if len(seen) else np.empty((0, FEATURES), np.float32)
     mixture = Mixture(_learn(x, seen["kind"].to_numpy(int), len(goal)))
 
     scratch = Scratch(df.sparkSession, "mixing")
