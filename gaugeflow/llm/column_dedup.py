@@ -169,11 +169,12 @@ def _sorted_blocks(length: int):
     return run
 
 
-def _window_hashes(anchor: int, text: bytes, length: int) -> np.ndarray:
-    """Hashes of the strings of a neighbourhood, different for each anchor: a string may hold several."""
+def _window_hashes(anchor: int, text: bytes, left: int, length: int) -> np.ndarray:
+    """Hashes of the strings of a neighbourhood, different for each anchor and distance from it: a string may hold several
+    anchors, or one of them at several places, and is then in several neighbourhoods without being there twice."""
     buf = np.frombuffer(text, np.uint8)
     starts = np.arange(len(buf) - length + 1)
-    return mix(_strings(_running(buf), starts, starts + length) ^ np.uint64(anchor % (1 << 64)))
+    return mix((_strings(_running(buf), starts, starts + length) ^ np.uint64(anchor % (1 << 64))) + (starts - left).astype(np.uint64))
 
 
 def _contexts(length: int, gram: int):
@@ -195,8 +196,8 @@ def _contexts(length: int, gram: int):
 
 def _packed_windows(length: int, bits: int):
     def members(batch: pa.RecordBatch):
-        for anchor, around, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "around", "bytes")), strict=True):
-            yield around, np.unique(_window_hashes(anchor, text, length))
+        for anchor, around, left, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "around", "left", "bytes")), strict=True):
+            yield around, np.unique(_window_hashes(anchor, text, left, length))
 
     return pack_sets(members, bits)
 
@@ -209,7 +210,7 @@ def _marked(length: int):
             rows = []
             for r in batch.to_pylist():
                 shared = np.array(r["members"], np.int64).view(np.uint64)
-                starts = np.flatnonzero(np.isin(_window_hashes(r["anchor"], r["bytes"], length), shared))
+                starts = np.flatnonzero(np.isin(_window_hashes(r["anchor"], r["bytes"], r["left"], length), shared))
                 rows += [(r["key"], r["at"] - r["left"] + s, r["at"] - r["left"] + e) for s, e in _covered(starts, length)]
             yield _span_batch(rows)
 
@@ -274,7 +275,7 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id: st
     spans = whole.union(sorted_out)
     if count:
         bits = max(0, count * (length - gram) // BLOCK).bit_length()
-        members = shared_members(many.select("anchor", "around", "bytes").mapInArrow(_packed_windows(length, bits), "range int, blob binary"), bits)
+        members = shared_members(many.select("anchor", "around", "left", "bytes").mapInArrow(_packed_windows(length, bits), "range int, blob binary"), bits)
         spans = spans.union(many.where("n = 1").join(members.withColumnRenamed("key", "around"), "around").select("anchor", "key", "at", "left", "bytes", "members").mapInArrow(_marked(length), _SPANS))
     out = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return out
