@@ -22,8 +22,8 @@ from gaugeflow.llm._hashing import _LOWER, as_bytes
 ORDER, WINDOW, DISCOUNT = 4, 24, 0.75
 #: Labelled rows used at most: a sample by hash of the id beyond that. They are broadcast, 16 bytes each.
 TRAIN_ROWS = 200_000
-#: Contexts in the model at most, the most frequent of the labelled rows; 256 values of 4 bytes each are broadcast.
-CONTEXTS = 1 << 15
+#: n-grams of the labelled rows in a block of the model at most, or those of 256 contexts; 4 bytes each and 52 a context are broadcast.
+BLOCK_GRAMS = 2_000_000
 #: Bytes of text looked at together.
 PIECE = 1 << 20
 
@@ -93,12 +93,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), *[pa.array(np.ascontiguousarray(counts[:, k])) for k in range(3)]], ["gram", "n", "ordinary", "toxic"])
 
 
-class Model:
-    """Log-likelihood differences by context and byte, as two small tables."""
+def _shared(grams: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Interpolated probabilities of the longest shared order, from continuation counts down to single bytes."""
+    orders = [(grams, types)]
+    for n in range(ORDER - 2, 0, -1):
+        orders.append(np.unique(orders[-1][0] & ((1 << 8 * n) - 1), return_counts=True))
+    known, p = np.arange(1), np.array([1 / 256])
+    for n, (g, c) in enumerate(orders[::-1], 1):
+        _, at = np.unique(g >> 8, return_inverse=True)
+        total, kinds = np.bincount(at, c), np.bincount(at)
+        below = p[np.searchsorted(known, g & ((1 << 8 * (n - 1)) - 1))]
+        known, p = g, np.maximum(c - DISCOUNT, 0) / total[at] + DISCOUNT * kinds[at] / total[at] * below
+    return known, p
+
+
+class Block:
+    """Log-likelihood differences of a range of contexts. Every n-gram counted in labelled rows has a value, every other
+    n-gram under a context of theirs has the context's; contexts that no labelled row has differ by 0."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, lower: np.ndarray, types: np.ndarray):
-        """grams with their (ordinary, toxic) counts; lower: (ORDER - 1)-grams with the number of bytes seen before each."""
-        shared = self._shared(lower, types)
+    def __init__(self, first: int, last: int, grams: np.ndarray, counts: np.ndarray, shared: tuple[np.ndarray, np.ndarray]):
+        """grams of the contexts from first to before last, sorted, with their (ordinary, toxic) counts."""
         contexts, at = np.unique(grams >> 8, return_inverse=True)
         suffix = grams & ((1 << 8 * (ORDER - 1)) - 1)
         below = shared[1][np.searchsorted(shared[0], suffix)] if len(grams) else np.empty(0)
@@ -109,40 +123,59 @@ class Model:
             free = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
             by_class.append(np.maximum(c - DISCOUNT, 0) / np.maximum(total[at], 1) + free[at] * below)
             backoff.append(free)
-        self.values = np.zeros((len(contexts) + 1, 256), np.float32)
-        self.values[1:] = np.log(backoff[1] / backoff[0])[:, None]  # unseen in both: what both back off to is the same
-        self.values[at + 1, grams & 255] = np.log(by_class[1] / by_class[0])
-        self.contexts = contexts.astype(np.uint32)
-        self.slope, self.shift = 8.0, -6.0
-
-    @staticmethod
-    def _shared(grams: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Interpolated probabilities of the longest shared order, from continuation counts down to single bytes."""
-        orders = [(grams, types)]
-        for n in range(ORDER - 2, 0, -1):
-            orders.append(np.unique(orders[-1][0] & ((1 << 8 * n) - 1), return_counts=True))
-        known, p = np.arange(1), np.array([1 / 256])
-        for n, (g, c) in enumerate(orders[::-1], 1):
-            _, at = np.unique(g >> 8, return_inverse=True)
-            total, kinds = np.bincount(at, c), np.bincount(at)
-            below = p[np.searchsorted(known, g & ((1 << 8 * (n - 1)) - 1))]
-            known, p = g, np.maximum(c - DISCOUNT, 0) / total[at] + DISCOUNT * kinds[at] / total[at] * below
-        return known, p
+        self.first, self.last = first, last
+        self.contexts = (contexts - first).astype(np.int32)
+        # Row 0 is that of unknown contexts; unseen in both, what both classes back off to is the same.
+        self.unseen = np.append(0, np.log(backoff[1] / backoff[0])).astype(np.float32)
+        self.values = np.append(np.log(by_class[1] / by_class[0]), 0).astype(np.float32)
+        # Which bytes a context has, as four words of bits, and how many n-grams stand before each word.
+        word, bit = (at + 1) * 4 + (grams >> 6 & 3), np.uint64(1) << (grams & 63).astype(np.uint64)
+        self.seen = np.zeros(len(self.unseen) * 4, np.uint64)
+        np.bitwise_or.at(self.seen, word, bit)
+        self.before = np.append(0, np.cumsum(np.bincount(word, minlength=len(self.seen)))[:-1]).astype(np.int32)
 
     def index(self) -> np.ndarray:
-        """Row of values for each context; 0 for those unknown."""
+        """Row of each context of the range; 0 for those unknown."""
         if not hasattr(self, "_index"):
-            self._index = np.zeros(1 << 8 * (ORDER - 1), np.int32)
+            self._index = np.zeros(self.last - self.first, np.int32)
             self._index[self.contexts] = np.arange(1, len(self.contexts) + 1)
         return self._index
 
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The differences of n-grams whose contexts are in the range."""
+        row = self.index()[(codes >> np.uint32(8)) - np.uint32(self.first)]
+        word = row * 4 + (codes >> np.uint32(6) & np.uint32(3)).astype(np.int32)
+        bit = np.uint64(1) << (codes & np.uint32(63)).astype(np.uint64)
+        seen = self.seen[word]
+        place = self.before[word] + np.bitwise_count(seen & (bit - np.uint64(1)))
+        return np.where(seen & bit, self.values[np.minimum(place, len(self.values) - 1)], self.unseen[row])
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_index"}
+
+
+class Model:
+    """The blocks (broadcast) of all contexts and the curve."""
+
+    def __init__(self, blocks: list):
+        self.blocks = blocks
+        self.slope, self.shift = 8.0, -6.0
+
+    def differences(self, codes: np.ndarray) -> np.ndarray:
+        if len(self.blocks) == 1:
+            return self.blocks[0].value.of(codes)
+        out, context = np.zeros(len(codes), np.float32), codes >> np.uint32(8)
+        for shared in self.blocks:
+            block = shared.value
+            inside = np.flatnonzero((context >= block.first) & (context < block.last))
+            out[inside] = block.of(codes[inside])
+        return out
+
     def evidence(self, texts: list[bytes | None]) -> np.ndarray:
         """For each text the largest mean difference over its windows; texts shorter than a window count as filled up with zeros."""
-        out, rows = np.full(len(texts), -np.inf), self.index()
-        flat = self.values.ravel()
+        out = np.full(len(texts), -np.inf)
         for buf, starts, owners in _pieces(texts):
-            codes = _codes(buf)
-            value = flat[rows[codes >> np.uint32(8)].astype(np.int64) * 256 + (codes & np.uint32(255))] * _inside(buf, starts)
+            value = self.differences(_codes(buf)) * _inside(buf, starts)
             run = np.concatenate(([0.0], np.cumsum(value, dtype=np.float64)))
             window = (run[WINDOW:] - run[:-WINDOW]) / WINDOW
             # The blanks before a text give windows that begin in it room, those behind it windows that end in it.
@@ -152,9 +185,6 @@ class Model:
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -30, 30)))
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_index"}
-
 
 def _calibrated(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float] | None:
     """Slope and shift of a ridge-regularised logistic curve, by Newton steps."""
@@ -172,10 +202,8 @@ def _calibrated(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float]
     return (float(w[0]), float(w[1])) if w[0] > 0 else None
 
 
-def _score(shared, text: str):
+def _score(model: Model, text: str):
     def compute():
-        model = shared.value
-
         def of(batch: pa.RecordBatch) -> list[pa.Array]:
             found = model.evidence(as_bytes(batch.column(text)))
             return [pa.array(found), pa.array(model.probability(found))]
@@ -202,25 +230,40 @@ def training_labels(labels: DataFrame, id: str = "doc_id", label: str = "toxic")
     return known.withColumn("tune", F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 4)
 
 
+def _ranges(tops: list[int], counts: list[int]) -> list[tuple[int, int]]:
+    """Ranges of contexts that cover them all, with BLOCK_GRAMS n-grams at most or one top (256 contexts)."""
+    cuts, size = [0], 0
+    for top, c in zip(tops, counts, strict=True):
+        if size and size + c > BLOCK_GRAMS:
+            cuts.append(top << 8)
+            size = 0
+        size += c
+    return list(zip(cuts, [*cuts[1:], 1 << 8 * (ORDER - 1)], strict=True))
+
+
 def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:  # noqa: A002
     """The model of all documents' texts and of the labels that may be learnt. Rows without a label count for the shared
-    orders. What comes to the driver is bounded: CONTEXTS contexts and at most 256**3 shared trigrams."""
+    orders. All n-grams of the labelled rows are in the model; blocks of about BLOCK_GRAMS of them come to the driver one
+    after another and are broadcast, besides at most 256**3 shared trigrams."""
+    spark = df.sparkSession
     known = training_labels(labels, id, label)
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     marked = docs.join(F.broadcast(known), "id", "left").select("text", F.when(~F.col("tune"), F.col("kind")).alias("kind"))
     counts = marked.mapInArrow(_count, "gram bigint, n bigint, ordinary bigint, toxic bigint").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).persist()
     try:
         lower = counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * (ORDER - 1)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("types")).toPandas().sort_values("gram")
-        used = counts.where("ordinary + toxic > 0").withColumn("context", F.shiftright("gram", 8))
-        weight = used.groupBy("context").agg(F.sum(F.col("ordinary") + F.col("toxic")).alias("w"))
-        least = weight.groupBy("w").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("w")).limit(CONTEXTS).toPandas()
-        fits = least[least["c"].cumsum() <= CONTEXTS]["w"]
-        kept = used.join(weight.where(F.col("w") >= int(fits.min() if len(fits) else 1)).select("context"), "context").select("gram", "ordinary", "toxic").toPandas().sort_values("gram")
+        shared = _shared(lower["gram"].to_numpy(np.int64), lower["types"].to_numpy())
+        used = counts.where("ordinary + toxic > 0")
+        sizes = used.groupBy(F.shiftright("gram", 16).alias("top")).agg(F.count(F.lit(1)).alias("c")).toPandas().sort_values("top")
+        blocks = []
+        for first, last in _ranges(sizes["top"].tolist(), sizes["c"].tolist()):
+            part = used.where(F.col("gram").between(first << 8, (last << 8) - 1)).select("gram", "ordinary", "toxic").toPandas().sort_values("gram")
+            blocks.append(spark.sparkContext.broadcast(Block(first, last, part["gram"].to_numpy(np.int64), part[["ordinary", "toxic"]].to_numpy(), shared)))
     finally:
         counts.unpersist()
-    model = Model(kept["gram"].to_numpy(np.int64), kept[["ordinary", "toxic"]].to_numpy(), lower["gram"].to_numpy(np.int64), lower["types"].to_numpy())
+    model = Model(blocks)
     tune = docs.join(F.broadcast(known.where("tune")), "id").select(F.col("kind").cast("long").alias("id"), "text")
-    seen = add_columns(tune, "evidence double, score double", _score(df.sparkSession.sparkContext.broadcast(model), "text"), ["id"]).toPandas()
+    seen = add_columns(tune, "evidence double, score double", _score(model, "text"), ["id"]).toPandas()
     if curve := _calibrated(seen["evidence"].to_numpy(), seen["id"].to_numpy(float)):
         model.slope, model.shift = curve
     return model
@@ -233,6 +276,5 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
     Null and empty texts have evidence 0. Without usable labels of both kinds a fixed curve holds. Long texts are read
     whole, in pieces; repeated rows each get the same score. Columns of the added names are replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(fit(df, labels, id, text, label))
-    scored = add_columns(df, "evidence double, score double", _score(shared, text), None if keep is None else keep)
+    scored = add_columns(df, "evidence double, score double", _score(fit(df, labels, id, text, label), text), None if keep is None else keep)
     return scored.withColumn("held_out", held_out(F.col(id))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
