@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-Rules are regular expressions over the text's lower-cased words, each gated by keywords that have to be among them.
-Every document gets only the rules whose keywords it has; detections that lie inside a better rule's are suppressed.
+Rules are regular expressions over the text's lower-cased words, each gated by sets of keywords of which one has to be among them.
+Every document gets only the rules of which it has one set of keywords; detections that lie inside a better rule's are suppressed.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from gaugeflow.llm._native import let, spaced_words
 #: Phrases whose every place counts, whatever else covers it, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Licenses by label: keywords, pattern of the name over words, and words of the license's own web address.
+#: Licenses by label: keywords (sets apart by |, any of which suffices), pattern of the name over words, and words of the license's own web address.
 #: In patterns, V stands for a version such as "2 0" or "v3".
 FAMILIES: dict[str, tuple[str, str, str]] = {
     "apache": ("apache", "apache(?: software)?", "apache org licenses"),
-    "mit": ("mit license", "mit(?: x11| expat)?", "opensource org licenses mit"),
-    "bsd": ("bsd", "(?:modified |simplified |new |revised |original )?(?:free)?bsd(?: [0234] clause)?", "opensource org licenses bsd"),
-    "bsd-2-clause": ("bsd clause", "(?:2 clause bsd|bsd 2 clause|simplified bsd)", "opensource org licenses bsd 2 clause"),
-    "bsd-3-clause": ("bsd clause", "(?:3 clause bsd|bsd 3 clause|new bsd|revised bsd)", "opensource org licenses bsd 3 clause"),
-    "bsd-4-clause": ("bsd clause", "(?:4 clause bsd|bsd 4 clause|original bsd)", "spdx org licenses bsd 4 clause"),
+    "mit": ("mit license|mit licence|mit under|mit agreement|mit dedication|mit x11|mit expat", "mit(?: x11| expat)?", "opensource org licenses mit"),
+    "bsd": ("bsd|freebsd", "(?:modified |simplified |new |revised |original )?(?:free)?bsd(?: [0234] clause)?", "opensource org licenses bsd"),
+    "bsd-2-clause": ("bsd clause|bsd simplified", "(?:2 clause bsd|bsd 2 clause|simplified bsd)", "opensource org licenses bsd 2 clause"),
+    "bsd-3-clause": ("bsd clause|bsd new|bsd revised", "(?:3 clause bsd|bsd 3 clause|new bsd|revised bsd)", "opensource org licenses bsd 3 clause"),
+    "bsd-4-clause": ("bsd clause|bsd original", "(?:4 clause bsd|bsd 4 clause|original bsd)", "spdx org licenses bsd 4 clause"),
     "0bsd": ("0bsd", "0bsd", "spdx org licenses 0bsd"),
     "gpl": ("general public", "(?:gnu )?general public", "gnu org licenses gpl"),
     "gpl-short": ("gpl", "(?:gnu )?gpl", "gnu org copyleft gpl"),
@@ -79,12 +79,12 @@ FAMILIES: dict[str, tuple[str, str, str]] = {
     "pddl": ("pddl", "pddl", "opendatacommons org licenses pddl"),
     "ogl": ("open government", "open government", "nationalarchives gov uk doc open government licence"),
     "openrail": ("openrail", "(?:creativeml )?openrail(?: m)?", "huggingface co spaces bigscience license"),
-    "cc-by": ("cc by", "(?:creative commons|cc) (?:by|attribution)", "creativecommons org licenses by"),
-    "cc-by-sa": ("sa by", "(?:creative commons|cc) (?:by sa|attribution share ?alike)", "creativecommons org licenses by sa"),
-    "cc-by-nc": ("nc by", "(?:creative commons|cc) (?:by nc|attribution non ?commercial)", "creativecommons org licenses by nc"),
-    "cc-by-nd": ("nd by", "(?:creative commons|cc) (?:by nd|attribution no ?deriv(?:ative)?s)", "creativecommons org licenses by nd"),
-    "cc-by-nc-sa": ("nc sa", "(?:creative commons|cc) (?:by nc sa|attribution non ?commercial share ?alike)", "creativecommons org licenses by nc sa"),
-    "cc-by-nc-nd": ("nc nd", "(?:creative commons|cc) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s)", "creativecommons org licenses by nc nd"),
+    "cc-by": ("cc by|cc attribution|creative commons by|creative commons attribution", "(?:creative commons|cc) (?:by|attribution)", "creativecommons org licenses by"),
+    "cc-by-sa": ("cc sa|cc attribution|creative commons sa|creative commons attribution", "(?:creative commons|cc) (?:by sa|attribution share ?alike)", "creativecommons org licenses by sa"),
+    "cc-by-nc": ("cc nc|cc attribution|creative commons nc|creative commons attribution", "(?:creative commons|cc) (?:by nc|attribution non ?commercial)", "creativecommons org licenses by nc"),
+    "cc-by-nd": ("cc nd|cc attribution|creative commons nd|creative commons attribution", "(?:creative commons|cc) (?:by nd|attribution no ?deriv(?:ative)?s)", "creativecommons org licenses by nd"),
+    "cc-by-nc-sa": ("cc nc sa|cc attribution|creative commons nc sa|creative commons attribution", "(?:creative commons|cc) (?:by nc sa|attribution non ?commercial share ?alike)", "creativecommons org licenses by nc sa"),
+    "cc-by-nc-nd": ("cc nc nd|cc attribution|creative commons nc nd|creative commons attribution", "(?:creative commons|cc) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s)", "creativecommons org licenses by nc nd"),
     "cc0": ("cc0", "cc0", "creativecommons org publicdomain zero"),
     "cc-long": ("creative commons", "creative commons", "creativecommons org licenses"),
     "public-domain": ("public domain", "public domain", "creativecommons org publicdomain mark"),
@@ -107,7 +107,7 @@ VERSION = "(?: (?:version |v ?)?\\d{1,2}(?: \\d{1,2}){0,2})?"
 class Rule:
     label: str
     pattern: str
-    keywords: tuple[str, ...]
+    keywords: tuple[tuple[str, ...], ...]  # any of these sets
     priority: int
     confidence: float
     base: bool = False
@@ -115,21 +115,21 @@ class Rule:
 
 def default_rules() -> list[Rule]:
     """Base phrases, then each license in each form."""
-    rules = [Rule(label, phrase, tuple(phrase.split()), 0, 0.6, True) for phrase, label in BASE.items()]
+    rules = [Rule(label, phrase, (tuple(phrase.split()),), 0, 0.6, True) for phrase, label in BASE.items()]
     for label, (keywords, name, address) in FAMILIES.items():
         for form, extra, shape, priority, confidence in FORMS:
-            words = address.split() if form == "address" else keywords.split() + extra.split()
-            rules.append(Rule(label.removesuffix("-short").removesuffix("-long"), shape.replace("NAME", f"(?:{name})").replace("ADDRESS", address).replace("V", VERSION), tuple(dict.fromkeys(words)), priority, confidence))
-    rules.append(Rule("copyright", "copyright (?:c )?(?:19|20)\\d\\d(?: (?:19|20)\\d\\d)?", ("copyright",), 5, 0.3))
-    rules.append(Rule("no-warranty", "(?:provided )?as is without warranty of any kind", ("warranty", "kind"), 5, 0.4))
-    rules.append(Rule("permission-notice", "permission is hereby granted free of charge", ("hereby", "granted"), 3, 0.8))
-    rules.append(Rule("redistribution-clause", "redistribution and use in source and binary forms", ("redistribution", "forms"), 3, 0.8))
+            sets = [address.split()] if form == "address" else [k.split() + extra.split() for k in keywords.split("|")]
+            rules.append(Rule(label.removesuffix("-short").removesuffix("-long"), shape.replace("NAME", f"(?:{name})").replace("ADDRESS", address).replace("V", VERSION), tuple(tuple(dict.fromkeys(words)) for words in sets), priority, confidence))
+    rules.append(Rule("copyright", "copyright (?:c )?(?:19|20)\\d\\d(?: (?:19|20)\\d\\d)?", (("copyright",),), 5, 0.3))
+    rules.append(Rule("no-warranty", "(?:provided )?as is without warranty of any kind", (("warranty", "kind"),), 5, 0.4))
+    rules.append(Rule("permission-notice", "permission is hereby granted free of charge", (("hereby", "granted"),), 3, 0.8))
+    rules.append(Rule("redistribution-clause", "redistribution and use in source and binary forms", (("redistribution", "forms"),), 3, 0.8))
     return rules
 
 
 def _rule_table(rules: list[Rule]) -> Column:
     whole = lambda r: f"(?<= )(?:{r.pattern})(?= )"
-    return F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(whole(r)).alias("pattern"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")) for r in rules])
+    return F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(whole(r)).alias("pattern"), F.array(*[F.array(*map(F.lit, k)) for k in r.keywords]).alias("keywords"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")) for r in rules])
 
 
 def _gaps(text: Column) -> Column:
@@ -161,11 +161,11 @@ def scan_licenses(df: DataFrame, text: str = "text", rules: list[Rule] | None =
     moved nor dropped. Null and empty texts have no words and no detections; long texts are searched whole.
     """
     rules = rules or default_rules()
-    keywords = F.array(*[F.lit(w) for w in sorted({w for r in rules for w in r.keywords})])
+    keywords = F.array(*[F.lit(w) for w in sorted({w for r in rules for k in r.keywords for w in k})])
     out = df.withColumn("__spaced", spaced_words(F.col(text)))
     out = out.withColumn("__words", F.split("__spaced", " "))
     out = out.withColumn("n_words", (F.size("__words") - 2).cast("long")).withColumn("__has", F.array_intersect("__words", keywords)).drop("__words")
-    out = out.withColumn("__rules", F.when(F.size("__has") > 0, F.filter(_rule_table(rules), lambda r: F.size(F.array_except(r["keywords"], F.col("__has"))) == 0)))
+    out = out.withColumn("__rules", F.when(F.size("__has") > 0, F.filter(_rule_table(rules), lambda r: F.exists(r["keywords"], lambda k: F.size(F.array_except(k, F.col("__has"))) == 0))))
     out = out.withColumn("__found", F.when(F.size("__rules") > 0, F.flatten(F.transform("__rules", lambda r: _places(F.col("__spaced"), r)))))
     kept = F.when(F.size("__found") > 0, F.array_sort(_unsuppressed(F.col("__found"))))
     none = F.array().cast("array<struct<first:int,end:int,label:string,priority:int,confidence:double,base:boolean>>")
