@@ -74,12 +74,12 @@ def d9(spark, sf_dir):
 @query("d10_isolation_scores")
 def d10(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return D.isolation_scores(train.where("event_label = 0"), test, FEATURES, trees=50).groupBy("network_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    return D.isolation_scores(train.where("event_label = 0"), test, FEATURES).groupBy("network_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"))
 
 
 @query("d11_reconstruction_score")
 def d11(spark, sf_dir):
-    seq = W.pack_sequences(records(spark, sf_dir), STREAM, "score__a", 12)
+    seq = W.pack_sequences(records(spark, sf_dir), STREAM, "score__a", 24)
     normal = seq.join(records(spark, sf_dir).where("scenario_kind = 'baseline'").select("scenario_id").distinct(), "scenario_id", "left_semi")
     return D.reconstruction_score(normal, seq, "values").select(*STREAM, "error", "score")
 
@@ -88,8 +88,9 @@ def d11(spark, sf_dir):
 def d12(spark, sf_dir):
     p = _points(table(spark, sf_dir, "embeddings"))
     near = K.symmetric_edges(K.knn_pairs(p, "id", "vec", 10))
-    wide = p.select("id", *[F.col("vec")[i].alias(f"x{i}") for i in range(4)])
-    names = [f"x{i}" for i in range(4)]
+    width = p.agg(F.max(F.size("vec"))).first()[0] or 0
+    names = [f"x{i}" for i in range(width)]
+    wide = p.select("id", *[F.col("vec")[i].alias(x) for i, x in enumerate(names)])
     spread = K.propagate(wide, near, names).join(p.select("id", "event_label"), "id")
     return D.score_rows(D.fit_logistic(spread, names), spread, "gcn").select("id", "event_label", "score__gcn")
 
@@ -239,7 +240,7 @@ def c8(spark, sf_dir):
 
 @query("c9_sequence_score_evaluation")
 def c9(spark, sf_dir):
-    seq = W.pack_sequences(records(spark, sf_dir), STREAM, "score__a", 12)
+    seq = W.pack_sequences(records(spark, sf_dir), STREAM, "score__a", 24)
     label = records(spark, sf_dir).groupBy(*STREAM).agg(F.max("event_label").alias("event_label"), F.min("scenario_kind").alias("kind"))
     both = seq.join(label, STREAM)
     found = M.ranking_metrics(D.reconstruction_score(both.where("kind = 'baseline'"), both, "values"), ["seed", "network_id"])
