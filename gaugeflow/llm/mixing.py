@@ -1,16 +1,20 @@
 """Mixing to target weights by soft membership.
 
-A classifier learnt from the labelled table gives every document its posterior over domains. Nonnegative rates per document
-are fitted by projected gradient steps, so that the expected tokens of each domain (rate * tokens * posterior, summed) meet
-the targets in least squares. A rate depends on its document's posterior and on the gradients so far, of which there is
-one small vector a step: a step is one pass over a slim table that sums a few numbers.
+A classifier learnt from the labelled table gives every document its posterior p over domains. Nonnegative rates minimise
+
+    |sum(share * rate * p) - target|^2 + ridge * sum(share * (rate - 1)^2)
+
+over all documents, where share is a document's part of all tokens. At the minimum every rate is a gradient step of length
+1 / ridge from 1, projected to 0 and more: max(0, 1 - p . gap / ridge), where gap is what the domain totals are off. So the
+rates of any number of documents follow from one small vector. It is found by passes over a slim table, each of which sums
+the totals and their slopes at a trial vector; Newton's method picks the next one.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +29,18 @@ from gaugeflow.llm._scratch import Scratch
 TARGET = {"high": 0.7, "low": 0.3, "toxic": 0.0}
 #: Hashed byte trigrams that describe a text, and labelled rows the classifier learns from at most, by hash of the id.
 FEATURES, TRAIN_ROWS = 1024, 8_000
-#: Steps at most, and the relative change of the domain totals at which they end.
-STEPS, ENOUGH = 60, 1e-6
-#: Bytes of text looked at together.
-PIECE = 1 << 20
+#: Weight of staying near rate 1 against meeting the targets. Without any, a target that no mixture meets (such as a toxic
+#: share of 0, as no posterior is 0) is approached best by two documents, repeated endlessly.
+RIDGE = 1e-4
+#: Trial vectors at most for a ridge, and the error of the domain shares at which they end.
+STEPS, ENOUGH = 40, 1e-9
+#: Bytes of text, and texts, looked at together.
+PIECE, ROWS = 1 << 18, 512
 
 
 def features(texts: list[bytes | None]) -> np.ndarray:
     """Square roots of the shares of hashed byte trigrams, a row per text; zeros for empty ones."""
-    out = np.zeros((len(texts), FEATURES))
+    out = np.zeros((len(texts), FEATURES), np.float32)
     at = 0
     while at < len(texts):
         group, size = [], 0
@@ -56,25 +63,28 @@ def features(texts: list[bytes | None]) -> np.ndarray:
     return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1))
 
 
+def _halves(texts: list[bytes | None]) -> pa.Array:
+    return pa.array([r.tobytes() for at in range(0, len(texts), ROWS) for r in features(texts[at : at + ROWS]).astype(np.float16)], pa.binary())
+
+
 @dataclass
 class Mixture:
-    """What places a document: the classifier, the first rate, and the steps taken."""
+    """What places a document: the classifier, and what the domain shares are off."""
 
     weights: np.ndarray
-    first: float = 1.0
-    steps: list[np.ndarray] = field(default_factory=list)
+    gap: np.ndarray
+    ridge: float = RIDGE
 
     def posterior(self, texts: list[bytes | None]) -> np.ndarray:
-        x = features(texts)
-        z = x @ self.weights[:-1] + self.weights[-1]
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+        out = [np.empty((0, self.weights.shape[1]))]
+        for at in range(0, len(texts), ROWS):
+            z = features(texts[at : at + ROWS]) @ self.weights[:-1] + self.weights[-1]
+            e = np.exp((z - z.max(axis=1, keepdims=True)).astype(np.float64))
+            out.append(e / e.sum(axis=1, keepdims=True))
+        return np.concatenate(out)
 
     def rate(self, posterior: np.ndarray) -> np.ndarray:
-        rate = np.full(len(posterior), self.first)
-        for step in self.steps:
-            rate = np.maximum(0.0, rate - posterior @ step)
-        return rate
+        return np.maximum(0.0, 1.0 - posterior @ self.gap / self.ridge)
 
 
 def _learn(x: np.ndarray, y: np.ndarray, kinds: int) -> np.ndarray:
@@ -113,8 +123,8 @@ def _members(mixture: Mixture, text: str):
     return compute
 
 
-def fit_mixture(df: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id: str = "doc_id", text: str = "text") -> Mixture:  # noqa: A002
-    """The mixture whose expected token totals are target shares of df's tokens, as nearly as rates >= 0 allow.
+def fit_mixture(df: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id: str = "doc_id", text: str = "text", ridge: float = RIDGE) -> Mixture:  # noqa: A002
+    """The mixture whose expected token totals are target shares of df's tokens, as nearly as rates >= 0 and the ridge allow.
 
     Labelled rows are toxic where `toxic` is 1, else high or low by `quality`; null labels and ids are left out, repeated
     ids count once. At most TRAIN_ROWS of them are learnt from. Without labels all posteriors are equal.
@@ -129,40 +139,63 @@ def fit_mixture(df: DataFrame, labels: DataFrame, target: dict[str, float] | Non
         n = known.count()
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = docs.join(F.broadcast(known), F.col("id") == F.col("__id")).select("kind", "text")
-    as_features = add_columns(rows, "x binary", lambda: lambda b: [pa.array([r.astype(np.float16).tobytes() for r in features(as_bytes(b.column("text")))], pa.binary())], ["kind"])
-    seen = as_features.toPandas()
+    seen = add_columns(rows, "x binary", lambda: lambda b: [_halves(as_bytes(b.column("text")))], ["kind"]).toPandas()
     x = np.stack([np.frombuffer(r, np.float16) for r in seen["x"]]).astype(np.float32) if len(seen) else np.empty((0, FEATURES), np.float32)
-    mixture = Mixture(_learn(x, seen["kind"].to_numpy(int), len(goal)))
+    mixture = Mixture(_learn(x, seen["kind"].to_numpy(int), len(goal)), np.zeros(len(goal)), ridge)
 
     scratch = Scratch(df.sparkSession, "mixing")
-    slim = scratch.table(add_columns(docs.select("text"), "n bigint, p array<double>, rate double", _members(mixture, "text"), []).select("n", "p"))
-    size = range(len(goal))
-    square = slim.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in size for j in size]).first()
-    if not square["n"]:
-        return mixture
-    want = goal / goal.sum() * square["n"]
-    # Gradients are scaled by the inverse of sum(n p p'), and each document's by 1 / n: a step of length 1 then meets the
-    # targets at once as long as no rate is held at 0, and can't overshoot.
-    scale = np.linalg.pinv(np.array([[square[f"m{i}_{j}"] for j in size] for i in size]) + 1e-9 * square["n"] * np.eye(len(goal)))
-    before = None
-    for _ in range(STEPS):
-        parts = slim.mapInArrow(_totals(mixture, len(goal)), "total array<double>")
-        total = np.array(parts.agg(*[F.sum(F.col("total")[i]) for i in size]).first(), dtype=float)
-        if before is not None and np.abs(total - before).max() <= ENOUGH * square["n"]:
-            break
-        before = total
-        mixture.steps.append(scale @ (total - want))
+    slim = scratch.table(add_columns(docs.select("text"), "n bigint, p array<double>, rate double", _members(mixture, "text"), []).select("n", "p").where("n > 0"))
+    tokens = slim.agg(F.sum("n")).first()[0]
+    if tokens:
+        now = 1.0
+        while now > ridge:
+            mixture.gap = _solved(slim, tokens, goal / goal.sum(), mixture.gap, now)
+            now /= 10
+        mixture.gap = _solved(slim, tokens, goal / goal.sum(), mixture.gap, ridge)
     scratch.drop(slim)
     return mixture
 
 
-def _totals(mixture: Mixture, kinds: int):
+def _solved(slim: DataFrame, tokens: int, goal: np.ndarray, gap: np.ndarray, ridge: float) -> np.ndarray:
+    """The vector whose rates leave just this gap, by Newton steps from another ridge's; a step is halved until the dual
+    objective falls. All that a pass brings to the driver is a few numbers."""
+    k = len(goal)
+
+    def at(trial: np.ndarray):
+        parts = slim.mapInArrow(_sums(trial, ridge), "sums array<double>")
+        row = np.array(parts.agg(*[F.sum(F.col("sums")[i]) for i in range(k + k * k + 1)]).first(), dtype=float) / tokens
+        total, slope, square = row[:k], row[k:-1].reshape(k, k), row[-1]
+        return trial + goal - total, slope, trial @ trial / 2 + trial @ goal + ridge / 2 * square
+
+    error, slope, value = at(gap)
+    for _ in range(STEPS):
+        if np.abs(error).max() <= ENOUGH:
+            break
+        step, length = np.linalg.solve(np.eye(k) + slope / ridge, error), 1.0
+        while True:
+            trial = at(gap - length * step)
+            if trial[2] <= value - 1e-4 * length * (error @ step) + 1e-12 * (1 + abs(value)) or length < 1e-6:
+                break
+            length /= 2
+        if length < 1e-6:  # as near as sums of doubles tell
+            break
+        gap = gap - length * step
+        error, slope, value = trial
+    return gap
+
+
+def _sums(gap: np.ndarray, ridge: float):
+    """Of a task's documents: tokens by domain at the rates, their slopes, and the square of the rates by tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(kinds)
+        k = len(gap)
+        sums = np.zeros(k + k * k + 1)
         for batch in batches:
-            p = batch.column("p").flatten().to_numpy().reshape(-1, kinds)
-            total += (batch.column("n").to_numpy() * mixture.rate(p)) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["total"])
+            p, n = batch.column("p").flatten().to_numpy().reshape(-1, k), batch.column("n").to_numpy()
+            rate = np.maximum(0.0, 1.0 - p @ gap / ridge)
+            on = p * (n * (rate > 0))[:, None]
+            sums += np.concatenate(((n * rate) @ p, (on.T @ p).ravel(), [(n * rate) @ rate]))
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], ["sums"])
 
     return run
 
