@@ -1,12 +1,14 @@
 """Threshold-scaled sketches: of a document's shingle hashes, those below a fixed fraction of the hash space.
 
 A sketch grows with its document, the sketch of a union is the union of sketches, and both Jaccard and containment of
-documents of very unequal length can be read off two sketches.
+documents of very unequal length can be read off two sketches. Documents of few shingles keep all of them, as a fraction
+would leave nothing to compare; such a sketch and a longer document's are compared below the fraction.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,32 +17,58 @@ from gaugeflow.llm._native import let, spaced_words
 
 #: Words of a shingle.
 SHINGLE = 5
-#: One of so many shingle hashes is kept.
-SCALE = 16
+#: One of so many shingle hashes is kept; of documents with at most WHOLE different shingles, all.
+SCALE, WHOLE = 8, 256
 #: Rows that one task orders to find each document's successor, about.
 NEIGHBOUR_ROWS = 2_000
-#: Ranges at most: their first keys are broadcast, 16 bytes each.
-MOST_RANGES = 200_000
+#: Ranges at most: their first keys are broadcast, 24 bytes each. Of quantiles that ranges begin with, at most.
+MOST_RANGES, QUANTILES = 200_000, 2_000
 
 
-def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Sorted distinct hashes (array<long>) of word shingles that lie in the lowest 1/scale of the hash space.
+def _bound(scale: int) -> Column:
+    return F.lit(-(1 << 63) + (1 << 64) // scale - 1)
 
-    Words are runs of letters and digits (all beyond ASCII counts as a letter), A-Z lower-cased. A text with fewer words
-    than a shingle has its whole word sequence as one; null and empty texts have none.
-    """
-    last = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
+
+def _shingles(text: Column, shingle: int) -> Column:
+    """Hashes of the text's word shingles, in order."""
     hashes = F.transform(F.filter(F.split(spaced_words(text), " "), lambda w: w != ""), lambda w: F.xxhash64(w))
 
     def rolled(h: Column) -> Column:
         n = F.size(h)
         full = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(shingle)]))
         short = F.when(n > 0, F.array(F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: F.xxhash64(acc, x)))).otherwise(F.array().cast("array<bigint>"))
-        return F.array_sort(F.array_distinct(F.filter(F.when(n >= shingle, full).otherwise(short), lambda x: x <= last)))
+        return F.when(n >= shingle, full).otherwise(short)
 
     return let(hashes, rolled)
 
 
+def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
+    """Sorted distinct hashes (array<long>) of word shingles that lie in the lowest 1/scale of the hash space.
+
+    Words are runs of letters and digits (all beyond ASCII counts as a letter), A-Z lower-cased. A text with fewer words
+    than a shingle has its whole word sequence as one; null and empty texts have none.
+    """
+    return F.array_sort(F.array_distinct(F.filter(_shingles(text, shingle), lambda x: x <= _bound(scale))))
+
+
+def document_sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE, whole: int = WHOLE) -> Column:
+    """struct<n: int, hashes: array<long>>: the text's different shingles, and its sketch, which holds all of them if n <= whole."""
+
+    def kept(h: Column) -> Column:
+        return F.struct(F.size(h).alias("n"), F.array_sort(F.when(F.size(h) <= whole, h).otherwise(F.filter(h, lambda x: x <= _bound(scale)))).alias("hashes"))
+
+    return let(F.array_distinct(_shingles(text, shingle)), kept)
+
+
+def likeness(left: Column, right: Column, scale: int = SCALE, whole: int = WHOLE) -> Column:
+    """Estimated Jaccard similarity of two document sketches, 0..1: exact where both hold all shingles. Documents without
+    words are like each other (1) and unlike all others (0)."""
+    low = lambda x: F.filter(x["hashes"], lambda h: h <= _bound(scale))
+    exact = (left["n"] <= whole) & (right["n"] <= whole)
+    found = F.when(exact, jaccard(left["hashes"], right["hashes"])).otherwise(jaccard(low(left), low(right)))
+    return F.when((left["n"] == 0) & (right["n"] == 0), F.lit(1.0)).when((left["n"] == 0) | (right["n"] == 0), F.lit(0.0)).otherwise(found)
+
+
 def fingerprint(hashes: Column) -> Column:
     """A sketch as text: 16 hex digits a hash, comma-joined."""
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
@@ -63,31 +91,65 @@ def containment(inner: Column, outer: Column) -> Column:
     return F.when(F.size(inner) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(inner, outer)) / F.greatest(F.size(inner), F.lit(1)))
 
 
-def with_sketch(df: DataFrame, text: str = "text", shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """Adds `sketch` (array<long>) and `fingerprint` (string); rows are neither moved nor dropped."""
-    out = df.withColumn("sketch", sketch(F.col(text), shingle, scale))
-    return out.withColumn("fingerprint", fingerprint(F.col("sketch")))
-
-
-def with_next(df: DataFrame, key: str, tie: Column, carry: list[str]) -> DataFrame:
-    """Adds `next` (struct of carry): those columns of the row that follows in descending key order; after the last comes the first.
-
-    Rows are dealt into equal ranges of the key, each ordered by itself; the first row of every range is also sent to the
-    range before it. Null keys come last; equal keys are ordered by tie, rows equal in both in any order.
+def with_sketch(df: DataFrame, text: str = "text", shingle: int = SHINGLE, scale: int = SCALE, whole: int = WHOLE) -> DataFrame:
+    """Adds `sketch` (document_sketch()); rows are neither moved nor dropped."""
+    return df.withColumn("sketch", document_sketch(F.col(text), shingle, scale, whole))
+
+
+def document_fingerprint(found: Column) -> Column:
+    """A document sketch as text: the count of different shingles, a colon, and the hashes as fingerprint() writes them."""
+    return F.concat(found["n"].cast("string"), F.lit(":"), fingerprint(found["hashes"]))
+
+
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are <= key, found in two steps of about a square root of comparisons each."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds) - 1) + 1
+    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    long = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    part = F.size(F.filter(long([p[0] for p in parts]), lambda x: x <= key))
+    inner = F.size(F.filter(F.get(F.array(*map(long, parts)), part - 1), lambda x: x <= key))
+    return F.when(part == 0, 0).otherwise((part - 1) * width + inner)
+
+
+def _placed(df: DataFrame, key: str, rows: int) -> Column:
+    """The number (long) of each row's range. Ranges go by descending key, nulls last, and hold about NEIGHBOUR_ROWS rows
+    wherever keys lie: they begin at quantiles and are divided evenly from there; rows of one key by their tie-break."""
+    parts = min(QUANTILES, math.ceil(rows / NEIGHBOUR_ROWS))
+    most = max(NEIGHBOUR_ROWS, math.ceil(rows / MOST_RANGES))
+    found = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 4 * QUANTILES)).first()[0] if parts > 1 else []
+    often = {a for a, b in zip(found or [], (found or [])[1:], strict=False) if a == b}
+    bounds = sorted({*(found or []), *(x + 1 for x in often)})
+    at = F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(_range_of(F.col(key), bounds))
+    stats = {r["r"]: r for r in df.groupBy(at.alias("r")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
+    every = [stats.get(i) for i in range(len(bounds) + 2)]
+    pick = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), at)
+    high, span, cuts = pick([r["hi"] if r and r["hi"] is not None else 0 for r in every]), pick([r["hi"] - r["lo"] + 1 if r and r["hi"] is not None else 1 for r in every]), pick([math.ceil(r["n"] / most) if r else 1 for r in every])
+    share = F.when(span > 1, (high - F.coalesce(F.col(key), F.lit(0)).cast("double")) / span).otherwise(F.col("__tie").cast("double") / float(1 << 64) + 0.5)
+    number = F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(len(bounds) - at)
+    return number.cast("long") * F.lit(1 << 32) + F.least(F.floor(share * cuts), cuts - 1).cast("long")
+
+
+def with_next(df: DataFrame, key: str, tie: Column, carry: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds `next` (struct of carry): those columns of the row that follows in descending order of the integer key; after
+    the last comes the first.
+
+    Rows are dealt into ranges of about equal size, each ordered by itself; the first row of every range is also sent to
+    the range before it. Null keys come last; equal keys are ordered by tie, rows equal in both in any order. prepare may
+    add columns to the dealt rows, so that they need no shuffle of their own.
     """
-    keyed = df.withColumn("__key", F.coalesce(F.col(key), F.lit(-(1 << 62)))).withColumn("__tie", tie)
-    low, high, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, math.ceil((high - low + 1) / max(1, min(MOST_RANGES, math.ceil(rows / NEIGHBOUR_ROWS)))))
-    last = (high - low) // width + 1
-    keyed = keyed.withColumn("__range", F.when(F.col(key).isNull(), F.lit(last)).otherwise(F.call_function("div", F.lit(high).cast("long") - F.col("__key"), F.lit(width).cast("long"))).cast("long"))
-    # The first key of each range and the range before it that has rows, the first range wrapping to the last.
-    heads = keyed.groupBy("__range").agg(F.max("__key").alias("__head"))
-    order = Window.orderBy("__range")
-    ends = heads.agg(F.max("__range").alias("__last"))
-    heads = heads.withColumn("__before", F.lag("__range").over(order)).crossJoin(F.broadcast(ends)).select("__head", F.coalesce("__before", "__last").alias("__before"))
-    sent = keyed.join(F.broadcast(heads), keyed["__key"] == heads["__head"]).drop("__head", "__range").withColumnRenamed("__before", "__range")
-    both = keyed.withColumn("__sent", F.lit(False)).unionByName(sent.withColumn("__sent", F.lit(True)))
-    window = Window.partitionBy("__range").orderBy("__sent", F.col("__key").desc(), "__tie")
-    out = both.withColumn("next", F.lead(F.struct(*carry)).over(window))
+    rows = df.count()
+    keyed = df.withColumn("__tie", tie)
+    keyed = keyed.withColumn("__range", _placed(keyed, key, rows) if rows else F.lit(0).cast("long"))
+    keyed = keyed.withColumn("__key", F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit((1 << 63) - 1)))
+    # The first row of each range and the range before it that has rows, the first range wrapping to the last.
+    heads = keyed.groupBy("__range").agg(F.min(F.struct("__key", "__tie")).alias("__head"))
+    whole = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.lag("__range").over(Window.orderBy("__range")), F.last("__range").over(whole))
+    heads = heads.select(F.col("__head.__key").alias("__k"), F.col("__head.__tie").alias("__t"), before.alias("__before"))
+    sent = keyed.join(F.broadcast(heads), (F.col("__key") == F.col("__k")) & (F.col("__tie") == F.col("__t"))).drop("__k", "__t", "__range").withColumnRenamed("__before", "__range")
+    both = keyed.withColumn("__sent", F.lit(False)).unionByName(sent.withColumn("__sent", F.lit(True))).repartition("__range")
+    window = Window.partitionBy("__range").orderBy("__sent", "__key", "__tie")
+    out = (prepare(both) if prepare else both).withColumn("next", F.lead(F.struct(*carry)).over(window))
     return out.where(~F.col("__sent")).drop("__sent", "__range", "__key", "__tie")

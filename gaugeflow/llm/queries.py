@@ -49,14 +49,14 @@ def op5_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = fingerprints.with_sketch(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    both = fingerprints.with_next(own, "doc_id", F.xxhash64("text"), ["text", "sketch"])
+    both = fingerprints.with_next(docs, "doc_id", F.xxhash64("text"), ["text", "sketch"], fingerprints.with_sketch).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = both.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next.text", half)))
-    edited = edited.withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
+    edited = edited.withColumn("edited_sketch", fingerprints.document_sketch(F.col("edited")))
     return edited.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprints.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        fingerprints.jaccard(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), fingerprints.jaccard(F.col("sketch"), F.col("next.sketch")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.document_fingerprint(F.col("sketch")).alias("fingerprint"), fingerprints.document_fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), fingerprints.likeness(F.col("sketch"), F.col("next.sketch")).alias("near_next"),
     )
 
 
