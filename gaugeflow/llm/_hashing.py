@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes hashed at once, about.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _RANDOM = np.random.default_rng(20_241)
 _BYTE = _RANDOM.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

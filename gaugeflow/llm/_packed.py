@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gaugeflow.llm._carry import slices
+
 #: Members packed at once in a task, and in one range, about.
 BLOCK = 1_500_000
 
@@ -69,7 +71,7 @@ def pack_sets(members: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         total = 0
-        for batch in batches:
+        for batch in slices(batches):
             for key, grams in members(batch):
                 if len(grams) and key not in held:
                     held[key] = grams

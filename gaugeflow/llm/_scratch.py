@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugeflow.llm._carry import bounded
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where Spark runs in a single local process."""
@@ -24,7 +26,7 @@ class Scratch:
     """Written tables of one operator run. A lost executor costs nothing but a re-read of the files."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = bounded(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
     def table(self, df: DataFrame) -> DataFrame:

@@ -10,15 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.llm._carry import slices
 from gaugeflow.llm._hashing import as_bytes
 from gaugeflow.llm._scratch import Scratch
 
 #: Bytes of a chunk: at least, at most; beyond the least, one place in 2**CUT_BITS ends it.
 LEAST, MOST, CUT_BITS = 40, 512, 5
 #: Bytes hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Chunk rows handed on at once.
-ROWS = 100_000
+ROWS = 20_000
 
 _GEAR = np.random.default_rng(97).integers(1 << 32, size=256, dtype=np.uint64).astype(np.uint32)
 
@@ -63,7 +64,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     kind = None
-    for batch in batches:
+    for batch in slices(batches):
         kind = batch.column("id").type
         for doc, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text")), strict=True):
             start = 0

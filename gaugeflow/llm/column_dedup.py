@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.llm._carry import slices
 from gaugeflow.llm._hashing import _BASE, _BYTE, _INVERSE, _powers, as_bytes, mix
 from gaugeflow.llm._packed import BLOCK, pack_sets, shared_members
 from gaugeflow.llm._scratch import Scratch
@@ -28,7 +29,7 @@ from gaugeflow.llm._scratch import Scratch
 #: Bytes of a string that may occur once only, and of an anchor.
 LENGTH, GRAM = 400, 64
 #: Bytes of a text looked at together.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Neighbourhoods sorted in one block; an anchor with more is shared over tasks.
 SORTED, SHARED = 20_000, 5_000
 
@@ -64,7 +65,7 @@ def _anchor_rows(length: int, gram: int):
     before, after = length - gram, length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for key, text in zip(batch.column("key").to_numpy(), as_bytes(batch.column("text")), strict=True):
                 n, last = len(text or b""), -1
@@ -157,7 +158,7 @@ def _sorted_blocks(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[dict] = []
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 if len(block) >= SORTED and row["anchor"] != block[-1]["anchor"]:
                     yield solve(block)
@@ -181,7 +182,7 @@ def _contexts(length: int, gram: int):
     """Neighbourhoods cut out of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for key, text, wanted in zip(batch.column("key").to_pylist(), as_bytes(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
                 for w in wanted:
@@ -206,7 +207,7 @@ def _marked(length: int):
     """Of a neighbourhood the strings whose hashes others have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for r in batch.to_pylist():
                 shared = np.array(r["members"], np.int64).view(np.uint64)
@@ -218,7 +219,7 @@ def _marked(length: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sizes, removed, counts, digests = [], [], [], []
         for text, spans in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
             text = text or b""

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.llm._carry import slices
 from gaugeflow.llm._graph import components
 from gaugeflow.llm._hashing import SPACED, as_bytes, shingles, word_hashes
 from gaugeflow.llm._packed import BLOCK, by_set, lists, pack_sets, shared_blocks
@@ -45,7 +46,7 @@ def _gram_sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
 
 def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [(len(g), _class_of(g) if len(g) else None) for g in _gram_sets(batch, width)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.int64())], ["id", "n_shingles", "key"])
 

@@ -9,13 +9,14 @@ document's length. Evidence becomes a probability by a logistic curve, fitted on
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm._carry import add_columns
+from gaugeflow.llm._carry import add_columns, bounded, slices
 from gaugeflow.llm._hashing import _LOWER, as_bytes
 
 #: Bytes of an n-gram, bytes of a window, and the discount of both models.
@@ -25,32 +26,41 @@ TRAIN_ROWS = 200_000
 #: n-grams of the labelled rows in a block of the model at most, or those of 256 contexts; 4 bytes each and 52 a context are broadcast.
 BLOCK_GRAMS = 2_000_000
 #: Bytes of text looked at together.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
-def _pieces(texts: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """Buffers of texts with blanks around them: the bytes, where texts begin, and which text each is. Long texts come in
-    overlapping pieces."""
-    group: list[bytes] = []
-    owners: list[int] = []
-    size = 0
+@dataclass
+class _Part:
+    """Part of a text in a buffer: its place, the bytes before its own that are there as context only, and whether the text
+    begins and ends with it."""
+
+    owner: int
+    start: int
+    lead: int
+    end: int
+    first: bool
+    last: bool
 
-    def joined():
-        gap = b" " * (WINDOW + ORDER)
-        buf = _LOWER[np.frombuffer(gap + b"".join(x + gap for x in group), np.uint8)]
-        starts = np.cumsum([len(gap)] + [len(x) + len(gap) for x in group[:-1]])
-        return buf, starts, list(owners)
 
+def _pieces(texts: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, list[_Part]]]:
+    """Buffers of texts with blanks around them, and what lies where. Long texts come in parts; each part repeats so much of
+    the one before that every n-gram and window that ends in its own bytes is whole."""
+    group: list[bytes] = []
+    parts: list[_Part] = []
+    size, gap = 0, b" " * (WINDOW + ORDER)
+    joined = lambda: (_LOWER[np.frombuffer(gap + b"".join(x + gap for x in group), np.uint8)], parts)
     for i, text in enumerate(texts):
         text = text or b""
         for at in range(0, max(1, len(text)), PIECE):
-            part = text[max(0, at - WINDOW - ORDER) : at + PIECE]
-            if group and size + len(part) > PIECE:
+            lead = min(at, WINDOW + ORDER - 2)
+            piece = text[at - lead : at + PIECE]
+            if group and size + len(piece) > PIECE:
                 yield joined()
-                group, owners, size = [], [], 0
-            group.append(part)
-            owners.append(i)
-            size += len(part) + WINDOW + ORDER
+                group, parts, size = [], [], 0
+            start = len(gap) + size
+            parts.append(_Part(i, start, lead, start + len(piece), at == 0, at + PIECE >= len(text)))
+            group.append(piece)
+            size += len(piece) + len(gap)
     if group:
         yield joined()
 
@@ -63,33 +73,38 @@ def _codes(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def _inside(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which bytes belong to texts, not to the blanks around them."""
-    ends = np.append(starts[1:], len(buf)) - WINDOW - ORDER
-    step = np.zeros(len(buf) + 1, np.int8)
+def _between(n: int, starts: list[int], ends: list[int]) -> np.ndarray:
+    """Which of n places lie in one of the runs."""
+    step = np.zeros(n + 1, np.int8)
     np.add.at(step, starts, 1)
     np.add.at(step, ends, -1)
-    return np.cumsum(step[:-1]).astype(bool)
+    return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, place = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    at, sums = 0, np.zeros((len(grams), 3), np.int64)
+    for g, c in found:
+        sums[place[at : at + len(g)]] += c
+        at += len(g)
+    return grams, sums
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, n, ordinary, toxic) of a task; kind is 0 or 1 in labelled rows, else null."""
-    grams, counts = np.empty(0, np.uint32), np.empty((0, 3), np.int64)
-    for batch in batches:
+    found, fresh = [(np.empty(0, np.uint32), np.empty((0, 3), np.int64))], 0
+    for batch in slices(batches):
         kinds = batch.column("kind").fill_null(2).to_numpy()
-        for buf, starts, owners in _pieces(as_bytes(batch.column("text"))):
-            inside = _inside(buf, starts)
-            codes = _codes(buf)[inside]
-            lengths = np.append(starts[1:], len(buf)) - WINDOW - ORDER - starts
-            kind = np.repeat(kinds[owners], lengths)
-            found = np.unique(codes)
-            at = np.searchsorted(found, codes)
-            new = np.stack([np.bincount(at, minlength=len(found))] + [np.bincount(at[kind == k], minlength=len(found)) for k in (0, 1)], axis=1)
-            both, place = np.unique(np.concatenate((grams, found)), return_inverse=True)
-            sums = np.zeros((len(both), 3), np.int64)
-            sums[place[: len(grams)]] += counts
-            sums[place[len(grams) :]] += new
-            grams, counts = both, sums
+        for buf, parts in _pieces(as_bytes(batch.column("text"))):
+            codes = _codes(buf)[_between(len(buf), [p.start + p.lead for p in parts], [p.end for p in parts])]
+            kind = np.repeat(kinds[[p.owner for p in parts]], [p.end - p.start - p.lead for p in parts])
+            grams, total = np.unique(codes, return_counts=True)
+            by_kind = [np.bincount(np.searchsorted(grams, codes[kind == k]), minlength=len(grams)) for k in (0, 1)]
+            found.append((grams, np.stack((total, *by_kind), axis=1)))
+            fresh += len(grams)
+            if fresh > len(found[0][0]):  # as much again as there was
+                found, fresh = [_merged(found)], 0
+    grams, counts = _merged(found)
     yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), *[pa.array(np.ascontiguousarray(counts[:, k])) for k in range(3)]], ["gram", "n", "ordinary", "toxic"])
 
 
@@ -125,6 +140,12 @@ class Block:
             backoff.append(free)
         self.first, self.last = first, last
         self.contexts = (contexts - first).astype(np.int32)
+        # Row of each context by pages of 256 contexts; page 0 and all else unknown lead to row 0.
+        pages, on = np.unique(self.contexts >> 8, return_inverse=True)
+        self.pages = np.zeros(last - first >> 8, np.int32)
+        self.pages[pages] = np.arange(1, len(pages) + 1)
+        self.rows = np.zeros((len(pages) + 1, 256), np.int32)
+        self.rows[on + 1, self.contexts & 255] = np.arange(1, len(contexts) + 1)
         # Row 0 is that of unknown contexts; unseen in both, what both classes back off to is the same.
         self.unseen = np.append(0, np.log(backoff[1] / backoff[0])).astype(np.float32)
         self.values = np.append(np.log(by_class[1] / by_class[0]), 0).astype(np.float32)
@@ -134,25 +155,15 @@ class Block:
         np.bitwise_or.at(self.seen, word, bit)
         self.before = np.append(0, np.cumsum(np.bincount(word, minlength=len(self.seen)))[:-1]).astype(np.int32)
 
-    def index(self) -> np.ndarray:
-        """Row of each context of the range; 0 for those unknown."""
-        if not hasattr(self, "_index"):
-            self._index = np.zeros(self.last - self.first, np.int32)
-            self._index[self.contexts] = np.arange(1, len(self.contexts) + 1)
-        return self._index
-
     def of(self, codes: np.ndarray) -> np.ndarray:
         """The differences of n-grams whose contexts are in the range."""
-        row = self.index()[(codes >> np.uint32(8)) - np.uint32(self.first)]
+        row = self.rows[self.pages[(codes >> np.uint32(16)) - np.uint32(self.first >> 8)], codes >> np.uint32(8) & np.uint32(255)]
         word = row * 4 + (codes >> np.uint32(6) & np.uint32(3)).astype(np.int32)
         bit = np.uint64(1) << (codes & np.uint32(63)).astype(np.uint64)
         seen = self.seen[word]
         place = self.before[word] + np.bitwise_count(seen & (bit - np.uint64(1)))
         return np.where(seen & bit, self.values[np.minimum(place, len(self.values) - 1)], self.unseen[row])
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_index"}
-
 
 class Model:
     """The blocks (broadcast) of all contexts and the curve."""
@@ -174,12 +185,14 @@ class Model:
     def evidence(self, texts: list[bytes | None]) -> np.ndarray:
         """For each text the largest mean difference over its windows; texts shorter than a window count as filled up with zeros."""
         out = np.full(len(texts), -np.inf)
-        for buf, starts, owners in _pieces(texts):
-            value = self.differences(_codes(buf)) * _inside(buf, starts)
-            run = np.concatenate(([0.0], np.cumsum(value, dtype=np.float64)))
+        for buf, parts in _pieces(texts):
+            # Of a part that continues a text, the first n-grams aren't whole; blanks around texts stay 0.
+            known = _between(len(buf), [p.start + (0 if p.first else ORDER - 1) for p in parts], [p.end for p in parts])
+            run = np.concatenate(([0.0], np.cumsum(self.differences(_codes(buf)) * known, dtype=np.float64)))
             window = (run[WINDOW:] - run[:-WINDOW]) / WINDOW
-            # The blanks before a text give windows that begin in it room, those behind it windows that end in it.
-            np.maximum.at(out, owners, np.maximum.reduceat(window, np.maximum(starts - WINDOW + 1, 0)))
+            # Windows that end in a part's own bytes, and behind the text's last part those that still begin in it.
+            ends = np.array([(p.start + p.lead - WINDOW + 1, p.end if p.last else p.end - WINDOW + 1) for p in parts]).ravel()
+            np.maximum.at(out, [p.owner for p in parts], np.maximum.reduceat(window, ends)[::2])
         return out
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
@@ -245,7 +258,7 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
     """The model of all documents' texts and of the labels that may be learnt. Rows without a label count for the shared
     orders. All n-grams of the labelled rows are in the model; blocks of about BLOCK_GRAMS of them come to the driver one
     after another and are broadcast, besides at most 256**3 shared trigrams."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     known = training_labels(labels, id, label)
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     marked = docs.join(F.broadcast(known), "id", "left").select("text", F.when(~F.col("tune"), F.col("kind")).alias("kind"))
