@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing.
 
 Of every 9 consecutive 5-gram hashes of words the smallest is kept, on both sides; any shared run of 13 words therefore
-shares a kept hash. Hits are extended along their alignment, word by word. The benchmark is looked up in blocks of a fixed
+shares a kept hash. From each shared hash a hit is extended to the windows that hold it. The benchmark is looked up in blocks of a fixed
 number of words, each checked before it is broadcast; texts are neither shuffled nor collected, whatever the benchmark's size.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm._carry import add_columns
+from gaugeflow.llm._carry import add_columns, bounded, slices
 from gaugeflow.llm._hashing import ALNUM, as_bytes, shingles, word_hashes
 
 #: Words of a benchmark window, of a hashed gram, and hashes of which the smallest is kept: WINDOW = GRAM + KEEP_OF - 1.
@@ -46,60 +46,71 @@ def fingerprint_places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kept, grams[kept]
 
 
+def _grams_at(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the `width` words from each start on, as shingles() has them."""
+    return shingles(words[starts[:, None] + np.arange(width)].T, width)[0] if len(starts) else np.empty(0, np.uint64)
+
+
+class _Index:
+    """Hashes, sorted, with their owners."""
+
+    def __init__(self, hashes: np.ndarray, owners: np.ndarray):
+        pairs = np.unique(np.rec.fromarrays((hashes, owners), names="h,o"))
+        self.hashes, first = np.unique(pairs["h"], return_index=True)
+        self.owners, self.at = pairs["o"], np.append(first, len(pairs))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Which are there, and the owners of those."""
+        place = np.minimum(np.searchsorted(self.hashes, wanted), max(0, len(self.hashes) - 1))
+        known = self.hashes[place] == wanted if len(self.hashes) else np.zeros(len(wanted), bool)
+        return known, sorted({int(o) for x in np.unique(place[known]) for o in self.owners[self.at[x] : self.at[x + 1]]})
+
+
 class _Block:
-    """Benchmark segments with their fingerprints sorted."""
+    """Benchmark segments: their fingerprints, and their windows with the items that have them."""
 
     def __init__(self, segments: list[tuple[str, np.ndarray]]):
-        self.items = [name for name, _ in segments]
-        self.words = [words for _, words in segments]
-        owner, place, hashes, self.short = [], [], [], {}
-        for i, words in enumerate(self.words):
-            if len(words) < WINDOW:
-                self.short.setdefault(len(words), []).append((shingles(words, len(words))[0], i))
-                continue
-            at, h = fingerprint_places(words)
-            owner.append(np.full(len(at), i))
-            place.append(at)
-            hashes.append(h)
-        cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        h = cat(hashes, np.uint64)
-        order = np.argsort(h)
-        self.hashes, self.owner, self.place = h[order], cat(owner, np.int64)[order], cat(place, np.int64)[order]
-        for n, found in self.short.items():
-            found.sort()
-            self.short[n] = (np.array([h for h, _ in found], np.uint64), np.array([i for _, i in found]))
-
-    @staticmethod
-    def _matches(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (index in wanted, index in sorted_hashes) of equal values."""
-        lo, hi = np.searchsorted(sorted_hashes, wanted, "left"), np.searchsorted(sorted_hashes, wanted, "right")
-        count = hi - lo
-        left = np.repeat(np.arange(len(wanted)), count)
-        return left, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+        self.items = sorted({name for name, _ in segments})
+        number = {name: i for i, name in enumerate(self.items)}
+        prints: list[np.ndarray] = [np.empty(0, np.uint64)]
+        windows: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for name, words in segments:
+            width = min(WINDOW, len(words))
+            windows.setdefault(width, []).append((shingles(words, width), number[name]))
+            if width == WINDOW:
+                prints.append(fingerprint_places(words)[1])
+        self.prints = np.unique(np.concatenate(prints))
+        self.windows = {w: _Index(np.concatenate([h for h, _ in x]), np.repeat([i for _, i in x], [len(h) for h, _ in x])) for w, x in windows.items()}
 
     def hits(self, words: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Runs of document words inside windows, and the items whose windows occur."""
+        """Runs of document words inside windows, and the items whose windows occur.
+
+        Around each fingerprint that the benchmark has too, all windows that hold it are looked up, each once; equal words
+        in a row make no pairs of places.
+        """
         runs, items = [], set()
-        places, hashes = fingerprint_places(words)
-        at, mine = self._matches(self.hashes, hashes)
-        if len(at):
-            aligned = np.unique(np.stack((self.owner[mine], places[at] - self.place[mine])), axis=1)
-            for i, shift in aligned.T:
-                item = self.words[i]
-                a, b = max(0, shift), min(len(words), shift + len(item))
-                same = np.flatnonzero(np.diff(np.concatenate(([False], words[a:b] == item[a - shift : b - shift], [False])).view(np.int8)))
-                for s, e in zip(same[::2], same[1::2], strict=True):
-                    if e - s >= WINDOW:
-                        runs.append((int(a + s), int(a + e)))
-                        items.add(self.items[i])
-        for n, (sought, owner) in self.short.items():
-            if len(words) >= n:
-                at, mine = self._matches(sought, shingles(words, n))
-                runs += [(int(x), int(x) + n) for x in np.unique(at)]
-                items.update(self.items[owner[x]] for x in np.unique(mine))
+        for width, index in self.windows.items():
+            if len(words) < width:
+                continue
+            starts = np.arange(len(words) - width + 1)
+            if width == WINDOW:
+                places, hashes = fingerprint_places(words)
+                near = places[np.isin(hashes, self.prints)]
+                starts = np.unique(np.clip(near[:, None] - np.arange(KEEP_OF), 0, len(starts) - 1))
+            known, owners = index.find(_grams_at(words, starts, width))
+            runs += _runs(starts[known], width)
+            items.update(self.items[o] for o in owners)
         return runs, items
 
 
+def _runs(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """What windows of a width cover, from their sorted starts."""
+    if not len(starts):
+        return []
+    cut = np.flatnonzero(np.diff(starts) > width)
+    return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + width).tolist(), strict=True))
+
+
 def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(runs):
@@ -111,7 +122,7 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         ids, blobs = [], []
         for item, words in zip(batch.column("id").to_pylist(), word_hashes(as_bytes(batch.column("text")), ALNUM), strict=True):
             for start in range(0, max(1, len(words) - WINDOW + 1), SEGMENT):
@@ -164,6 +175,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     occurs; a null id counts as "". Null and empty texts have no words. Rows are kept as they are, repeated ones too; an
     empty benchmark hits nothing. Words are compared by 64-bit hashes. Columns of the added names are replaced.
     """
+    bounded(df.sparkSession)
     source = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text"))
     segments = source.mapInArrow(_segments, "item string, words binary").distinct()
     total = (segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // 8
