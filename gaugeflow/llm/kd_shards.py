@@ -25,6 +25,8 @@ BINS = 4096
 ROW_OVERHEAD = 16
 #: Rows of one slot group at most, about.
 SLOT_ROWS = 50_000
+#: Texts that stand with different metadata, up to which they are broadcast (32 bytes each).
+MOST_BROADCAST = 500_000
 
 
 def default_axes() -> dict[str, Column]:
@@ -37,14 +39,9 @@ def default_axes() -> dict[str, Column]:
     }
 
 
-def _slim(df: DataFrame, axes: dict[str, Column], size: Column, tie: Column) -> DataFrame:
-    """Size and, for each axis, a key: position on the axis in the high bits, tie-break in the low ones."""
-    return df.select(size.alias("__size"), *_slim_keys(axes, tie))
-
-
-def _tie(text: Column, row_id: Column) -> Column:
+def _tie(same: Column, row_id: Column) -> Column:
     """Equal texts lie side by side; only a group of them that outweighs a step of the histogram is cut, by row id."""
-    by_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 64 - TIE_BITS + ROW_BITS)
+    by_text = F.shiftrightunsigned(same, 64 - TIE_BITS + ROW_BITS)
     return F.shiftleft(by_text, ROW_BITS) + F.shiftrightunsigned(F.xxhash64(row_id), 64 - ROW_BITS)
 
 
@@ -113,8 +110,9 @@ def kd_shards(df: DataFrame, shards: int, axes: dict[str, Column] | None = None,
     """Adds `shard` (int, 0 to shards - 1) and `size` (long); bytes of the shards are near equal.
 
     A node with several shards to come is cut along its widest axis at the weighted quantile that its halves need, until
-    each leaf holds the target of total / shards bytes. Rows with equal positions are told apart by a hash of the text;
-    equal texts with equal metadata share a leaf unless they outweigh 1/512 of a shard and a cut runs through them.
+    each leaf holds the target of total / shards bytes. Rows with equal positions are told apart by a hash of the text.
+    Equal texts take the same place whatever their metadata, and share a leaf unless they outweigh 1/512 of a shard and a
+    cut runs through them.
     Null metadata counts as empty, a null text as 0 bytes; an empty table gives an empty result. Columns named shard and
     size are replaced, all others stay.
     """
@@ -122,7 +120,12 @@ def kd_shards(df: DataFrame, shards: int, axes: dict[str, Column] | None = None,
     size = size if size is not None else utf8_bytes(F.col(text)) + F.lit(ROW_OVERHEAD)
     keys = [f"__k{i}" for i in range(len(axes))]
     scratch = Scratch(df.sparkSession, "kd-shards")
-    slim = scratch.table(_slim(df, axes, size, _tie(F.col(text), F.col(row_id))))
+    same = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    spots = [_position(a).alias(f"__a{i}") for i, a in enumerate(axes.values())]
+    placed = _with_common_spots(df.select("*", size.alias("__size"), same.alias("__same"), *spots), scratch, len(axes))
+    tie = _tie(F.col("__same"), F.col(row_id))
+    placed = placed.select("*", *[(F.shiftleft(F.col(f"__a{i}"), TIE_BITS) + tie).alias(k) for i, k in enumerate(keys)])
+    slim = scratch.table(placed.select("__size", *keys))
     total = float(slim.agg(F.sum("__size")).first()[0] or 0)
     tree: dict = {}
     level = [(0, shards)] if total else []
@@ -130,13 +133,25 @@ def kd_shards(df: DataFrame, shards: int, axes: dict[str, Column] | None = None,
         _cut_level(slim, tree, nodes, keys, total, shards)
         level = [side for n in nodes for side in tree[n][2:]]
     scratch.drop(slim)
-    placed = df.select("*", size.alias("__size"), *_slim_keys(axes, _tie(F.col(text), F.col(row_id))))
-    return placed.withColumn("shard", _place(tree, (0, shards), keys).cast("int")).withColumn("size", F.col("__size")).drop("__size", *keys)
+    out = placed.withColumn("shard", _place(tree, (0, shards), keys).cast("int")).withColumn("size", F.col("__size"))
+    return out.drop("__size", "__same", *keys, *[f"__a{i}" for i in range(len(axes))])
+
+
+def _position(axis: Column) -> Column:
+    return F.floor(F.coalesce(axis, F.lit(0.0)) * ((1 << AXIS_BITS) - 1)).cast("long")
 
 
-def _slim_keys(axes: dict[str, Column], tie: Column) -> list[Column]:
-    top = (1 << AXIS_BITS) - 1
-    return [(F.shiftleft(F.floor(F.coalesce(a, F.lit(0.0)) * top).cast("long"), TIE_BITS) + tie).alias(f"__k{i}") for i, a in enumerate(axes.values())]
+def _with_common_spots(df: DataFrame, scratch: Scratch, axes: int) -> DataFrame:
+    """Equal texts with different metadata take the smallest position on each axis, so that they stand together. Only such
+    texts are joined in; they are broadcast if they are few, else joined by hash."""
+    names = [f"__a{i}" for i in range(axes)]
+    ranges = df.groupBy("__same").agg(*[F.min(a).alias(f"{a}_lo") for a in names], *[F.max(a).alias(f"{a}_hi") for a in names])
+    differ = ranges.where(" or ".join(f"{a}_lo < {a}_hi" for a in names)).select(F.col("__same").alias("__of"), *[f"{a}_lo" for a in names])
+    differ = scratch.table(differ)
+    n = differ.count()
+    joined = df.join(F.broadcast(differ) if n <= MOST_BROADCAST else differ, F.col("__same") == F.col("__of"), "left")
+    kept = [c for c in df.columns if c not in names]
+    return joined.select(*kept, *[F.coalesce(f"{a}_lo", a).alias(a) for a in names])
 
 
 def with_slots(df: DataFrame, order: list[Column], shard: str = "shard", rows: int | None = None) -> DataFrame:
