@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from gaugeflow.functions.scalar import unit_hash
 
 #: Columns that describe how a record came about: fixed values, never features.
-METADATA = {"benchmark_id", "scenario_id", "scenario_kind", "split", "stage", "leak_node", "disturbance_target", "leak_area", "time_seconds", "sensor_coverage", "observed_junction_count", "observed_link_count"}
+METADATA = {"leak_area", "leak_node", "disturbance_target", "scenario_id", "scenario_kind", "benchmark_id", "split", "stage", "event_label", "observed_junction_count", "observed_link_count", "demand_seed"}
 
 
 def guard_no_metadata(columns: list[str]) -> list[str]:

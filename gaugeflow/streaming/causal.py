@@ -1,6 +1,7 @@
 """Streaming twins of the causal operators: what a batch window computes, with state per stream.
 
-State is kept by key and grows with the number of streams, not with their length; keys without news time out.
+State is kept by key and grows with the number of streams, not with their length; keys without news time out, unless idle
+is None. A query with a timeout never ends by itself, as it always waits for the next one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,11 @@ def stream_sensor_aggregates(readings: DataFrame, step: str = "6 hours", late: s
     return sensor_aggregates(marked, ["network_id", "w"]).withColumn("window_start", F.col("w.start")).drop("w")
 
 
-def stream_causal_score(df: DataFrame, key: str, order: str, value: str, idle: int = 86_400_000) -> DataFrame:
+def _timeout(idle: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def stream_causal_score(df: DataFrame, key: str, order: str, value: str, idle: int | None = 86_400_000) -> DataFrame:
     """(key, order, score): each value standardised by the stream's earlier ones (0 for the first four), averaged over
     the last three. A stream's rows have to arrive in order from batch to batch; within one they are sorted."""
 
@@ -42,14 +47,15 @@ def stream_causal_score(df: DataFrame, key: str, order: str, value: str, idle: i
             mean += gap / n
             m2 += gap * (x - mean)
         state.update((n, float(mean), float(m2), float(z1), float(z2)))
-        state.setTimeoutDuration(idle)
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame({key: names[0], order: pdf[order].to_numpy(), "score": out})
 
     kinds = dict(df.dtypes)
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, score double", "n long, mean double, m2 double, z1 double, z2 double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, score double", "n long, mean double, m2 double, z1 double, z2 double", "append", _timeout(idle))
 
 
-def stream_alarm_episodes(df: DataFrame, key: str, order: str, score: str, threshold: float, idle: int = 86_400_000) -> DataFrame:
+def stream_alarm_episodes(df: DataFrame, key: str, order: str, score: str, threshold: float, idle: int | None = 86_400_000) -> DataFrame:
     """(key, started, ended): an episode is emitted when a score falls below the threshold again, or when its stream has
     been idle; ended is the last step at or above it."""
     kinds = dict(df.dtypes)
@@ -69,7 +75,8 @@ def stream_alarm_episodes(df: DataFrame, key: str, order: str, score: str, thres
                     closed.append((started, last))
                     started = last = float("nan")
             state.update((float(started), float(last)))
-            state.setTimeoutDuration(idle)
+            if idle is not None:
+                state.setTimeoutDuration(idle)
         yield pd.DataFrame({key: [names[0]] * len(closed), "started": [float(a) for a, _ in closed], "ended": [float(b) for _, b in closed]})
 
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, started double, ended double", "started double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, started double, ended double", "started double, last double", "append", _timeout(idle))
