@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.scalar import unit_hash
 from gaugeflow.operators.metrics import ranking_metrics
+from gaugeflow.operators.ranks import average_ranks, parts_for, weighted_correlation
 
 
 def paired_baseline(df: DataFrame, keys: list[str], base: str, column: str) -> DataFrame:
@@ -56,19 +60,24 @@ def holm(df: DataFrame, by: list[str], p: str = "p", name: str = "arm", alpha: f
     return raw.withColumn("p_holm", F.least(F.lit(1.0), F.max("__x").over(w))).withColumn("reject", (F.col("p_holm") < alpha).cast("int")).drop("__x")
 
 
-def _average_rank(column: str, by: list[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / 2
-
-
 def spearman(df: DataFrame, by: list[str], x: str, y: str, ordinal: bool = False, tie: str | None = None) -> DataFrame:
-    """(by, rho, n): correlation of average ranks, or of ordinal ones with ties broken by a column; null below 3 pairs."""
+    """(by, rho, n): correlation of average ranks, or of ordinal ones with ties broken by a column; null below 3 pairs.
+
+    Average ranks are read off counts of distinct values, and equal pairs of values are counted before they meet their ranks.
+    """
     use = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if ordinal:
         rank = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(c, tie)).cast("double")
-    else:
-        rank = lambda c: _average_rank(c, by)
-    ranks = use.withColumn("__x", rank(x)).withColumn("__y", rank(y))
-    return ranks.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 3, F.corr("__x", "__y")).alias("rho"), F.count(F.lit(1)).alias("n"))
+        ranks = use.withColumn("__x", rank(x)).withColumn("__y", rank(y))
+        return ranks.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 3, F.corr("__x", "__y")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    pairs = use.groupBy(*by, F.col(x).alias("__vx"), F.col(y).alias("__vy")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = use.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    ranks = [average_ranks(use.select(*by, F.col(c).alias(v)), by, v, r) for c, v, r in ((x, "__vx", "__x"), (y, "__vy", "__y"))]
+    met = pairs.join(ranks[0], [*by, "__vx"]).join(ranks[1], [*by, "__vy"]).join(sizes, by)
+    both, own_x, own_y = weighted_correlation(F.col("__n"), F.col("__x"), F.col("__y"), F.col("n"))
+    sums = met.groupBy(*by, "n").agg(both.alias("__b"), own_x.alias("__p"), own_y.alias("__q"))
+    rho = F.try_divide(F.col("__b"), F.sqrt(F.col("__p") * F.col("__q")))
+    return sums.select(*by, F.when(F.col("n") >= 3, rho).alias("rho"), "n")
 
 
 def paired_deltas(df: DataFrame, by: list[str], least: int = 3) -> DataFrame:
@@ -108,16 +117,80 @@ def draws(members: DataFrame, by: list[str], member: str, count: int, salt: str)
     return times.join(order.select(*by, "k", member), [*by, "k"]).select(*by, "b", member, "times")
 
 
+#: How often a member counts in a draw, from sixteen bits of a hash: as often as the bits reach one of these fixed values,
+#: 65,536 times the distribution function of Poisson(1).
+TIMES = (24_109, 48_219, 60_273, 64_291, 65_296, 65_497, 65_530, 65_535)
+#: Draws that one hash decides, and numbers of an array of rows and draws at most, about.
+DRAWS, CELLS = 8, 4_000_000
+
+
+def with_draws(df: DataFrame, members: list[str], count: int, salt: str) -> DataFrame:
+    """df's rows once for each of `count` draws in which their member counts, with b and times.
+
+    A member's times are Poisson(1) by hash, so that they are computed beside the row: no member is numbered, and no draw
+    is joined in. Sizes of draws vary by the square root of the members.
+    """
+
+    def block(k: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(salt), k.cast("string"), *[F.col(c).cast("string") for c in members]))
+        return F.flatten(F.transform(F.array(digest), lambda h: F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: F.struct((k * DRAWS + i).cast("int").alias("b"), F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int").alias("x")))))
+
+    drawn = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-count // DRAWS) - 1)), block))
+    used = F.filter(drawn, lambda d: (d["x"] >= TIMES[0]) & (d["b"] < count))
+    out = df.withColumn("__d", F.explode(used))
+    times = sum((F.col("__d.x") >= t).cast("int") for t in TIMES)
+    return out.withColumn("b", F.col("__d.b")).withColumn("times", times).drop("__d")
+
+
+def drawn_ap(slim: DataFrame, by: list[str], members: list[str], count: int, salt: str) -> DataFrame:
+    """(by, b, ap): average precision of each draw over rows that count `rows` times their member's times.
+
+    Groups of a range of the input's size or less are drawn and ranked in arrays, CELLS numbers at a time; larger ones by
+    with_draws() and ranks in ranges. Both give the same values.
+    """
+    if parts_for(slim) > 1:
+        weighted = with_draws(slim, members, count, salt)
+        return ranking_metrics(weighted, [*by, "b"], weight=(F.col("rows") * F.col("times")).cast("double")).select(*by, "b", "ap")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in members])
+    rows = slim.select(*by, key.alias("__m"), F.col("score").cast("double").alias("__s"), F.col("event_label").cast("double").alias("__y"), F.col("rows").cast("double").alias("__n"))
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(*by).applyInArrow(_drawn(by, count, salt), ", ".join(f"{c} {kinds[c]}" for c in by) + ", b int, ap double")
+
+
+def _drawn(by: list[str], count: int, salt: str):
+    def run(table: pa.Table) -> pa.Table:
+        names, member = np.unique(np.array(table.column("__m").to_pylist(), dtype=object).astype(str), return_inverse=True)
+        blocks = -(-count // DRAWS)
+        digests = b"".join(hashlib.md5(f"{salt}|{k}|{m}".encode()).digest() for m in names.tolist() for k in range(blocks))
+        times = np.searchsorted(np.array(TIMES), np.frombuffer(digests, ">u2").reshape(len(names), -1)[:, :count], "right").astype(np.int8)
+        score, label, rows = (table.column(c).to_numpy() for c in ("__s", "__y", "__n"))
+        order = np.argsort(-score, kind="stable")
+        score, label, rows, member = score[order], label[order], rows[order], member[order]
+        bad = ~np.isfinite(score)
+        last = np.append(score[1:] != score[:-1], True)
+        found = []
+        for at in range(0, count, width := max(1, CELLS // len(score))):
+            weight = times[member, at : at + width] * rows[:, None]
+            tp, fp = (np.cumsum(weight * y[:, None], axis=0)[last] for y in (label, 1 - label))
+            gain = np.diff(tp, axis=0, prepend=0) * tp / np.maximum(tp + fp, 1e-300)
+            ap = gain.sum(axis=0) / np.maximum(tp[-1], 1e-300)
+            found.append(np.where((tp[-1] > 0) & (fp[-1] > 0) & ~(weight[bad] > 0).any(axis=0), ap, np.nan))
+        ap = np.concatenate(found)
+        same = {c: pa.array([table.column(c)[0].as_py()] * count, table.schema.field(c).type) for c in by}
+        return pa.table({**same, "b": pa.array(np.arange(count), pa.int32()), "ap": pa.array(ap, from_pandas=True)})
+
+    return run
+
+
 def bootstrap_ap(df: DataFrame, by: list[str], member: str, count: int, salt: str = "ap") -> DataFrame:
     """(by, point, mean, lo, hi, valid): average precision over resamples of members (rows or scenarios) within groups.
 
-    Rows are summed by member and score before draws weight them, so that draws multiply score lists, not rows. Draws with
-    a single class are left out; without any, mean and ends are null.
+    Rows are summed by member and score before draws weight them. Draws with a single class are left out; without any,
+    mean and ends are null.
     """
     point = ranking_metrics(df, by).select(*by, F.col("ap").alias("point"))
     slim = df.groupBy(*by, member, "score", "event_label").agg(F.count(F.lit(1)).alias("rows"))
-    weighted = slim.join(draws(df, by, member, count, salt), [*by, member])
-    each = ranking_metrics(weighted, [*by, "b"], weight=(F.col("rows") * F.col("times")).cast("double")).where("ap is not null")
+    each = drawn_ap(slim, by, [*by, member], count, salt).where("ap is not null")
     ends = each.groupBy(*by).agg(F.avg("ap").alias("mean"), F.percentile("ap", F.lit(0.025)).alias("lo"), F.percentile("ap", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).alias("valid"))
     return point.join(ends, by, "left").withColumn("valid", F.coalesce("valid", F.lit(0)).cast("long"))
 
@@ -131,18 +204,15 @@ def bootstrap_rsi(df: DataFrame, stream: list[str], group: str, a: str, b: str,
     streams = df.groupBy(*dict.fromkeys([*keys, *stream])).agg(F.max("score").alias("score"), F.max("event_label").alias("event_label"))
     slim = df.groupBy(*keys, "scenario_id", "score", "event_label").agg(F.count(F.lit(1)).cast("double").alias("rows"))
 
-    def spread(weights: DataFrame | None, more: list[str]) -> DataFrame:
-        rows, tops = slim, streams.withColumn("rows", F.lit(1.0))
-        if weights is not None:
-            rows, tops = (x.join(weights, [group, "scenario_id"]).withColumn("rows", F.col("rows") * F.col("times")) for x in (rows, tops))
-        row = ranking_metrics(rows, [*keys, *more], weight=F.col("rows")).select(*keys, *more, F.col("ap").alias("row"))
-        top = ranking_metrics(tops, [*keys, *more], weight=F.col("rows")).select(*keys, *more, F.col("ap").alias("top"))
+    def spread(drawn: bool) -> DataFrame:
+        both, more = (slim, streams.withColumn("rows", F.lit(1.0))), ["b"] if drawn else []
+        of = lambda x: drawn_ap(x, keys, [group, "scenario_id"], count, salt) if drawn else ranking_metrics(x, keys, weight=F.col("rows"))
+        row, top = (of(x).select(*keys, *more, F.col("ap").alias(name)) for x, name in zip(both, ("row", "top"), strict=True))
         side = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("row") - F.col("top")))
         return row.join(top, [*keys, *more]).groupBy(group, *more).agg((side(a) - side(b)).alias("rsi"))
 
-    drawn = spread(draws(df, [group], "scenario_id", count, salt), ["b"]).where("rsi is not null")
-    ends = drawn.groupBy(group).agg(F.percentile("rsi", F.lit(0.025)).alias("lo"), F.percentile("rsi", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).alias("valid"))
-    return spread(None, []).withColumnRenamed("rsi", "point").join(ends, group, "left")
+    ends = spread(True).where("rsi is not null").groupBy(group).agg(F.percentile("rsi", F.lit(0.025)).alias("lo"), F.percentile("rsi", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).alias("valid"))
+    return spread(False).withColumnRenamed("rsi", "point").join(ends, group, "left")
 
 
 def bootstrap_mean(df: DataFrame, by: list[str], member: str, column: str, count: int, salt: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeflow.functions.scalar import unit_hash
+from gaugeflow.operators.ranks import cumulative
 
 #: Columns that describe how a record came about: fixed values, never features.
 METADATA = {"leak_area", "leak_node", "disturbance_target", "scenario_id", "scenario_kind", "benchmark_id", "split", "stage", "event_label", "observed_junction_count", "observed_link_count", "demand_seed"}
@@ -191,10 +192,10 @@ def time_ordered_holdout(df: DataFrame, fraction: float, order: list[str]) -> Da
     The cut is found from counts of distinct times, then among the rows of the time at the cut.
     """
     normal = df.where(F.col("scenario_kind") == "baseline")
-    times = normal.groupBy(order[0]).agg(F.count(F.lit(1)).alias("c"))
-    total = times.agg(F.greatest(F.lit(1), F.floor(F.sum("c") * fraction)).alias("want"))
-    run = times.withColumn("before", F.sum("c").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)))
-    cut = run.join(F.broadcast(total)).where((F.coalesce("before", F.lit(0)) < F.col("want")) & (F.coalesce("before", F.lit(0)) + F.col("c") >= F.col("want"))).select(F.col(order[0]).alias("__cut"), (F.col("want") - F.coalesce("before", F.lit(0))).alias("__left"))
+    run = cumulative(normal.groupBy(order[0]).agg(F.count(F.lit(1)).alias("c")), [], order[0], ["c"])
+    want = F.greatest(F.lit(1), F.floor(F.col("c_total") * fraction))
+    before = F.col("c_upto") - F.col("c")
+    cut = run.where((before < want) & (F.col("c_upto") >= want)).select(F.col(order[0]).alias("__cut"), (want - before).alias("__left"))
     ranked = df.join(F.broadcast(cut), how="left").withColumn("__k", F.row_number().over(Window.partitionBy(order[0], "scenario_kind").orderBy(*order[1:])))
     train = (F.col("scenario_kind") == "baseline") & ((F.col(order[0]) < F.col("__cut")) | ((F.col(order[0]) == F.col("__cut")) & (F.col("__k") <= F.col("__left"))))
     return ranked.withColumn("part", F.when(F.coalesce(train, F.lit(False)), "train").otherwise("evaluate")).select(*df.columns, "part")

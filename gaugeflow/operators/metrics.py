@@ -1,7 +1,7 @@
 """Exact, tie-aware ranking metrics and confusion counts, per group.
 
-Everything is grouped by (group, score) first, so that window functions see each distinct score once. A group whose
-distinct scores outgrow a task is ranked in two levels: totals of equal-width score ranges, then within each range.
+Everything is grouped by (group, score) first, so that window functions see each distinct score once; ranks come from
+cumulative(), in ranges of scores where the input is large.
 """
 
 from __future__ import annotations
@@ -9,40 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.ranks import cumulative
+
 
 def finite(score: Column) -> Column:
     return score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
 
 
-def ranked(df: DataFrame, by: list[str], label: str = "event_label", score: str = "score", weight: Column | None = None, parts: int = 1) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], label: str = "event_label", score: str = "score", weight: Column | None = None, parts: int | None = None) -> DataFrame:
     """(by, score, pos, neg, tp, fp, total_pos, total_neg, bad): cumulative counts from the largest score downwards.
 
-    parts > 1 ranks in that many score ranges, so that no task holds a group's whole score list.
+    A group is ranked in `parts` score ranges, by default as many as the size of the input asks for.
     """
     w = weight if weight is not None else F.lit(1.0)
     y = F.col(label).cast("double")
     each = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"))
     each = each.withColumn("bad", (~finite(F.col("score"))).cast("int"))
-    if parts == 1:
-        down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*by)
-        return each.select("*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("total_pos"), F.sum("neg").over(whole).alias("total_neg")).withColumn("bad", F.max("bad").over(whole))
-    ends = each.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("pos").alias("total_pos"), F.sum("neg").alias("total_neg"), F.max("bad").alias("any_bad"))
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(parts - 1), F.floor((F.col("hi") - F.col("score")) / (F.col("hi") - F.col("lo")) * parts))).otherwise(0).cast("int")
-    dealt = each.join(ends, by).withColumn("bad", F.col("any_bad")).withColumn("part", part)
-    sums = dealt.groupBy(*by, "part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, "part", F.coalesce(F.sum("p").over(before), F.lit(0.0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0.0)).alias("n0"))
-    down = Window.partitionBy(*by, "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    inner = dealt.join(starts, [*by, "part"])
-    return inner.select(*by, "score", "pos", "neg", "bad", (F.col("p0") + F.sum("pos").over(down)).alias("tp"), (F.col("n0") + F.sum("neg").over(down)).alias("fp"), "total_pos", "total_neg")
+    out = cumulative(each, by, "score", ["pos", "neg"], True, ("bad",), parts)
+    return out.select(*by, "score", "pos", "neg", "bad", F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"), F.col("pos_total").alias("total_pos"), F.col("neg_total").alias("total_neg"))
 
 
 def _one_class() -> Column:
     return (F.col("total_pos") <= 0) | (F.col("total_neg") <= 0) | (F.col("bad") == 1)
 
 
-def ranking_metrics(df: DataFrame, by: list[str], label: str = "event_label", score: str = "score", weight: Column | None = None, parts: int = 1) -> DataFrame:
+def ranking_metrics(df: DataFrame, by: list[str], label: str = "event_label", score: str = "score", weight: Column | None = None, parts: int | None = None) -> DataFrame:
     """(by, ap, auc, prior, n): average precision by steps, ROC area with half credit for ties; null for a single class or
     where a score is null, NaN or infinite."""
     r = ranked(df, by, label, score, weight, parts)
@@ -53,7 +44,7 @@ def ranking_metrics(df: DataFrame, by: list[str], label: str = "event_label", sc
     return r.groupBy(*by).agg(F.sum(gain).alias("ap"), F.sum(area).alias("auc"), F.try_divide(F.max("total_pos"), F.max("total_pos") + F.max("total_neg")).alias("prior"), F.max(F.col("total_pos") + F.col("total_neg")).alias("n"))
 
 
-def average_precision(df: DataFrame, by: list[str], label: str = "event_label", score: str = "score", parts: int = 1) -> DataFrame:
+def average_precision(df: DataFrame, by: list[str], label: str = "event_label", score: str = "score", parts: int | None = None) -> DataFrame:
     return ranking_metrics(df, by, label, score, parts=parts).select(*by, "ap")
 
 

@@ -34,12 +34,15 @@ def knn_pairs(points: DataFrame, id: str, vec: str, k: int) -> DataFrame:  # noq
         ids, others = a["id"].to_numpy(), b["id"].to_numpy()
         for start in range(0, len(x), 256):
             part = x[start : start + 256]
-            d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * part @ y.T, 0))
+            d = (part**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * part @ y.T
+            slack = 1e-9 * (1 + np.abs(d).max())
             d[ids[start : start + 256][:, None] == others[None, :]] = np.inf
-            take = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), take.shape[1])
-            found = pd.DataFrame({"id": ids[start : start + 256][rows], "neighbour": others[take.ravel()], "distance": d[rows, take.ravel()]})
-            out.append(found[np.isfinite(found["distance"])])
+            # Products tell who may be near; distances are taken from differences, so that equal points tie exactly.
+            last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            rows, cols = np.nonzero((d <= last[:, None] + slack) & np.isfinite(d))
+            exact = np.concatenate([np.empty(0), *[np.sqrt(((part[rows[i : i + 8192]] - y[cols[i : i + 8192]]) ** 2).sum(1)) for i in range(0, len(rows), 8192)]])
+            found = pd.DataFrame({"id": ids[start : start + 256][rows], "neighbour": others[cols], "distance": exact})
+            out.append(found.sort_values(["id", "distance", "neighbour"]).groupby("id").head(k))
         return pd.concat(out)
 
     pairs = sides[0].unionByName(sides[1]).groupBy("q", "t").applyInPandas(near, f"id {kind}, neighbour {kind}, distance double")

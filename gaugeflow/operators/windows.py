@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.ranks import at_ranks, cumulative
+
 ORDER = ["time_seconds", "event_id"]
 
 
@@ -86,14 +88,15 @@ def early_warning(df: DataFrame, stream: list[str], by: list[str], threshold: st
     return d.groupBy(*by).agg(F.median("delay").alias("median_delay"), F.avg(((F.col("detected") == 1) & (F.col("delay") < soon)).cast("double")).alias("within_3h"), F.avg(F.col("detected").cast("double")).alias("in_window"), F.count(F.lit(1)).alias("n_streams"))
 
 
-def exceedance_threshold(df: DataFrame, stream: list[str], by: list[str]) -> DataFrame:
+def exceedance_threshold(df: DataFrame, stream: list[str], by: list[str], parts: int | None = None) -> DataFrame:
     """(by, threshold): quantile 1 - 1/L (not below 0) of the normal scores, L their streams' mean length, interpolated
-    linearly. The fraction differs per group, so two ranked rows are read off instead of calling percentile."""
+    linearly. The fraction differs per group, so two ranks are looked up in counts of scores instead of calling percentile."""
     normal = df.where(F.col("scenario_kind") == "baseline")
     sizes = normal.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*[F.col(c) for c in stream]).alias("streams"))
     at = sizes.withColumn("q", F.greatest(F.lit(0.0), 1 - F.col("streams") / F.col("n"))).withColumn("h", F.col("q") * (F.col("n") - 1))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("score"))
-    near = normal.select(*by, "score", rank.alias("k")).join(at, by).where((F.col("k") == F.floor("h") + 1) | (F.col("k") == F.ceil("h") + 1))
+    scores = cumulative(normal.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("c")), by, "score", ["c"], parts=parts)
+    wanted = at.select(*by, "h", F.explode(F.array(F.floor("h") + 1, F.ceil("h") + 1)).alias("k"))
+    near = at_ranks(scores, by, "c_upto", ["score"], wanted, "k")
     low, high = F.min("score"), F.max("score")
     return near.groupBy(*by).agg((low + (F.max("h") - F.floor(F.max("h"))) * (high - low)).alias("threshold"))
 
@@ -132,34 +135,31 @@ def pre_onset_alarm(df: DataFrame, stream: list[str], threshold: str) -> DataFra
     return marked.groupBy(*stream).agg(F.max(((F.col("time_seconds") < F.col("onset")) & (F.col("score") >= F.col(threshold))).cast("int")).alias("early"))
 
 
-def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: float, step_by: list[str], candidates: int = 400, order: list[str] = ORDER) -> DataFrame:
+def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: float, step_by: list[str], candidates: int = 400, order: list[str] = ORDER, parts: int | None = None) -> DataFrame:
     """(by, threshold): the lowest of `candidates` high quantiles of the normal scores at which normal streams have at most
     `budget` episodes a day; just above the maximum if none.
 
     An episode begins where a score reaches t and the one before doesn't: episodes(t) = #(x >= t) - #(min(x, previous) >= t).
-    Both counts are read off ranks, so that candidates never meet rows.
+    Both are counts by score. A candidate lies on a score or between two neighbours, whose upper one then tells its episodes.
     """
     normal = df.where(F.col("scenario_kind") == "baseline")
     w = _stream(stream, order)
     x = normal.select(*by, F.col("score").alias("x"), F.least(F.col("score"), F.lag("score").over(w)).alias("low"))
-    points = x.select(*by, F.col("x").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(x.where("low is not null").select(*by, F.col("low").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    steps = points.groupBy(*by, "v").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    # From the largest value downwards: episodes at thresholds in (next smaller value, v] are the same.
-    above = Window.partitionBy(*by).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.select(*by, "v", (F.sum("up").over(above) - F.sum("down").over(above)).alias("episodes")).withColumn("below", F.lag("v").over(Window.partitionBy(*by).orderBy("v")))
+    ends = F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("low").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    points = x.select(*by, F.explode(ends).alias("p")).select(*by, "p.*").where("v is not null")
+    curve = cumulative(points.groupBy(*by, "v").agg(F.sum("up").alias("up"), F.sum("down").alias("down")), by, "v", ["up", "down"], parts=parts)
+    left = lambda c: F.col(f"{c}_total") - F.col(f"{c}_upto") + F.col(c)
+    curve = curve.withColumn("episodes", left("up") - left("down"))
     sizes = normal.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("most")).join(step_length(df, step_by), step_by)
     grid = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
     q = 1 - F.exp(F.log(F.lit(0.3)) + F.col("i") / float(candidates - 1) * (F.log(F.lit(1e-6)) - F.log(F.lit(0.3))))
     grid = grid.withColumn("h", q * (F.col("n") - 1))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("score"))
-    sorted_x = normal.select(*by, F.col("score").alias("__s"), rank.alias("k"))
-    lo, hi = sorted_x.select(*by, F.col("__s").alias("lo"), F.col("k").alias("klo")), sorted_x.select(*by, F.col("__s").alias("hi"), F.col("k").alias("khi"))
-    cut = grid.withColumn("klo", (F.floor("h") + 1).cast("int")).withColumn("khi", (F.ceil("h") + 1).cast("int")).join(lo, [*by, "klo"]).join(hi, [*by, "khi"])
-    cut = cut.select(*by, "n", "step", "most", (F.col("lo") + (F.col("h") - F.floor("h")) * (F.col("hi") - F.col("lo"))).alias("t"))
-    # A candidate takes the episodes of the smallest value that isn't below it: both sorted together, the next value counts.
-    both = cut.distinct().select(*by, F.col("t").alias("at"), F.lit(0).alias("what"), "n", "step", "most", F.lit(None).cast("long").alias("episodes")).unionByName(curve.select(*by, F.col("v").alias("at"), F.lit(1).alias("what"), "episodes"), allowMissingColumns=True)
-    ahead = Window.partitionBy(*by).orderBy("at", "what").rowsBetween(0, Window.unboundedFollowing)
-    known = both.withColumn("episodes", F.coalesce(F.first("episodes", ignorenulls=True).over(ahead), F.lit(0))).where("what = 0")
+    wanted = grid.select(*by, "n", "step", "most", "i", "h", F.explode(F.array(F.floor("h") + 1, F.ceil("h") + 1)).alias("k"))
+    near = at_ranks(curve, by, "up_upto", ["v", "episodes"], wanted, "k").groupBy(*by, "i").agg(
+        *[F.max(c).alias(c) for c in ("n", "step", "most", "h")], F.min(F.struct("v", "episodes")).alias("lo"), F.max(F.struct("v", "episodes")).alias("hi")
+    )
+    at = F.col("lo.v") + (F.col("h") - F.floor("h")) * (F.col("hi.v") - F.col("lo.v"))
+    known = near.withColumn("at", at).withColumn("episodes", F.when(F.col("at") <= F.col("lo.v"), F.col("lo.episodes")).otherwise(F.col("hi.episodes")))
     fits = F.col("episodes") <= F.lit(budget) * F.col("n") * F.col("step") / 86400.0
     return known.groupBy(*by).agg(F.coalesce(F.min(F.when(fits, F.col("at"))), F.max("most") + 1e-9).alias("threshold"))
 

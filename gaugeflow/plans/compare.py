@@ -100,37 +100,45 @@ def draws_sql(name: str, members: str, by: str, member: str, count: int, salt: s
             f" {name}_s AS (SELECT {by}, b, CAST(floor({pick} * n) AS BIGINT) AS k FROM {name}_o, range({count}) t(b)), {name} AS (SELECT {by}, b, {member}, count(*) AS times FROM {name}_s JOIN {name}_o USING ({by}, k) GROUP BY {by}, b, {member})")
 
 
-def boot_ap_sql(by: str, member: str, count: int) -> str:
-    return (f"WITH {LONG}, {ap_sql('pt', 'long', by)}, {draws_sql('dr', 'long', by, member, count, 'ap')}, wt AS (SELECT long.*, b, times FROM long JOIN dr USING ({by}, {member})), {ap_sql('bm', 'wt', by + ', b', weight='times')},"
+def weighted_sql(name: str, rows: str, members: str, count: int, salt: str) -> str:
+    """CTE `name`: the rows once for each draw in which their member counts, with b and times."""
+    cast = ", ".join(f"CAST({c} AS VARCHAR)" for c in members.split(", "))
+    times = " + ".join(f"CAST(x >= {t} AS INT)" for t in C.TIMES)
+    return (f"{name} AS (SELECT *, {times} AS times FROM (SELECT * EXCLUDE (h, k, i), k * {C.DRAWS} + i AS b, CAST('0x' || substr(h, CAST(i * 4 + 1 AS INT), 4) AS INT) AS x FROM (SELECT {rows}.*, k, md5(concat_ws('|', '{salt}', CAST(k AS VARCHAR), {cast})) AS h FROM {rows}, range({-(-count // C.DRAWS)}) t(k)) q, range({C.DRAWS}) u(i)) v"
+            f" WHERE b < {count} AND x >= {C.TIMES[0]})")
+
+
+def boot_ap_sql(by: str, member: str, count: int, base: str = LONG, rows: str = "long") -> str:
+    return (f"WITH {base}, {ap_sql('pt', rows, by)}, {weighted_sql('wt', rows, by + ', ' + member, count, 'ap')}, {ap_sql('bm', 'wt', by + ', b', weight='times')},"
             f" en AS (SELECT {by}, avg(ap) AS mean, quantile_cont(ap, 0.025) AS lo, quantile_cont(ap, 0.975) AS hi, count(*) AS valid FROM bm WHERE ap IS NOT NULL GROUP BY {by}) SELECT {by}, {r('pt.ap')} AS point, {r('mean')} AS mean, {r('lo')} AS lo, {r('hi')} AS hi, coalesce(valid, 0) AS valid FROM pt LEFT JOIN en USING ({by})")
 
 
-@query("b1_bootstrap_ap_rows", boot_ap_sql("network_id, arm", "event_id", 20))
+@query("b1_bootstrap_ap_rows", boot_ap_sql("network_id, arm", "event_id", 1000))
 def b1(spark, sf_dir):
-    return C.bootstrap_ap(arm_records(records(spark, sf_dir)), ["network_id", "arm"], "event_id", 20)
+    return C.bootstrap_ap(arm_records(records(spark, sf_dir)), ["network_id", "arm"], "event_id", 1000)
 
 
-@query("b2_bootstrap_ap_scenarios", boot_ap_sql("network_id, arm", "scenario_id", 50))
+@query("b2_bootstrap_ap_scenarios", boot_ap_sql("network_id, arm", "scenario_id", 1000))
 def b2(spark, sf_dir):
-    return C.bootstrap_ap(arm_records(records(spark, sf_dir)), ["network_id", "arm"], "scenario_id", 50)
+    return C.bootstrap_ap(arm_records(records(spark, sf_dir)), ["network_id", "arm"], "scenario_id", 1000)
 
 
 def _boot_rsi_sql(count: int, group: str = "network_id") -> str:
     top = f"tp AS (SELECT arm, {', '.join(STREAM)}, max(score) AS score, max(event_label) AS event_label FROM long GROUP BY ALL)"
     rsi = lambda name, more: f"{name} AS (SELECT {group}{more}, max(CASE WHEN arm = 'a' THEN x.ap - y.ap END) - max(CASE WHEN arm = 'b' THEN x.ap - y.ap END) AS rsi FROM {name}_r x JOIN {name}_t y USING ({group}, arm{more}) GROUP BY {group}{more})"
-    return (f"WITH {LONG}, {top}, {ap_sql('p_r', 'long', group + ', arm')}, {ap_sql('p_t', 'tp', group + ', arm')}, {rsi('p', '')}, {draws_sql('dr', 'long', group, 'scenario_id', count, 'rsi')},"
-            f" lw AS (SELECT long.*, b, times FROM long JOIN dr USING ({group}, scenario_id)), tw AS (SELECT tp.*, b, times FROM tp JOIN dr USING ({group}, scenario_id)), {ap_sql('b_r', 'lw', group + ', arm, b', weight='times')}, {ap_sql('b_t', 'tw', group + ', arm, b', weight='times')}, {rsi('b', ', b')},"
+    return (f"WITH {LONG}, {top}, {ap_sql('p_r', 'long', group + ', arm')}, {ap_sql('p_t', 'tp', group + ', arm')}, {rsi('p', '')},"
+            f" {weighted_sql('lw', 'long', group + ', scenario_id', count, 'rsi')}, {weighted_sql('tw', 'tp', group + ', scenario_id', count, 'rsi')}, {ap_sql('b_r', 'lw', group + ', arm, b', weight='times')}, {ap_sql('b_t', 'tw', group + ', arm, b', weight='times')}, {rsi('b', ', b')},"
             f" en AS (SELECT {group}, quantile_cont(rsi, 0.025) AS lo, quantile_cont(rsi, 0.975) AS hi, count(*) AS valid FROM b WHERE rsi IS NOT NULL GROUP BY {group}) SELECT {group}, {r('rsi')} AS point, {r('lo')} AS lo, {r('hi')} AS hi, valid FROM p LEFT JOIN en USING ({group})")
 
 
-@query("b3_bootstrap_rsi", _boot_rsi_sql(30).replace("b AS (SELECT network_id, b,", "b AS (SELECT network_id, b,"))
+@query("b3_bootstrap_rsi", _boot_rsi_sql(500))
 def b3(spark, sf_dir):
-    return C.bootstrap_rsi(arm_records(records(spark, sf_dir)), STREAM, "network_id", "a", "b", 30)
+    return C.bootstrap_rsi(arm_records(records(spark, sf_dir)), STREAM, "network_id", "a", "b", 500)
 
 
-@query("b4_bootstrap_rsi_one_seed", _boot_rsi_sql(30).replace("FROM records\n  UNION", "FROM records WHERE seed = 42\n  UNION").replace("(score__a, score__b) FROM records, tp", "(score__a, score__b) FROM records, tp").replace("long AS (", "long AS (SELECT * FROM (", 1).replace("FROM records), tp AS", "FROM records) WHERE seed = 42), tp AS"))
+@query("b4_bootstrap_rsi_one_seed", _boot_rsi_sql(2000).replace("FROM records\n  UNION", "FROM records WHERE seed = 42\n  UNION").replace("(score__a, score__b) FROM records, tp", "(score__a, score__b) FROM records, tp").replace("long AS (", "long AS (SELECT * FROM (", 1).replace("FROM records), tp AS", "FROM records) WHERE seed = 42), tp AS"))
 def b4(spark, sf_dir):
-    return C.bootstrap_rsi(arm_records(records(spark, sf_dir).where("seed = 42")), STREAM, "network_id", "a", "b", 30)
+    return C.bootstrap_rsi(arm_records(records(spark, sf_dir).where("seed = 42")), STREAM, "network_id", "a", "b", 2000)
 
 
 def _boot_mean_sql(source: str, by: str, member: str, column: str, count: int, salt: str) -> str:
@@ -138,19 +146,19 @@ def _boot_mean_sql(source: str, by: str, member: str, column: str, count: int, s
             f" en AS (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY {by}), ba AS (SELECT {by}, avg(v) AS mean, count(*) AS c FROM bv GROUP BY {by}) SELECT {by}, {r('mean')} AS mean, {r('CASE WHEN c >= 2 THEN lo END')} AS lo, {r('CASE WHEN c >= 2 THEN hi END')} AS hi FROM ba JOIN en USING ({by})")
 
 
-@query("b5_bootstrap_networks", f"WITH {ARM_AP}, {_boot_mean_sql('m', 'arm', 'network_id', 'ap', 200, 'nets')}")
+@query("b5_bootstrap_networks", f"WITH {ARM_AP}, {_boot_mean_sql('m', 'arm', 'network_id', 'ap', 2000, 'nets')}")
 def b5(spark, sf_dir):
-    return C.bootstrap_mean(arm_ap(spark, sf_dir), ["arm"], "network_id", "ap", 200, "nets")
+    return C.bootstrap_mean(arm_ap(spark, sf_dir), ["arm"], "network_id", "ap", 2000, "nets")
 
 
-@query("b5_bootstrap_network_deltas", f"WITH {DELTAS}, {_boot_mean_sql('dl', 'arm', 'network_id', 'delta', 200, 'nets')}")
+@query("b5_bootstrap_network_deltas", f"WITH {DELTAS}, {_boot_mean_sql('dl', 'arm', 'network_id', 'delta', 2000, 'nets')}")
 def b5_delta(spark, sf_dir):
-    return C.bootstrap_mean(deltas(spark, sf_dir), ["arm"], "network_id", "delta", 200, "nets")
+    return C.bootstrap_mean(deltas(spark, sf_dir), ["arm"], "network_id", "delta", 2000, "nets")
 
 
-@query("b6_multi_seed_ci", f"WITH {ARM_AP}, {_boot_mean_sql('m', 'network_id, arm', 'seed', 'ap', 200, 'seeds')}")
+@query("b6_multi_seed_ci", f"WITH {ARM_AP}, {_boot_mean_sql('m', 'network_id, arm', 'seed', 'ap', 2000, 'seeds')}")
 def b6(spark, sf_dir):
-    return C.bootstrap_mean(arm_ap(spark, sf_dir), ["network_id", "arm"], "seed", "ap", 200, "seeds")
+    return C.bootstrap_mean(arm_ap(spark, sf_dir), ["network_id", "arm"], "seed", "ap", 2000, "seeds")
 
 
 @query("o6_best_arm", f"WITH {LONG}, {ap_sql('m', 'long', 'network_id, arm')} SELECT network_id, arm, CASE WHEN round(ap, 3) = max(round(ap, 3)) OVER (PARTITION BY network_id) THEN 1 ELSE 0 END AS best FROM m")

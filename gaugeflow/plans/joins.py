@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.scalar import unit_hash
+from gaugeflow.functions.scalar import net_seed, unit_hash
 from gaugeflow.operators import joins as J
 from gaugeflow.operators import sampling as G
 from gaugeflow.plans.aggregates import HASH
@@ -112,13 +114,14 @@ def j6(spark, sf_dir):
     return J.score_parity(df.where("event_id % 7 <> 0"), df.where("event_id % 5 <> 0").withColumn("score__a", F.col("score__a") + 0.001), ["event_id"], ["score__a"], 0.01)
 
 
-RANGES = "ro AS (SELECT l_orderkey AS id, CONCAT('k', CAST(l_orderkey % 10 AS VARCHAR)) AS key, min(CAST(l_quantity AS DOUBLE)) AS lo, max(CAST(l_quantity AS DOUBLE)) AS hi FROM lineitem GROUP BY l_orderkey), si AS (SELECT key, lo, hi FROM ro WHERE id % 97 = 0 AND hi < 30)"
+RANGES = "ro AS (SELECT l_orderkey AS id, CONCAT('k', CAST(l_orderkey % 1000 AS VARCHAR)) AS key, min(CAST(l_quantity AS DOUBLE)) AS lo, max(CAST(l_quantity AS DOUBLE)) AS hi FROM lineitem GROUP BY l_orderkey), si AS (SELECT CONCAT('k', CAST(p_partkey % 1000 AS VARCHAR)) AS key, CAST(p_size AS DOUBLE) AS lo, CAST(p_size AS DOUBLE) + 1 AS hi FROM part)"
 
 
 def _ranges(spark, sf_dir):
     q = F.col("l_quantity").cast("double")
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min(q).alias("lo"), F.max(q).alias("hi")).withColumn("key", F.concat(F.lit("k"), (F.col("id") % 10).cast("string")))
-    return rows, rows.where("id % 97 = 0 and hi < 30").select("key", "lo", "hi")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min(q).alias("lo"), F.max(q).alias("hi")).withColumn("key", F.concat(F.lit("k"), (F.col("id") % 1000).cast("string")))
+    size = F.col("p_size").cast("double")
+    return rows, table(spark, sf_dir, "part").select(F.concat(F.lit("k"), (F.col("p_partkey") % 1000).cast("string")).alias("key"), size.alias("lo"), (size + 1).alias("hi"))
 
 
 @query("j7_interval_overlap", f"WITH {RANGES} SELECT id, CASE WHEN EXISTS (SELECT 1 FROM si WHERE si.key = ro.key AND si.lo * 0.95 <= ro.hi AND si.hi * 1.05 >= ro.lo) THEN 1 ELSE 0 END AS feasible FROM ro")
@@ -206,7 +209,10 @@ def o11(spark, sf_dir):
     return J.scenario_catalog(nodes, pipes, pumps, [0.01, 0.05])
 
 
-@query("o12_normal_catalog")
+NET_CRC = " ".join(f"WHEN 'net{i}' THEN {zlib.crc32(b'net' + str(i).encode())}" for i in range(4))
+
+
+@query("o12_normal_catalog", f"WITH {RECORDS} SELECT network_id, concat(network_id, '__normal__', lpad(CAST(j AS VARCHAR), 4, '0')) AS scenario_id, (42 * 1000003 + CASE network_id {NET_CRC} END) % 2147483647 + 100000 + j AS demand_seed FROM (SELECT DISTINCT network_id FROM records), range(20) t(j)")
 def o12(spark, sf_dir):
     return J.normal_catalog(records(spark, sf_dir).select("network_id"), 20, 42)
 
@@ -284,6 +290,20 @@ def _points(e):
     return e.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec"), y.alias("event_label"))
 
 
+@query("f13_net_seed", f"WITH {RECORDS} SELECT event_id, (CAST(seed AS BIGINT) * 1000003 + CASE network_id {NET_CRC} END + event_id) % 2147483647 AS net_seed FROM records")
+def f13(spark, sf_dir):
+    return records(spark, sf_dir).select("event_id", net_seed(F.col("seed"), F.col("network_id"), F.col("event_id")).alias("net_seed"))
+
+
+@query("g11_augment")
+def g11(spark, sf_dir):
+    names, out = ["pressure_mean", "demand_mean"], None
+    for arm in ("none", "noise", "gmm"):
+        one = G.augment(steps(spark, sf_dir), arm, names).select(F.lit(arm).alias("arm"), "event_label", "is_synthetic", *names)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _magnitudes(spark, sf_dir):
     return steps(spark, sf_dir).withColumn("u", unit_hash(F.lit("m"), F.col("scenario_id").cast("string")))
 

@@ -13,6 +13,7 @@ from gaugeflow.operators import metrics as M
 from gaugeflow.operators import neighbours as K
 from gaugeflow.operators import windows as W
 from gaugeflow.plans.aggregates import PLAUSIBLE, plausible
+from gaugeflow.plans.compare import boot_ap_sql
 from gaugeflow.plans.joins import _points
 from gaugeflow.plans.metrics import ap_sql
 from gaugeflow.plans.registry import query, r
@@ -105,7 +106,7 @@ def d15(spark, sf_dir):
     return D.leave_one_group_out(steps(spark, sf_dir), "network_id", FEATURES, {"logistic": ("none", "logistic")})
 
 
-@query("j9_knn_pairs")
+@query("j9_knn_pairs", "SELECT id, neighbour, CAST(rank AS INT) AS rank FROM (SELECT a.vec_id AS id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5")
 def j9(spark, sf_dir):
     return K.knn_pairs(_points(table(spark, sf_dir, "embeddings")), "id", "vec", 5).select("id", "neighbour", "rank")
 
@@ -123,6 +124,17 @@ def n1(spark, sf_dir):
     return N.khop_observability(edges(spark, sf_dir), _sensors(spark, sf_dir))
 
 
+@query("n2_betweenness")
+def n2(spark, sf_dir):
+    return N.betweenness(edges(spark, sf_dir))
+
+
+@query("n3_place_by_centrality", f"WITH {EDGES}, e AS (SELECT network_id, src AS node FROM edges UNION ALL SELECT network_id, dst FROM edges), c AS (SELECT network_id, node, row_number() OVER (PARTITION BY network_id ORDER BY count(*) DESC, node) AS k, count(*) OVER (PARTITION BY network_id) AS n FROM e GROUP BY network_id, node) SELECT network_id, node FROM c WHERE k <= greatest(1, floor(n * 0.1))")
+def n3_degree(spark, sf_dir):
+    ends = edges(spark, sf_dir).select("network_id", F.explode(F.array("src", "dst")).alias("node"))
+    return N.place_by_centrality(ends.groupBy("network_id", "node").agg(F.count(F.lit(1)).cast("double").alias("centrality")), 0.1)
+
+
 @query("n2_n3_centrality_placement")
 def n3(spark, sf_dir):
     return N.place_by_centrality(N.betweenness(edges(spark, sf_dir)), 0.1)
@@ -184,11 +196,14 @@ def n10(spark, sf_dir):
     return N.topology_propagation(edges(spark, sf_dir), nodes, ["head"])
 
 
-@query("c2_scenario_evaluation")
+TOPS = f"{LONG}, tops AS (SELECT arm, {', '.join(STREAM)}, max(score) AS score, max(event_label) AS event_label FROM long GROUP BY ALL)"
+
+
+@query("c2_scenario_evaluation", boot_ap_sql("network_id, arm", "scenario_id", 500, TOPS, "tops"))
 def c2(spark, sf_dir):
     long = arm_records(records(spark, sf_dir))
     tops = M.stream_table(long, ["arm", *STREAM]).select("arm", "network_id", "scenario_id", F.col("max_score").alias("score"), F.col("label").alias("event_label"))
-    return C.bootstrap_ap(tops, ["network_id", "arm"], "scenario_id", 20)
+    return C.bootstrap_ap(tops, ["network_id", "arm"], "scenario_id", 500)
 
 
 @query("c3_classifier_by_arm_grid")

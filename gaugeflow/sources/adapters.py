@@ -93,9 +93,9 @@ STEPS = """steps AS (SELECT concat('net', CAST(l_orderkey % 4 AS VARCHAR)) AS ne
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Network links from `lineitem`: suppliers and parts of every fiftieth order."""
-    x = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 50 == 0)
+    """Network links from `lineitem`: suppliers and parts."""
+    x = table(spark, sf_dir, "lineitem")
     return x.select(F.concat(F.lit("net"), (F.col("l_suppkey") % 4).cast("string")).alias("network_id"), F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).distinct()
 
 
-EDGES = """edges AS (SELECT DISTINCT concat('net', CAST(l_suppkey % 4 AS VARCHAR)) AS network_id, concat('S', CAST(l_suppkey AS VARCHAR)) AS src, concat('P', CAST(l_partkey AS VARCHAR)) AS dst FROM lineitem WHERE l_orderkey % 50 = 0)"""
+EDGES = """edges AS (SELECT DISTINCT concat('net', CAST(l_suppkey % 4 AS VARCHAR)) AS network_id, concat('S', CAST(l_suppkey AS VARCHAR)) AS src, concat('P', CAST(l_partkey AS VARCHAR)) AS dst FROM lineitem)"""
