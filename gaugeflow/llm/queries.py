@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import chat, chunk_dedup, column_dedup, decontaminate, fingerprints, kd_shards, licenses, mixing, ngram_join, toxicity
+from gaugeflow.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -92,4 +93,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_kd_shards, op3_license_scan, op4_ngram_join, op5_winnow_decontaminate, op6_scaled_sketch, op7_column_dedup, op8_toxicity, op9_chunk_dedup, op10_chat_format, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
