@@ -22,12 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._gaugeflow_scratch
 
 
+#: Folders of all operator runs whose tables may still be read.
+_OPEN: list[str] = []
+
+
+def release(spark: SparkSession, but: Scratch) -> None:
+    """Deletes the tables of all operator runs so far but one's: for callers that have written what they made of them."""
+    for root in [r for r in _OPEN if r != but.root]:
+        _delete(spark, root)
+        _OPEN.remove(root)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Written tables of one operator run. A lost executor costs nothing but a re-read of the files."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = bounded(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        _OPEN.append(self.root)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Writes df and returns the table as read back."""
@@ -40,7 +57,5 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of which nothing later reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, df._scratch_path)

@@ -48,7 +48,7 @@ def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [(len(g), _class_of(g) if len(g) else None) for g in _gram_sets(batch, width)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.int64())], ["id", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.int64())], ["id", "text_hash", "n_shingles", "key"])
 
     return run
 
@@ -157,19 +157,20 @@ def _may_link(n: Column, at: Column, m: Column, other: Column, num: int, den: in
 
 
 def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002
-    """(id, n_shingles, class_key, component_id) for each row of df; other columns are not read.
+    """(id, n_shingles, class_key, component_id, component, text_hash) for each row of df; other columns are not read.
 
     Words stand between ASCII white space, A-Z lower-cased; a row's set holds its distinct runs of `width` words, or with
     fewer words its whole sequence as one. Rows link when den * intersection >= num * union; component_id is the smallest
     id reachable by links, the row itself included. Rows without words (null and empty texts too) link with nothing:
-    class_key is null and component_id their own id. Repeated rows and ids each give a row; null ids take part and never
-    name a component unless all of it is null. N-grams and sets are told apart by 64-bit hashes.
+    class_key and component are null and component_id their own id. Repeated rows and ids each give a row; null ids take part and never
+    name a component unless all of it is null; component tells components apart where ids repeat, and text_hash (xxhash64)
+    rows. N-grams and sets are told apart by 64-bit hashes.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = scratch.table(docs.mapInArrow(_classes(width), f"id {kind}, n_shingles bigint, key bigint"))
+    rows = scratch.table(docs.mapInArrow(_classes(width), f"id {kind}, text_hash bigint, n_shingles bigint, key bigint"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     bits = max(0, int(total // BLOCK)).bit_length()
     blocks = docs.select("text").mapInArrow(_blocks(width, bits), "range int, blob binary")
@@ -202,7 +203,7 @@ def ngram_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 10
     least = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
     named = least.join(whole, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "id")
     best = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    labels = scratch.table(named.join(best, "root").select(F.col("key").alias("class_key"), "component_id"))
-    linked = rows.where("key is not null").join(labels, F.col("key") == F.col("class_key"), "left").select(F.col("id").alias(id), "n_shingles", "class_key", "component_id")
-    alone = rows.where("key is null").select(F.col("id").alias(id), "n_shingles", F.col("key").alias("class_key"), F.col("id").alias("component_id"))
+    labels = scratch.table(named.join(best, "root").select(F.col("key").alias("class_key"), "component_id", F.col("root").alias("component")))
+    linked = rows.where("key is not null").join(labels, F.col("key") == F.col("class_key"), "left").select(F.col("id").alias(id), "n_shingles", "class_key", "component_id", "component", "text_hash")
+    alone = rows.where("key is null").select(F.col("id").alias(id), "n_shingles", F.col("key").alias("class_key"), F.col("id").alias("component_id"), F.col("key").alias("component"), "text_hash")
     return linked.union(alone)
