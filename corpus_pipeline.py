@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import decontaminate, kd_shards, mixing, ngram_join, toxicity
-from gaugeflow.llm._scratch import Scratch
+from gaugeflow.llm._scratch import Scratch, release
 
 #: Shards of the result.
 SHARDS = 40
@@ -22,13 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share four fifths of their five-word n-grams, directly or through others, the smallest id stays."""
-    found = ngram_join.ngram_components(docs, width=5, num=80, den=100)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    # Ids are unique in this table; where they aren't, repeated rows are a group as well.
-    n, distinct = found.agg(F.count(F.lit(1)), F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).first()
-    return kept if n == distinct else kept.dropDuplicates(["doc_id", "text"])
+    """Of documents that share four fifths of their five-word n-grams, directly or through others, the smallest id stays.
+
+    Where ids repeat or are null, rows are told apart by their texts: of a group the row with the smallest id stays, one
+    without an id only if no other has one, and of equal rows one. Documents without words are in no group.
+    """
+    found = ngram_join.ngram_components(docs, width=5, num=80, den=100).where("component is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = found.groupBy("component").agg(F.min(row).alias("best"), F.count(F.lit(1)).alias("n"))
+    met = found.join(best.where("n > 1"), "component").withColumn("stays", row.eqNullSafe(F.col("best")))
+    gone = met.where("not stays").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    kept = docs.join(gone, same, "left_anti")
+    repeated = met.where("stays").groupBy("component").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +58,14 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", one_of_each_group), ("de
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`. Null and empty texts pass the first three; an empty table gives an empty result. What a
+    stage wrote for itself, and the table that it read, are deleted once its result is written."""
     scratch = Scratch(spark, "corpus")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir))
+        release(spark, scratch)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
