@@ -144,7 +144,8 @@ def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: fl
     """
     normal = df.where(F.col("scenario_kind") == "baseline")
     w = _stream(stream, order)
-    x = normal.select(*by, F.col("score").alias("x"), F.least(F.col("score"), F.lag("score").over(w)).alias("low"))
+    before = F.lag("score").over(w)  # a stream's first row has none: an alarm there begins an episode
+    x = normal.select(*by, F.col("score").alias("x"), F.when(before.isNotNull(), F.least(F.col("score"), before)).alias("low"))
     ends = F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("low").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     points = x.select(*by, F.explode(ends).alias("p")).select(*by, "p.*").where("v is not null")
     curve = cumulative(points.groupBy(*by, "v").agg(F.sum("up").alias("up"), F.sum("down").alias("down")), by, "v", ["up", "down"], parts=parts)
@@ -153,7 +154,8 @@ def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: fl
     sizes = normal.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("most")).join(step_length(df, step_by), step_by)
     grid = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
     q = 1 - F.exp(F.log(F.lit(0.3)) + F.col("i") / float(candidates - 1) * (F.log(F.lit(1e-6)) - F.log(F.lit(0.3))))
-    grid = grid.withColumn("h", q * (F.col("n") - 1))
+    # Rounded, so that a level that falls on a score, as the first one may, isn't put beside it by the logarithms' last digits.
+    grid = grid.withColumn("h", F.round(q * (F.col("n") - 1), 9))
     wanted = grid.select(*by, "n", "step", "most", "i", "h", F.explode(F.array(F.floor("h") + 1, F.ceil("h") + 1)).alias("k"))
     near = at_ranks(curve, by, "up_upto", ["v", "episodes"], wanted, "k").groupBy(*by, "i").agg(
         *[F.max(c).alias(c) for c in ("n", "step", "most", "h")], F.min(F.struct("v", "episodes")).alias("lo"), F.max(F.struct("v", "episodes")).alias("hi")

@@ -120,8 +120,8 @@ def a22(spark, sf_dir):
 
 def budget_sql(budget: float) -> str:
     """The plain rule, over each candidate and row."""
-    return f""", bt AS (SELECT {GROUP_SQL}, score, least(score, lag(score) OVER (PARTITION BY {STREAM_SQL} ORDER BY time_seconds, event_id)) AS low, row_number() OVER (PARTITION BY {GROUP_SQL} ORDER BY score) AS k FROM scored WHERE scenario_kind = 'baseline'),
-bn AS (SELECT {GROUP_SQL}, count(*) AS n, max(score) AS most FROM bt GROUP BY {GROUP_SQL}), bg AS (SELECT bn.*, step, (1 - exp(ln(0.3) + i / 399.0 * (ln(1e-6) - ln(0.3)))) * (n - 1) AS h FROM bn JOIN sl USING (seed, network_id) CROSS JOIN range(400) t(i)),
+    return f""", bt AS (SELECT {GROUP_SQL}, score, CASE WHEN lag(score) OVER (PARTITION BY {STREAM_SQL} ORDER BY time_seconds, event_id) IS NOT NULL THEN least(score, lag(score) OVER (PARTITION BY {STREAM_SQL} ORDER BY time_seconds, event_id)) END AS low, row_number() OVER (PARTITION BY {GROUP_SQL} ORDER BY score) AS k FROM scored WHERE scenario_kind = 'baseline'),
+bn AS (SELECT {GROUP_SQL}, count(*) AS n, max(score) AS most FROM bt GROUP BY {GROUP_SQL}), bg AS (SELECT bn.*, step, round((1 - exp(ln(0.3) + i / 399.0 * (ln(1e-6) - ln(0.3)))) * (n - 1), 9) AS h FROM bn JOIN sl USING (seed, network_id) CROSS JOIN range(400) t(i)),
 bc AS (SELECT DISTINCT {', '.join('bg.' + c for c in GROUP)}, bg.n, step, most, lo.score + (h - floor(h)) * (hi.score - lo.score) AS t FROM bg JOIN bt lo ON lo.k = floor(h) + 1 AND {' AND '.join(f'lo.{c} = bg.{c}' for c in GROUP)} JOIN bt hi ON hi.k = ceil(h) + 1 AND {' AND '.join(f'hi.{c} = bg.{c}' for c in GROUP)}),
 be AS (SELECT {', '.join('bc.' + c for c in GROUP)}, t, max(bc.n) AS n, max(step) AS step, max(most) AS most, count(*) FILTER (score >= t) - count(*) FILTER (low >= t) AS episodes FROM bc JOIN bt USING ({GROUP_SQL}) GROUP BY ALL),
 budget AS (SELECT {GROUP_SQL}, coalesce(min(CASE WHEN episodes <= {budget} * n * step / 86400.0 THEN t END), max(most) + 1e-9) AS threshold FROM be GROUP BY {GROUP_SQL})"""
