@@ -51,6 +51,11 @@ def _grams_at(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return shingles(words[starts[:, None] + np.arange(width)].T, width)[0] if len(starts) else np.empty(0, np.uint64)
 
 
+def _place(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where in sorted values each wanted one is, if it is there."""
+    return np.minimum(np.searchsorted(ordered, wanted), max(0, len(ordered) - 1))
+
+
 class _Index:
     """Hashes, sorted, with their owners."""
 
@@ -61,9 +66,9 @@ class _Index:
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """Which are there, and the owners of those."""
-        place = np.minimum(np.searchsorted(self.hashes, wanted), max(0, len(self.hashes) - 1))
+        place = _place(self.hashes, wanted)
         known = self.hashes[place] == wanted if len(self.hashes) else np.zeros(len(wanted), bool)
-        return known, sorted({int(o) for x in np.unique(place[known]) for o in self.owners[self.at[x] : self.at[x + 1]]})
+        return known, sorted({int(o) for x in np.unique(place[known]) for o in self.owners[self.at[x] : self.at[x + 1]]}) if known.any() else []
 
 
 class _Block:
@@ -95,7 +100,9 @@ class _Block:
             starts = np.arange(len(words) - width + 1)
             if width == WINDOW:
                 places, hashes = fingerprint_places(words)
-                near = places[np.isin(hashes, self.prints)]
+                near = places[self.prints[_place(self.prints, hashes)] == hashes] if len(self.prints) else places[:0]
+                if not len(near):
+                    continue
                 starts = np.unique(np.clip(near[:, None] - np.arange(KEEP_OF), 0, len(starts) - 1))
             known, owners = index.find(_grams_at(words, starts, width))
             runs += _runs(starts[known], width)
