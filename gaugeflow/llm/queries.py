@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import chat, chunk_dedup, column_dedup, decontaminate, fingerprints, kd_shards, licenses, mixing, ngram_join, toxicity
+from gaugeflow.llm import chat, chunk_dedup, column_dedup, decontaminate, fingerprints, kd_shards, licenses, mixing, ngram_join, spelling, toxicity
 from gaugeflow.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -86,10 +86,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_kd_shards, op3_license_scan, op4_ngram_join, op5_winnow_decontaminate, op6_scaled_sketch, op7_column_dedup, op8_toxicity, op9_chunk_dedup, op10_chat_format, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_kd_shards, op3_license_scan, op4_ngram_join, op5_winnow_decontaminate, op6_scaled_sketch, op7_column_dedup, op8_toxicity, op9_chunk_dedup, op10_chat_format, op11_spelling_variants, pipeline)}
