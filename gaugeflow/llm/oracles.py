@@ -48,16 +48,16 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), text
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM g"""
 
 #: crc32 by a table of 256 entries made from its polynomial; words meet by what is left without one letter.
-SPELLING = r"""WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+SPELLING = r"""WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
 r AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents) WHERE length(w) >= 5 GROUP BY ALL),
-b AS (SELECT w, n, flatten(list_transform(string_split(concat(doc_id, ':', w), ''), x -> CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS b FROM r),
-h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(b, x -> CAST(x AS BIGINT))), (c, x) -> xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+b AS (SELECT w, n, flatten(list_transform(string_split(concat(doc_id, ':', w), ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS b FROM r),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t),
 v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN concat(left(w, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
 d AS (SELECT word, i, concat(left(word, i), substr(word, i + 2)) AS less FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
 s AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.less = y.less AND x.i = y.i AND x.word <> y.word UNION SELECT d.word, v.word FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.less = v.word),
 f AS (SELECT a, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM s JOIN v ON v.word = b GROUP BY a),
 o AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM v LEFT JOIN f ON f.a = word),
-p AS (SELECT word, word AS at, 0 AS k FROM o UNION ALL SELECT p.word, o.form, k + 1 FROM p JOIN o ON o.word = p.at WHERE o.form IS NOT NULL)
-SELECT o.word, form, root, n, n_near, form_n FROM o JOIN (SELECT word, arg_max(at, k) AS root FROM p GROUP BY word) USING (word)"""
+p AS (SELECT word, word AS cur, 0 AS k FROM o UNION ALL SELECT p.word, o.form, k + 1 FROM p JOIN o ON o.word = p.cur WHERE o.form IS NOT NULL)
+SELECT o.word, form, root, n, n_near, form_n FROM o JOIN (SELECT word, arg_max(cur, k) AS root FROM p GROUP BY word) USING (word)"""
 
 ORACLE_SQL = {"op4_ngram_join": NGRAM_JOIN, "op5_winnow_decontaminate": CONTAMINATION, "op7_column_dedup": COLUMN_DEDUP, "op10_chat_format": CHAT, "op11_spelling_variants": SPELLING}

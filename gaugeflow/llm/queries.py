@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import chat, chunk_dedup, column_dedup, decontaminate, fingerprints, kd_shards, licenses, mixing, ngram_join, spelling, toxicity
+from gaugeflow.llm import alignment, chat, chunk_dedup, column_dedup, decontaminate, fingerprints, kd_shards, licenses, mixing, ngram_join, quality, spelling, toxicity
 from gaugeflow.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -90,10 +90,20 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(_read(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_tokenizers(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_kd_shards, op3_license_scan, op4_ngram_join, op5_winnow_decontaminate, op6_scaled_sketch, op7_column_dedup, op8_toxicity, op9_chunk_dedup, op10_chat_format, op11_spelling_variants, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_kd_shards, op3_license_scan, op4_ngram_join, op5_winnow_decontaminate, op6_scaled_sketch, op7_column_dedup, op8_toxicity, op9_chunk_dedup, op10_chat_format, op11_spelling_variants, op12_tokenizer_alignment, op13_quality, pipeline)}

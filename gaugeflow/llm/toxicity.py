@@ -199,16 +199,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -30, 30)))
 
 
-def _calibrated(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float] | None:
-    """Slope and shift of a ridge-regularised logistic curve, by Newton steps."""
-    if not len(label) or label.min() == label.max():
+def calibrated_curve(evidence: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float] | None:
+    """Slope and shift of a ridge-regularised logistic curve, by Newton steps; None if it doesn't rise or a label is missing."""
+    weight = np.ones(len(label)) if weight is None else weight
+    if not (weight[label == 1].sum() > 0 and weight[label == 0].sum() > 0):
         return None
     x = np.stack((evidence, np.ones(len(evidence))), axis=1)
     w, ridge = np.zeros(2), np.array([1e-3, 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
-        step = np.linalg.solve(hessian, x.T @ (p - label) + ridge * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - label)) + ridge * w)
         w = w - step * min(1.0, 4.0 / max(1e-9, float(np.abs(step).max())))
         if np.abs(step).max() < 1e-6:
             break
@@ -277,7 +278,7 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
     model = Model(blocks)
     tune = docs.join(F.broadcast(known.where("tune")), "id").select(F.col("kind").cast("long").alias("id"), "text")
     seen = add_columns(tune, "evidence double, score double", _score(model, "text"), ["id"]).toPandas()
-    if curve := _calibrated(seen["evidence"].to_numpy(), seen["id"].to_numpy(float)):
+    if curve := calibrated_curve(seen["evidence"].to_numpy(), seen["id"].to_numpy(float)):
         model.slope, model.shift = curve
     return model
 
