@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 
@@ -22,15 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._gaugeflow_scratch
 
 
-#: Folders of all operator runs whose tables may still be read.
-_OPEN: list[str] = []
+#: The owner of tables made from here on, if any.
+_OWNER: contextvars.ContextVar[Owner | None] = contextvars.ContextVar("owner", default=None)
 
 
-def release(spark: SparkSession, but: Scratch) -> None:
-    """Deletes the tables of all operator runs so far but one's: for callers that have written what they made of them."""
-    for root in [r for r in _OPEN if r != but.root]:
-        _delete(spark, root)
-        _OPEN.remove(root)
+class Owner:
+    """Owns the tables of all operator runs begun within its `with` block, and deletes them on release(), which is for callers
+    that have written what they made of them. Tables of runs outside, and those of other owners, stay."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.roots = spark, []
+
+    def __enter__(self) -> Owner:
+        self._before = _OWNER.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OWNER.reset(self._before)
+
+    def release(self) -> None:
+        while self.roots:
+            _delete(self.spark, self.roots.pop())
 
 
 def _delete(spark: SparkSession, at: str) -> None:
@@ -39,12 +52,14 @@ def _delete(spark: SparkSession, at: str) -> None:
 
 
 class Scratch:
-    """Written tables of one operator run. A lost executor costs nothing but a re-read of the files."""
+    """Written tables of one operator run, which the Owner around it can delete. A lost executor costs nothing but a re-read
+    of the files."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = bounded(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
-        _OPEN.append(self.root)
+        if owner := _OWNER.get():
+            owner.roots.append(self.root)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Writes df and returns the table as read back."""

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 """The pipeline's stages on odd rows: null and repeated ids, null and empty texts, repeated rows, no rows, clashing columns."""
 
 from collections import Counter
@@ -37,6 +39,7 @@ def test_all_stages_take_odd_rows(spark, rows):
 
 
 def test_a_run_leaves_one_table(spark):
-    before = set(_scratch._OPEN)
+    base = Path(_scratch.shared_dir(spark).removeprefix("file:"))
+    before = set(base.iterdir())
     out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 0 and len(set(_scratch._OPEN) - before) == 1
+    assert out.count() > 0 and len(set(base.iterdir()) - before) == 1
