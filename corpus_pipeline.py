@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import decontaminate, kd_shards, mixing, ngram_join, toxicity
-from gaugeflow.llm._scratch import Scratch, release
+from gaugeflow.llm._scratch import Owner, Scratch
 
 #: Shards of the result.
 SHARDS = 40
@@ -63,8 +63,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "corpus")
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir))
-        release(spark, scratch)
+        with Owner(spark) as made:
+            docs = scratch.table(stage(spark, docs, sf_dir))
+        made.release()
         if before is not None:
             scratch.drop(before)
         before = docs
