@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.supersteps import Supersteps
+
 #: Points of a block.
 BLOCK = 2_000
 
@@ -56,14 +58,16 @@ def symmetric_edges(pairs: DataFrame) -> DataFrame:
 
 
 def propagate(features: DataFrame, edges: DataFrame, columns: list[str], rounds: int = 2) -> DataFrame:
-    """(id, columns): degree-normalised averaging over neighbours and oneself, `rounds` times (edges src, dst in both directions)."""
+    """(id, columns): degree-normalised averaging over neighbours and oneself, `rounds` times (edges src, dst in both directions).
+
+    The weights are written once, and so is each round's result, so that rounds do not add to one plan.
+    """
+    steps = Supersteps(features.sparkSession, "propagate")
     pairs = edges.distinct()
-    loops = pairs.unionByName(features.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    loops = steps.table(pairs.unionByName(features.select(F.col("id").alias("src"), F.col("id").alias("dst"))))
     degree = loops.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("deg"))
-    weighted = loops.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("deg").alias("deg2")), "dst").select("src", "dst", (1 / F.sqrt(F.col("deg") * F.col("deg2"))).alias("w"))
+    weighted = steps.table(loops.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("deg").alias("deg2")), "dst").select("src", "dst", (1 / F.sqrt(F.col("deg") * F.col("deg2"))).alias("w")))
     now = features.select("id", *columns)
     for _ in range(rounds):
-        now = weighted.join(now, F.col("dst") == F.col("id")).groupBy("src").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns]).withColumnRenamed("src", "id")
+        now = steps.table(weighted.join(now, F.col("dst") == F.col("id")).groupBy("src").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns]).withColumnRenamed("src", "id"))
     return now
-
-
