@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -120,8 +121,10 @@ def draws(members: DataFrame, by: list[str], member: str, count: int, salt: str)
 #: How often a member counts in a draw, from sixteen bits of a hash: as often as the bits reach one of these fixed values,
 #: 65,536 times the distribution function of Poisson(1).
 TIMES = (24_109, 48_219, 60_273, 64_291, 65_296, 65_497, 65_530, 65_535)
-#: Draws that one hash decides, and numbers of an array of rows and draws at most, about.
-DRAWS, CELLS = 8, 4_000_000
+#: Draws that one hash decides, rows times draws of an array at most, and of a task at most, about.
+DRAWS, CELLS, TASK_CELLS = 8, 2_000_000, 128_000_000
+#: Members whose hashes are made together.
+MEMBERS = 65_536
 
 
 def with_draws(df: DataFrame, members: list[str], count: int, salt: str) -> DataFrame:
@@ -145,8 +148,9 @@ def with_draws(df: DataFrame, members: list[str], count: int, salt: str) -> Data
 def drawn_ap(slim: DataFrame, by: list[str], members: list[str], count: int, salt: str) -> DataFrame:
     """(by, b, ap): average precision of each draw over rows that count `rows` times their member's times.
 
-    Groups of a range of the input's size or less are drawn and ranked in arrays, CELLS numbers at a time; larger ones by
-    with_draws() and ranks in ranges. Both give the same values.
+    Groups of a range of the input's size or less are drawn in arrays: a task has one group and one block of draws, as many as
+    make TASK_CELLS with the group's rows, and weighs CELLS numbers at a time. Larger inputs go by with_draws() and ranks in
+    ranges. Both give the same values.
     """
     if parts_for(slim) > 1:
         weighted = with_draws(slim, members, count, salt)
@@ -154,30 +158,55 @@ def drawn_ap(slim: DataFrame, by: list[str], members: list[str], count: int, sal
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in members])
     rows = slim.select(*by, key.alias("__m"), F.col("score").cast("double").alias("__s"), F.col("event_label").cast("double").alias("__y"), F.col("rows").cast("double").alias("__n"))
     kinds = dict(rows.dtypes)
-    return rows.groupBy(*by).applyInArrow(_drawn(by, count, salt), ", ".join(f"{c} {kinds[c]}" for c in by) + ", b int, ap double")
+    hashes = -(-count // DRAWS)
+    blocks = F.least(F.lit(hashes), F.greatest(F.lit(1), F.ceil(F.col("__size") * count / TASK_CELLS))).cast("int")
+    null_safe = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    sizes = rows.groupBy(*[F.col(c).alias(f"__by_{c}") for c in by]).agg(F.count(F.lit(1)).alias("__size"))
+    dealt = rows.join(sizes, functools.reduce(Column.__and__, null_safe)).withColumn("__blocks", blocks).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    work = dealt.select(*by, "__m", "__s", "__y", "__n", "__blocks", "__block").groupBy(*by, "__block")
+    return work.applyInArrow(_drawn(by, count, salt), ", ".join(f"{c} {kinds[c]}" for c in by) + ", b int, ap double")
+
+
+def _times(names: pa.Array, salt: str, block: int) -> np.ndarray:
+    """How often each member counts in the DRAWS draws of a block, a row per member."""
+    cuts, found = np.array(TIMES, np.uint16), []
+    for at in range(0, len(names), MEMBERS):
+        digests = b"".join([hashlib.md5(b"%s|%d|%s" % (salt.encode(), block, m)).digest() for m in names.slice(at, MEMBERS).to_pylist()])
+        found.append(np.searchsorted(cuts, np.frombuffer(digests, ">u2").astype(np.uint16), "right").astype(np.int8).reshape(-1, DRAWS))
+    return np.concatenate(found)
 
 
 def _drawn(by: list[str], count: int, salt: str):
+    """Draws of one block of one group. Hashes are made DRAWS draws at a time and forgotten, so that memory depends on the
+    rows only."""
+
     def run(table: pa.Table) -> pa.Table:
-        names, member = np.unique(np.array(table.column("__m").to_pylist(), dtype=object).astype(str), return_inverse=True)
-        blocks = -(-count // DRAWS)
-        digests = b"".join(hashlib.md5(f"{salt}|{k}|{m}".encode()).digest() for m in names.tolist() for k in range(blocks))
-        times = np.searchsorted(np.array(TIMES), np.frombuffer(digests, ">u2").reshape(len(names), -1)[:, :count], "right").astype(np.int8)
-        score, label, rows = (table.column(c).to_numpy() for c in ("__s", "__y", "__n"))
-        order = np.argsort(-score, kind="stable")
-        score, label, rows, member = score[order], label[order], rows[order], member[order]
-        bad = ~np.isfinite(score)
-        last = np.append(score[1:] != score[:-1], True)
-        found = []
-        for at in range(0, count, width := max(1, CELLS // len(score))):
-            weight = times[member, at : at + width] * rows[:, None]
-            tp, fp = (np.cumsum(weight * y[:, None], axis=0)[last] for y in (label, 1 - label))
-            gain = np.diff(tp, axis=0, prepend=0) * tp / np.maximum(tp + fp, 1e-300)
-            ap = gain.sum(axis=0) / np.maximum(tp[-1], 1e-300)
-            found.append(np.where((tp[-1] > 0) & (fp[-1] > 0) & ~(weight[bad] > 0).any(axis=0), ap, np.nan))
-        ap = np.concatenate(found)
-        same = {c: pa.array([table.column(c)[0].as_py()] * count, table.schema.field(c).type) for c in by}
-        return pa.table({**same, "b": pa.array(np.arange(count), pa.int32()), "ap": pa.array(ap, from_pandas=True)})
+        coded = table.column("__m").combine_chunks().dictionary_encode()
+        names, member = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(-table.column("__s").to_numpy(), kind="stable")
+        score, label, rows = (table.column(c).to_numpy()[order] for c in ("__s", "__y", "__n"))
+        member = member[order]
+        bad, last = ~np.isfinite(score), np.flatnonzero(np.append(score[1:] != score[:-1], True))
+        up, down = rows * label, rows * (1 - label)
+        hashes = -(-count // DRAWS)
+        number, block = table.column("__blocks")[0].as_py(), table.column("__block")[0].as_py()
+        ap, draw = [], []
+        for k in range(hashes * block // number, hashes * (block + 1) // number):
+            times = _times(names, salt, k)
+            width = max(1, min(DRAWS, CELLS // len(score)))
+            for at in range(0, DRAWS, width):
+                weight = times[member, at : at + width]
+                tp, fp = (np.cumsum(weight * side[:, None], axis=0)[last] for side in (up, down))
+                gain = np.diff(tp, axis=0, prepend=0)
+                gain *= tp
+                gain /= np.maximum(tp + fp, 1e-300)
+                one = gain.sum(axis=0) / np.maximum(tp[-1], 1e-300)
+                ap.append(np.where((tp[-1] > 0) & (fp[-1] > 0) & ~(weight[bad] > 0).any(axis=0), one, np.nan))
+                draw.append(k * DRAWS + np.arange(at, min(DRAWS, at + width)))
+        found, draws_made = np.concatenate(ap), np.concatenate(draw)
+        found, draws_made = found[draws_made < count], draws_made[draws_made < count]
+        same = {c: pa.array([table.column(c)[0].as_py()] * len(found), table.schema.field(c).type) for c in by}
+        return pa.table({**same, "b": pa.array(draws_made, pa.int32()), "ap": pa.array(found, from_pandas=True)})
 
     return run
 
