@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.scalar import unit_hash
+from gaugeflow.functions.tails import correlation_p, normal_tail
 from gaugeflow.operators.metrics import ranking_metrics
 from gaugeflow.operators.ranks import average_ranks, parts_for, weighted_correlation
 
@@ -22,35 +22,45 @@ def paired_baseline(df: DataFrame, keys: list[str], base: str, column: str) -> D
     return df.where((F.col("arm") != base) & F.col(column).isNotNull()).join(b, keys).select("arm", *keys, (F.col(column) - F.col("__base")).alias("delta"))
 
 
-def _normal_tail(z: Column) -> Column:
-    """P(Z >= z) for z >= 0, by a rational approximation good to 1e-7 (Abramowitz and Stegun 26.2.17)."""
-    t = 1 / (1 + 0.2316419 * z)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+def wilcoxon(df: DataFrame, by: list[str], delta: str = "delta", most_exact: int = 50, alternative: str = "two-sided") -> DataFrame:
+    """(by, n, statistic, p, effect, significant, error): signed ranks of paired differences.
 
-
-def wilcoxon(df: DataFrame, by: list[str], delta: str = "delta", most_exact: int = 16) -> DataFrame:
-    """(by, n, statistic, p, effect): signed ranks of paired differences, two-sided.
-
-    Zero differences are dropped and ties share ranks. p is exact (all sign patterns of up to 16 untied differences without
-    zeros, spread over rows), else normal with tie correction. effect = 1 - 2 W / (n (n + 1) / 2), n with zeros. All zero: p 1.
+    Zero differences are dropped, ties share ranks, and ranks are read off counts of distinct values. The statistic is the
+    smaller rank sum, or for "greater" and "less" that of positive differences. Up to most_exact differences p is exact: the
+    number of sign patterns of each rank sum, by adding one rank after another (ranks doubled, so that shared ones are whole).
+    Beyond, it is normal with tie correction. effect = 1 - 2 W / (n (n + 1) / 2), n with zeros; significant is 1 for p < .05.
+    All zero: p 1. Below two pairs everything but n and error is null.
     """
+    if alternative not in ("two-sided", "greater", "less"):
+        raise ValueError(f"no such alternative: {alternative}")
+    known = df.where(F.col(delta).isNotNull())
     all_n = df.groupBy(*by).agg(F.count(delta).alias("n_all"))
-    use = df.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).withColumn("__a", F.abs(F.col(delta)))
-    w = Window.partitionBy(*by)
-    ranks = use.withColumn("__r", F.rank().over(w.orderBy("__a")) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "__a")) - 1) / 2)
-    ties = ranks.groupBy(*by, "__a").agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tie"))
-    sums = ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col(delta) > 0, F.col("__r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col(delta) < 0, F.col("__r")).otherwise(0.0)).alias("down"))
-    s = all_n.join(sums.join(ties, by), by, "left").withColumn("statistic", F.least("up", "down"))
-    small = s.where((F.col("m") == F.col("n_all")) & (F.col("tie") == 0) & (F.col("m") <= most_exact))
-    # Subsets of 1..m as bit patterns; the share of them whose sum is no more than the statistic, on both sides.
-    signs = small.select(*by, "m", "statistic", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), F.col("m")) - 1).cast("int"))).alias("bits"))
-    total = F.aggregate(F.sequence(F.lit(1), F.col("m").cast("int")), F.lit(0), lambda acc, k: acc + F.when(F.call_function("getbit", F.col("bits").cast("long"), k - 1) == 1, k).otherwise(0))
-    exact = signs.groupBy(*by).agg(F.least(F.lit(1.0), 2 * F.avg((total <= F.col("statistic")).cast("double"))).alias("exact"))
+    use = known.where(F.col(delta) != 0).withColumn("__a", F.abs(F.col(delta)))
+    values = use.groupBy(*by, "__a").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(delta) > 0).alias("ups"))
+    ranks = values.join(average_ranks(use.select(*by, "__a"), by, "__a", "__r"), [*by, "__a"])
+    sums = ranks.groupBy(*by).agg(F.sum("t").alias("m"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tie"), F.sum(F.col("__r") * F.col("ups")).alias("up"), F.sum(F.col("__r") * (F.col("t") - F.col("ups"))).alias("down"))
+    s = all_n.join(sums, by, "left").withColumn("statistic", F.least("up", "down") if alternative == "two-sided" else F.col("up"))
+    few = ranks.join(sums.where(F.col("m") <= most_exact).select(*by), by, "left_semi")
+    lists = few.groupBy(*by).agg(F.flatten(F.collect_list(F.array_repeat((F.col("__r") * 2).cast("int"), F.col("t").cast("int")))).alias("__ranks"))
+    total = (F.col("m") * (F.col("m") + 1)).cast("int")
+    empty = F.transform(F.sequence(F.lit(0), total), lambda j: (j == 0).cast("double"))
+    add = lambda acc, rank: F.transform(acc, lambda x, j: x + F.coalesce(F.get(acc, j - rank), F.lit(0.0)))
+    # By symmetry the sums from `up` on are as frequent as those up to the negative differences' sum.
+    upto = (2 * (F.col("down") if alternative == "greater" else F.col("statistic"))).cast("int")
+    below = F.aggregate(F.slice(F.aggregate("__ranks", empty, add), F.lit(1), upto + 1), F.lit(0.0), lambda acc, x: acc + x) / F.pow(F.lit(2.0), F.col("m"))
+    exact = s.join(lists, by).select(*by, (F.least(F.lit(1.0), 2 * below) if alternative == "two-sided" else below).alias("exact"))
     mean, var = F.col("m") * (F.col("m") + 1) / 4, F.col("m") * (F.col("m") + 1) * (2 * F.col("m") + 1) / 24 - F.col("tie") / 48
-    approx = F.least(F.lit(1.0), 2 * _normal_tail(F.abs(F.col("statistic") - mean) / F.sqrt(F.greatest(var, F.lit(1e-300)))))
-    out = s.join(exact, by, "left").withColumn("p", F.when(F.col("m").isNull(), 1.0).otherwise(F.coalesce("exact", approx)))
-    return out.select(*by, F.col("n_all").alias("n"), F.coalesce("statistic", F.lit(0.0)).alias("statistic"), "p", (1 - 2 * F.coalesce("statistic", F.lit(0.0)) / (F.col("n_all") * (F.col("n_all") + 1) / 2)).alias("effect"))
+    z = (F.col("statistic") - mean) / F.sqrt(F.greatest(var, F.lit(1e-300)))
+    tail = normal_tail(F.abs(z))
+    side = {"two-sided": F.least(F.lit(1.0), 2 * tail), "greater": F.when(z >= 0, tail).otherwise(1 - tail), "less": F.when(z <= 0, tail).otherwise(1 - tail)}
+    enough = lambda c: F.when(F.col("n_all") >= 2, c)
+    out = s.join(exact, by, "left").withColumn("p", enough(F.when(F.col("m").isNull(), 1.0).otherwise(F.coalesce("exact", side[alternative]))))
+    w = F.coalesce("statistic", F.lit(0.0))
+    effect = F.when(F.col("m").isNull(), 0.0).otherwise(1 - 2 * w / (F.col("n_all") * (F.col("n_all") + 1) / 2))
+    return out.select(
+        *by, F.col("n_all").alias("n"), enough(w).alias("statistic"), "p", enough(effect).alias("effect"), (F.col("p") < 0.05).cast("int").alias("significant"),
+        F.when(F.col("n_all") < 2, "at least 2 paired observations required").alias("error"),
+    )
 
 
 def holm(df: DataFrame, by: list[str], p: str = "p", name: str = "arm", alpha: float = 0.05) -> DataFrame:
@@ -62,15 +72,19 @@ def holm(df: DataFrame, by: list[str], p: str = "p", name: str = "arm", alpha: f
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, ordinal: bool = False, tie: str | None = None) -> DataFrame:
-    """(by, rho, n): correlation of average ranks, or of ordinal ones with ties broken by a column; null below 3 pairs.
+    """(by, rho, n, p): correlation of average ranks, or of ordinal ones with ties broken by a column; null below 3 pairs.
 
     Average ranks are read off counts of distinct values, and equal pairs of values are counted before they meet their ranks.
+    p is two-sided: Student's t with n - 2 degrees for average ranks, the normal tail of that t for ordinal ones. A perfect
+    correlation has p 0, or null for ordinal ranks.
     """
     use = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if ordinal:
         rank = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(c, tie)).cast("double")
         ranks = use.withColumn("__x", rank(x)).withColumn("__y", rank(y))
-        return ranks.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 3, F.corr("__x", "__y")).alias("rho"), F.count(F.lit(1)).alias("n"))
+        found = ranks.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 3, F.corr("__x", "__y")).alias("rho"), F.count(F.lit(1)).alias("n"))
+        t = F.abs(F.col("rho")) * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+        return found.withColumn("p", F.when(F.abs("rho") < 1, 2 * normal_tail(t)))
     pairs = use.groupBy(*by, F.col(x).alias("__vx"), F.col(y).alias("__vy")).agg(F.count(F.lit(1)).alias("__n"))
     sizes = use.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     ranks = [average_ranks(use.select(*by, F.col(c).alias(v)), by, v, r) for c, v, r in ((x, "__vx", "__x"), (y, "__vy", "__y"))]
@@ -78,13 +92,20 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, ordinal: bool = False
     both, own_x, own_y = weighted_correlation(F.col("__n"), F.col("__x"), F.col("__y"), F.col("n"))
     sums = met.groupBy(*by, "n").agg(both.alias("__b"), own_x.alias("__p"), own_y.alias("__q"))
     rho = F.try_divide(F.col("__b"), F.sqrt(F.col("__p") * F.col("__q")))
-    return sums.select(*by, F.when(F.col("n") >= 3, rho).alias("rho"), "n")
+    found = sums.select(*by, F.when(F.col("n") >= 3, rho).alias("rho"), "n")
+    return found.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
-def paired_deltas(df: DataFrame, by: list[str], least: int = 3) -> DataFrame:
-    """(by, mean_delta, wins, n, mde): groups with fewer than `least` pairs go; mde = 2.5 sd / sqrt(n)."""
-    out = df.groupBy(*by).agg(F.avg("delta").alias("mean_delta"), F.count_if(F.col("delta") > 0).alias("wins"), F.count("delta").alias("n"), (2.5 * F.stddev_samp("delta") / F.sqrt(F.count("delta"))).alias("mde"))
-    return out.where(F.col("n") >= least)
+def paired_deltas(df: DataFrame, by: list[str], least: int = 3, member: str | None = None, least_tested: int = 6) -> DataFrame:
+    """(by, mean_delta, wins, n, mde, p): groups with fewer than `least` pairs go; mde = 2.5 sd / sqrt(n).
+
+    p is that of signed ranks, from `least_tested` pairs on. With member, deltas has each member's as (member, delta).
+    """
+    each = [F.sort_array(F.collect_list(F.when(F.col("delta").isNotNull(), F.struct(F.col(member).alias("member"), "delta")))).alias("deltas")] if member else []
+    mde = (2.5 * F.stddev_samp("delta") / F.sqrt(F.count("delta"))).alias("mde")
+    out = df.groupBy(*by).agg(F.avg("delta").alias("mean_delta"), F.count_if(F.col("delta") > 0).alias("wins"), F.count("delta").alias("n"), mde, *each)
+    tested = wilcoxon(df, by).where(F.col("n") >= least_tested).select(*by, "p")
+    return out.where(F.col("n") >= least).join(tested, by, "left")
 
 
 def family_deltas(df: DataFrame, families: Column, by: list[str]) -> DataFrame:

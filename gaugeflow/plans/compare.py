@@ -29,6 +29,21 @@ wp AS (SELECT {by}, n, w, bits, list_sum([CASE WHEN (bits >> (i - 1)) & 1 = 1 TH
 wx AS (SELECT {by}, n, w, least(1.0, 2 * avg(CASE WHEN t <= w THEN 1.0 ELSE 0.0 END)) AS p FROM wp GROUP BY {by}, n, w)"""
 
 
+FLAG = "CASE WHEN p < 0.05 THEN 1 ELSE 0 END AS significant, CAST(NULL AS VARCHAR) AS error"
+
+
+def student_sql(rho: str, n: str) -> str:
+    """Two-sided p of a correlation by the finite sums that Student's distribution is for whole degrees of freedom."""
+    even = f"abs({rho}) * list_sum(list_transform(range(0, ({n} - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2 + k * ln(1 - {rho} * {rho}))))"
+    odd = f"2 / pi() * (asin(abs({rho})) + coalesce(abs({rho}) * sqrt(1 - {rho} * {rho}) * list_sum(list_transform(range(0, ({n} - 3) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5) + k * ln(1 - {rho} * {rho})))), 0))"
+    return f"CASE WHEN {n} < 3 THEN NULL WHEN abs({rho}) >= 1 THEN 0 WHEN {n} % 2 = 0 THEN 1 - {even} ELSE 1 - {odd} END"
+
+
+def normal_sql(t: str) -> str:
+    """Twice the normal tail above t, by the power series of the integral."""
+    return f"(1 - 2 * exp(-{t} * {t} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(greatest({t}, 1e-30)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))))"
+
+
 @query("j10_paired_baseline", f"WITH {DELTAS} SELECT arm, seed, network_id, {r('delta')} AS delta FROM dl")
 def j10(spark, sf_dir):
     return deltas(spark, sf_dir)
@@ -39,7 +54,7 @@ def a24(spark, sf_dir):
     return deltas(spark, sf_dir).groupBy("network_id").agg(F.avg("delta").alias("delta"))
 
 
-@query("t1_wilcoxon", f"WITH {DELTAS}{WILCOXON.format(by='arm', source='dl')} SELECT arm, n, CAST(w AS DOUBLE) AS statistic, {r('p')} AS p, {r('1 - 2 * w / (n * (n + 1) / 2)')} AS effect FROM wx")
+@query("t1_wilcoxon", f"WITH {DELTAS}{WILCOXON.format(by='arm', source='dl')} SELECT arm, n, CAST(w AS DOUBLE) AS statistic, {r('p')} AS p, {r('1 - 2 * w / (n * (n + 1) / 2)')} AS effect, {FLAG} FROM wx")
 def t1(spark, sf_dir):
     return C.wilcoxon(deltas(spark, sf_dir), ["arm"])
 
@@ -50,7 +65,7 @@ def t2(spark, sf_dir):
     return C.holm(p, ["family"]).select("arm", "p", "p_holm", "reject")
 
 
-@query("t3_spearman", f"WITH {ARM_AP}, w AS (SELECT seed, network_id, max(CASE WHEN arm = 'a' THEN ap END) AS x, max(CASE WHEN arm = 'b' THEN ap END) AS y FROM m GROUP BY seed, network_id), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM w WHERE x IS NOT NULL AND y IS NOT NULL) SELECT 'all' AS family, {r('corr(a, b)')} AS rho, count(*) AS n FROM k")
+@query("t3_spearman", f"WITH {ARM_AP}, w AS (SELECT seed, network_id, max(CASE WHEN arm = 'a' THEN ap END) AS x, max(CASE WHEN arm = 'b' THEN ap END) AS y FROM m GROUP BY seed, network_id), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM w WHERE x IS NOT NULL AND y IS NOT NULL) SELECT family, {r('rho')} AS rho, n, {r(student_sql('rho', 'n'))} AS p FROM (SELECT 'all' AS family, corr(a, b) AS rho, count(*) AS n FROM k)")
 def t3(spark, sf_dir):
     return C.spearman(_wide(spark, sf_dir), ["family"], "x", "y")
 
@@ -60,28 +75,28 @@ def _wide(spark, sf_dir):
     return arm_ap(spark, sf_dir).groupBy("seed", "network_id").agg(side("a").alias("x"), side("b").alias("y")).withColumn("family", F.lit("all")).withColumn("id", F.concat("network_id", "seed"))
 
 
-@query("t3_spearman_rows", f"WITH {STEPS}, k AS (SELECT network_id, rank() OVER (PARTITION BY network_id ORDER BY pressure_mean) + (count(*) OVER (PARTITION BY network_id, pressure_mean) - 1) / 2.0 AS a, rank() OVER (PARTITION BY network_id ORDER BY demand_mean) + (count(*) OVER (PARTITION BY network_id, demand_mean) - 1) / 2.0 AS b FROM steps) SELECT network_id, {r('corr(a, b)')} AS rho, count(*) AS n FROM k GROUP BY network_id")
+@query("t3_spearman_rows", f"WITH {STEPS}, k AS (SELECT network_id, rank() OVER (PARTITION BY network_id ORDER BY pressure_mean) + (count(*) OVER (PARTITION BY network_id, pressure_mean) - 1) / 2.0 AS a, rank() OVER (PARTITION BY network_id ORDER BY demand_mean) + (count(*) OVER (PARTITION BY network_id, demand_mean) - 1) / 2.0 AS b FROM steps) SELECT network_id, {r('rho')} AS rho, n, {r(student_sql('rho', 'n'))} AS p FROM (SELECT network_id, corr(a, b) AS rho, count(*) AS n FROM k GROUP BY network_id)")
 def t3_rows(spark, sf_dir):
     return C.spearman(steps(spark, sf_dir), ["network_id"], "pressure_mean", "demand_mean")
 
 
-@query("t4_spearman_ordinal", f"WITH {ARM_AP}, w AS (SELECT concat(network_id, CAST(seed AS VARCHAR)) AS id, max(CASE WHEN arm = 'a' THEN ap END) AS x, max(CASE WHEN arm = 'b' THEN ap END) AS y FROM m GROUP BY seed, network_id), k AS (SELECT row_number() OVER (ORDER BY x, id) AS a, row_number() OVER (ORDER BY y, id) AS b FROM w WHERE x IS NOT NULL AND y IS NOT NULL) SELECT 'all' AS family, {r('corr(a, b)')} AS rho, count(*) AS n FROM k")
+@query("t4_spearman_ordinal", f"WITH {ARM_AP}, w AS (SELECT concat(network_id, CAST(seed AS VARCHAR)) AS id, max(CASE WHEN arm = 'a' THEN ap END) AS x, max(CASE WHEN arm = 'b' THEN ap END) AS y FROM m GROUP BY seed, network_id), k AS (SELECT row_number() OVER (ORDER BY x, id) AS a, row_number() OVER (ORDER BY y, id) AS b FROM w WHERE x IS NOT NULL AND y IS NOT NULL) SELECT family, {r('rho')} AS rho, n, {r(normal_sql('t'))} AS p FROM (SELECT *, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM (SELECT 'all' AS family, corr(a, b) AS rho, count(*) AS n FROM k))")
 def t4(spark, sf_dir):
     return C.spearman(_wide(spark, sf_dir), ["family"], "x", "y", ordinal=True, tie="id")
 
 
-@query("t5_t6_paired_deltas", f"WITH {DELTAS} SELECT network_id, {r('avg(delta)')} AS mean_delta, count(*) FILTER (delta > 0) AS wins, count(*) AS n, {r('2.5 * stddev_samp(delta) / sqrt(count(*))')} AS mde FROM dl GROUP BY network_id HAVING count(*) >= 3")
+@query("t5_t6_paired_deltas", f"WITH {DELTAS}{WILCOXON.format(by='network_id', source='dl')}, pd AS (SELECT network_id, avg(delta) AS d, count(*) FILTER (delta > 0) AS wins, count(*) AS n, 2.5 * stddev_samp(delta) / sqrt(count(*)) AS mde FROM dl GROUP BY network_id HAVING count(*) >= 3) SELECT network_id, {r('d')} AS mean_delta, wins, pd.n, {r('mde')} AS mde, CASE WHEN pd.n >= 6 THEN {r('p')} END AS p FROM pd JOIN wx USING (network_id)")
 def t5(spark, sf_dir):
     return C.paired_deltas(deltas(spark, sf_dir), ["network_id"])
 
 
-@query("t7_family_deltas", f"WITH {DELTAS}, f AS (SELECT seed, CASE WHEN network_id IN ('net0', 'net1') THEN 'small' ELSE network_id END AS member, avg(delta) AS d FROM dl GROUP BY 1, 2) SELECT seed, {r('avg(d)')} AS mean_delta, count(*) FILTER (d > 0) AS wins, count(*) AS n, {r('2.5 * stddev_samp(d) / sqrt(count(*))')} AS mde FROM f GROUP BY seed HAVING count(*) >= 3")
+@query("t7_family_deltas", f"WITH {DELTAS}, f AS (SELECT seed, CASE WHEN network_id IN ('net0', 'net1') THEN 'small' ELSE network_id END AS member, avg(delta) AS delta FROM dl GROUP BY 1, 2){WILCOXON.format(by='seed', source='f')}, pd AS (SELECT seed, avg(delta) AS d, count(*) FILTER (delta > 0) AS wins, count(*) AS n, 2.5 * stddev_samp(delta) / sqrt(count(*)) AS mde FROM f GROUP BY seed HAVING count(*) >= 3) SELECT seed, {r('d')} AS mean_delta, wins, pd.n, {r('mde')} AS mde, CASE WHEN pd.n >= 6 THEN {r('p')} END AS p FROM pd JOIN wx USING (seed)")
 def t7(spark, sf_dir):
     f = C.family_deltas(deltas(spark, sf_dir), F.when(F.col("network_id").isin("net0", "net1"), "small"), ["seed"])
     return C.paired_deltas(f, ["seed"])
 
 
-@query("t8_leave_one_out", f"WITH {DELTAS}, lo AS (SELECT d.network_id AS dropped, dl.delta FROM dl, (SELECT DISTINCT network_id FROM dl) d WHERE d.network_id <> dl.network_id){WILCOXON.format(by='dropped', source='lo')} SELECT dropped, n, CAST(w AS DOUBLE) AS statistic, {r('p')} AS p, {r('1 - 2 * w / (n * (n + 1) / 2)')} AS effect FROM wx")
+@query("t8_leave_one_out", f"WITH {DELTAS}, lo AS (SELECT d.network_id AS dropped, dl.delta FROM dl, (SELECT DISTINCT network_id FROM dl) d WHERE d.network_id <> dl.network_id){WILCOXON.format(by='dropped', source='lo')} SELECT dropped, n, CAST(w AS DOUBLE) AS statistic, {r('p')} AS p, {r('1 - 2 * w / (n * (n + 1) / 2)')} AS effect, {FLAG} FROM wx")
 def t8(spark, sf_dir):
     return C.wilcoxon(C.leave_one_out(deltas(spark, sf_dir), "network_id"), ["dropped"])
 

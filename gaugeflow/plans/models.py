@@ -12,6 +12,7 @@ from gaugeflow.operators import joins as J
 from gaugeflow.operators import metrics as M
 from gaugeflow.operators import neighbours as K
 from gaugeflow.operators import windows as W
+from gaugeflow.plans.compare import student_sql
 from gaugeflow.plans.aggregates import PLAUSIBLE, plausible
 from gaugeflow.plans.compare import boot_ap_sql
 from gaugeflow.plans.joins import _points
@@ -247,7 +248,7 @@ def c7(spark, sf_dir):
     return M.ranking_metrics(long, keys).select(*keys, F.col("ap").alias("row_ap")).join(M.ranking_metrics(pooled, keys, "label", "max_score").select(*keys, F.col("ap").alias("pooled_ap")), keys)
 
 
-@query("c8_plausibility_vs_utility", f"WITH {PLAUSIBLE}, x AS (SELECT observed_count, avg(plausibility) AS p, avg(demand_mean) AS u FROM pl GROUP BY observed_count), k AS (SELECT rank() OVER (ORDER BY p) AS a, rank() OVER (ORDER BY u) AS b FROM x) SELECT 'all' AS family, {r('corr(a, b)')} AS rho, count(*) AS n FROM k")
+@query("c8_plausibility_vs_utility", f"WITH {PLAUSIBLE}, x AS (SELECT observed_count, avg(plausibility) AS p, avg(demand_mean) AS u FROM pl GROUP BY observed_count), k AS (SELECT rank() OVER (ORDER BY p) AS a, rank() OVER (ORDER BY u) AS b FROM x) SELECT family, {r('rho')} AS rho, n, {r(student_sql('rho', 'n'))} AS p FROM (SELECT 'all' AS family, corr(a, b) AS rho, count(*) AS n FROM k)")
 def c8(spark, sf_dir):
     x = plausible(spark, sf_dir).groupBy("observed_count").agg(F.avg("plausibility").alias("p"), F.avg("demand_mean").alias("u"))
     return C.spearman(x.withColumn("family", F.lit("all")), ["family"], "p", "u")
