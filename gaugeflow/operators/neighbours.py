@@ -1,7 +1,8 @@
-"""Exact nearest neighbours in blocks, and what is built on them."""
+"""Exact nearest neighbours by an index of pivots, and what is built on them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,22 +11,17 @@ from pyspark.sql import functions as F
 
 from gaugeflow.operators.supersteps import Supersteps
 
-#: Points of a block.
-BLOCK = 2_000
+#: Points of a block; pivots at most, whose vectors come to the driver.
+BLOCK, MOST_PIVOTS = 2_000, 1_024
 
 
-def knn_pairs(points: DataFrame, id: str, vec: str, k: int) -> DataFrame:  # noqa: A002
-    """(id, neighbour, distance, rank): each point's k nearest others by Euclidean distance, ties by id; all others if fewer.
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Of each row to each pivot, from differences."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
-    Points are dealt into blocks; each pair of blocks meets in one task, which keeps k candidates per point, so that no
-    distance matrix outgrows two blocks. This is a search of all rows against all rows in blocks: its work grows with the
-    square of the rows, its memory and its shuffle per task don't.
-    """
-    n = points.count()
-    blocks = max(1, -(-n // BLOCK))
-    base = points.select(F.col(id).alias("id"), F.col(vec).alias("v"), F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int").alias("b"))
-    sides = [base.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", F.col("b").alias("q"), F.col("o").alias("t"), F.lit(0).alias("side")), base.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", F.col("o").alias("q"), F.col("b").alias("t"), F.lit(1).alias("side"))]
-    kind = points.schema[id].dataType.simpleString()
+
+def _near(k: int):
+    """Of the rows of side 0 the k nearest each among the rows of side 1, themselves left out."""
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
@@ -47,9 +43,90 @@ def knn_pairs(points: DataFrame, id: str, vec: str, k: int) -> DataFrame:  # noq
             out.append(found.sort_values(["id", "distance", "neighbour"]).groupby("id").head(k))
         return pd.concat(out)
 
-    pairs = sides[0].unionByName(sides[1]).groupBy("q", "t").applyInPandas(near, f"id {kind}, neighbour {kind}, distance double")
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near
+
+
+class PivotIndex:
+    """Points in cells around pivots, for exact searches.
+
+    Each point belongs to its nearest pivot. A first search within cells gives each point an upper bound of its k-th distance;
+    by the triangle inequality, a cell can hold something nearer only if the point's distance to its pivot, less the cell's
+    radius, is no more than that. Only these cells are searched, so that the recall is 1. Cells of more than BLOCK points and
+    cells that many points ask for are dealt into blocks. The driver holds pivots and a size and radius for each.
+    """
+
+    def __init__(self, points: DataFrame, id: str, vec: str):  # noqa: A002
+        self.steps = Supersteps(points.sparkSession, "neighbours")
+        self.kind = points.schema[id].dataType.simpleString()
+        base = points.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+        pivots = -(-base.count() * 2 // BLOCK)
+        chosen = base.orderBy(F.xxhash64("id"), "id").limit(max(1, min(MOST_PIVOTS, pivots))).toPandas()
+        self.pivots = np.stack(chosen["v"]).astype(float) if len(chosen) else np.zeros((1, 1))
+        at = self.pivots
+
+        def assigned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                d = _distances(np.stack(pdf["v"]).astype(float), at) if len(pdf) else np.zeros((0, 1))
+                yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
+
+        self.cells = self.steps.table(base.mapInPandas(assigned, f"id {self.kind}, v array<double>, cell int, far double"))
+        sizes = self.cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("far").alias("radius")).toPandas()
+        self.size, self.radius = np.zeros(len(at), np.int64), np.full(len(at), -np.inf)
+        self.size[sizes["cell"]], self.radius[sizes["cell"]] = sizes["size"], sizes["radius"]
+
+    def _dealt(self, asks: DataFrame) -> DataFrame:
+        """asks (id, v, target) with the points of their target cells: rows of both sides by (target, block, part), at most
+        about BLOCK of each side in one."""
+        spark = asks.sparkSession
+        wanted = {r["target"]: r["n"] for r in asks.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+        plan = [(int(c), max(1, -(-int(self.size[c]) // BLOCK)), max(1, -(-n // BLOCK))) for c, n in wanted.items()]
+        plan = spark.createDataFrame(plan, "target int, blocks int, parts int")  # a row per pivot at most
+        own = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        left = asks.join(F.broadcast(plan), "target").select("id", "v", "target", every("blocks").alias("block"), own("parts").alias("part"), F.lit(0).alias("side"))
+        points = self.cells.select("id", "v", F.col("cell").alias("target")).join(F.broadcast(plan), "target")
+        right = points.select("id", "v", "target", own("blocks").alias("block"), every("parts").alias("part"), F.lit(1).alias("side"))
+        return left.unionByName(right)
+
+    def _searched(self, dealt: DataFrame, k: int) -> DataFrame:
+        return dealt.groupBy("target", "block", "part").applyInPandas(_near(k), f"id {self.kind}, neighbour {self.kind}, distance double")
+
+    def _asks(self, bounds: DataFrame) -> DataFrame:
+        """(id, v, target) for the cells beside their own that can hold one of a point's nearest; bound is null without one."""
+        at, radius = self.pivots, self.radius
+
+        def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                d = _distances(np.stack(pdf["v"]).astype(float), at) if len(pdf) else np.zeros((0, len(at)))
+                bound = pdf["bound"].fillna(np.inf).to_numpy(float)
+                may = d - radius[None, :] <= bound[:, None] + 1e-9 * (1 + d)
+                may &= np.isfinite(radius)[None, :] & (pdf["cell"].to_numpy()[:, None] != np.arange(len(at))[None, :])
+                rows, cells = np.nonzero(may)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows], "target": cells.astype(np.int32)})
+
+        source = self.cells.join(bounds, "id", "left").select("id", "v", "cell", "bound")
+        return source.mapInPandas(asked, f"id {self.kind}, v array<double>, target int")
+
+    def search(self, k: int) -> tuple[DataFrame, DataFrame]:
+        """(id, neighbour, distance, rank) of each point's k nearest others, and (compared): pairs whose distance was taken,
+        a row for each of the two rounds."""
+        w = Window.partitionBy("id").orderBy("distance", "neighbour")
+        best = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        home = self._dealt(self.cells.select("id", "v", F.col("cell").alias("target")))
+        first = self.steps.table(best(self._searched(home, k)).drop("rank"))
+        bounds = first.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
+        away = self._dealt(self.steps.table(self._asks(bounds)))
+        sides = lambda df: df.groupBy("target", "block", "part").agg((F.count_if(F.col("side") == 0) * F.count_if(F.col("side") == 1)).alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("compared"))
+        return best(first.unionByName(self._searched(away, k))), sides(home).unionAll(sides(away))
+
+
+def knn_pairs(points: DataFrame, id: str, vec: str, k: int) -> DataFrame:  # noqa: A002
+    """(id, neighbour, distance, rank): each point's k nearest others by Euclidean distance, ties by id; all others if fewer.
+
+    Exact, by a PivotIndex: on clustered points the pairs compared grow far slower than the square of the rows; where no cell
+    can be ruled out, all rows meet in blocks. Memory of a task is that of two blocks.
+    """
+    return PivotIndex(points, id, vec).search(k)[0]
 
 
 def symmetric_edges(pairs: DataFrame) -> DataFrame:

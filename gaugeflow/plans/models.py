@@ -12,9 +12,8 @@ from gaugeflow.operators import joins as J
 from gaugeflow.operators import metrics as M
 from gaugeflow.operators import neighbours as K
 from gaugeflow.operators import windows as W
-from gaugeflow.plans.compare import student_sql
 from gaugeflow.plans.aggregates import PLAUSIBLE, plausible
-from gaugeflow.plans.compare import boot_ap_sql
+from gaugeflow.plans.compare import boot_ap_sql, student_sql
 from gaugeflow.plans.joins import _points
 from gaugeflow.plans.metrics import ap_sql
 from gaugeflow.plans.registry import query, r
