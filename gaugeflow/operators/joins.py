@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeflow.functions.scalar import unit_hash
-from gaugeflow.operators.ranks import cumulative
+from gaugeflow.operators.ranks import cumulative, running_largest
 
 #: Columns that describe how a record came about: fixed values, never features.
 METADATA = {"leak_area", "leak_node", "disturbance_target", "scenario_id", "scenario_kind", "benchmark_id", "split", "stage", "event_label", "observed_junction_count", "observed_link_count", "demand_seed"}
@@ -132,17 +132,17 @@ def score_parity(a: DataFrame, b: DataFrame, keys: list[str], scores: list[str],
     return out.withColumn("equal", ((F.col("only_a") == 0) & (F.col("only_b") == 0) & (F.col("max_difference") <= tolerance)).cast("int"))
 
 
-def interval_overlap(rows: DataFrame, sims: DataFrame, key: str, id: str, tolerance: float = 0.05) -> DataFrame:  # noqa: A002
+def interval_overlap(rows: DataFrame, sims: DataFrame, key: str, id: str, tolerance: float = 0.05, parts: int | None = None) -> DataFrame:  # noqa: A002
     """(id, feasible): whether a row's [lo, hi] meets any simulated [lo (1 - tolerance), hi (1 + tolerance)] of its key.
 
     A row meets one iff some simulation begins at or before its end and ends at or after its start; simulations are
-    reduced per key to running maxima of ends by start, so that rows are ranked against them instead of paired.
+    reduced per key to running maxima of ends by start, so that rows are ranked against them instead of paired. The maxima
+    are taken in ranges of starts (parts per key, by the size of the input if None), so that one key fills no task.
     """
     s = sims.select(key, (F.col("lo") * (1 - tolerance)).alias("at"), (F.col("hi") * (1 + tolerance)).alias("end"))
     marks = s.select(key, "at", F.lit(0).alias("what"), "end", F.lit(None).cast("long").alias("__id"), F.lit(None).cast("double").alias("lo"))
     asks = rows.select(key, F.col("hi").alias("at"), F.lit(1).alias("what"), F.lit(None).cast("double").alias("end"), F.col(id).alias("__id"), "lo")
-    w = Window.partitionBy(key).orderBy("at", "what").rowsBetween(Window.unboundedPreceding, 0)
-    seen = marks.unionByName(asks).withColumn("most", F.max("end").over(w)).where("what = 1")
+    seen = running_largest(marks.unionByName(asks), [key], "at", "end", "most", parts).where("what = 1")
     return seen.select(F.col("__id").alias(id), F.coalesce((F.col("most") >= F.col("lo")).cast("int"), F.lit(0)).alias("feasible"))
 
 

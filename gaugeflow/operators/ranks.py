@@ -54,6 +54,25 @@ def _same_group(df: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     return df.join(groups, by) if by else df.join(F.broadcast(groups))
 
 
+def running_largest(df: DataFrame, by: list[str], at: str, value: str, name: str, parts: int | None = None) -> DataFrame:
+    """df with `name`: the largest value of its group's rows up to and with this row's `at`, those with an equal one included.
+
+    In two levels: within ranges between the group's quantiles of `at`, and carried over the ranges' maxima, so that a group
+    of any size is ranked in tasks of about a range each. Equal `at` are in one range; adds __part, the range.
+    """
+    parts = parts_for(df) if parts is None else parts
+    upto = lambda keys: Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    if parts == 1:
+        return df.withColumn(name, F.max(value).over(upto(by))).withColumn("__part", F.lit(0))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(at, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(8 * parts)).alias("__cuts"))
+    dealt = _same_group(df, cuts, by).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda x: x < F.col(at))), F.lit(0))).drop("__cuts")
+    tops = dealt.groupBy(*by, "__part").agg(F.max(value).alias("__top"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*by, "__part", F.max("__top").over(before).alias("__carried"))
+    own = F.max(value).over(upto([*by, "__part"]))
+    return dealt.join(carried, [*by, "__part"]).withColumn(name, F.greatest(own, F.col("__carried"))).drop("__carried")
+
+
 def at_ranks(ranked: DataFrame, by: list[str], rank: str, hit: list[str], wanted: DataFrame, k: str) -> DataFrame:
     """wanted's rows with the columns `hit` of the first row of their group whose running count (column rank of
     cumulative()'s result) reaches k. Both are sorted together within ranges; no row meets more than its neighbours."""
