@@ -40,18 +40,17 @@ def halves(df: DataFrame, seed: int) -> DataFrame:
     return ids.withColumn("__k", rank).withColumn("__n", F.count(F.lit(1)).over(w)).select("network_id", "scenario_id", F.when(F.col("__k") <= F.floor(F.col("__n") / 2), 0).otherwise(1).alias("half"))
 
 
+def folds(df: DataFrame, seed: int) -> DataFrame:
+    """Each row once per fold, with half (null beside normal scenarios) and fold: half = fold marks the reference."""
+    return df.join(halves(df, seed), ["network_id", "scenario_id"], "left").withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1))))
+
+
 def split_calibration(df: DataFrame, seed: int, columns: list[str]) -> DataFrame:
     """Both folds: normalised by the reference of one half of the normals, kept are the other half and all disturbances."""
-    half = halves(df, seed)
-    out = None
-    for fold in (0, 1):
-        marked = df.join(F.broadcast(half), ["network_id", "scenario_id"], "left")
-        reference = normal_reference(marked.where(F.col("half") == fold), ["network_id"], columns, 1)
-        kept = marked.where((F.col("scenario_kind") != "baseline") | (F.col("half") != fold))
-        one = normalise(kept, reference, ["network_id"], columns).withColumn("fold", F.lit(fold))
-        one = one.join(reference.select("network_id"), "network_id", "left_semi")
-        out = one if out is None else out.unionByName(one)
-    return out
+    both, by = folds(df, seed), ["network_id", "fold"]
+    reference = normal_reference(both.where("half = fold"), by, columns, 1)
+    kept = both.where((F.col("scenario_kind") != "baseline") | (F.col("half") != F.col("fold")))
+    return normalise(kept, reference, by, columns).join(reference.select(*by), by, "left_semi")
 
 
 def noise_augment(df: DataFrame, features: list[str], multiple: int, scale: float = 0.05, preserve: list[str] = (), label: str = "event_label", salt: str = "noise") -> DataFrame:

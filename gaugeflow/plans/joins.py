@@ -7,9 +7,11 @@ import zlib
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.scalar import net_seed, unit_hash
+from gaugeflow.operators import calibration as K
 from gaugeflow.operators import joins as J
 from gaugeflow.operators import sampling as G
 from gaugeflow.plans.aggregates import HASH
+from gaugeflow.plans.metrics import ap_sql
 from gaugeflow.plans.registry import query, r
 from gaugeflow.sources.adapters import RECORDS, STEPS, STREAM, records, steps, table
 
@@ -247,6 +249,24 @@ def g4(spark, sf_dir):
     return ev.groupBy("fold", "network_id").agg(F.count(F.lit(1)).alias("n"), F.avg("z__mass_residual").alias("mean_z"), F.avg(F.col("event_label").cast("double")).alias("prior"))
 
 
+SPLIT = f"""WITH {RECORDS}, i AS (SELECT DISTINCT network_id, scenario_id FROM records WHERE scenario_kind = 'baseline'), k AS (SELECT *, row_number() OVER (PARTITION BY network_id ORDER BY md5(concat_ws('|', '42', CAST(scenario_id AS VARCHAR))), scenario_id) AS k, count(*) OVER (PARTITION BY network_id) AS n FROM i), hf AS (SELECT network_id, scenario_id, CASE WHEN k <= n // 2 THEN 0 ELSE 1 END AS half FROM k),
+ rf AS (SELECT fold, network_id, avg(mass_residual) AS m, stddev_pop(mass_residual) AS s FROM records JOIN hf USING (network_id, scenario_id), (VALUES (0), (1)) f(fold) WHERE half = fold GROUP BY fold, network_id),
+ af AS (SELECT network_id, avg(mass_residual) AS m, stddev_pop(mass_residual) AS s FROM records WHERE scenario_kind = 'baseline' GROUP BY network_id),
+ ev AS (SELECT rf.fold, r.network_id, r.event_label, CASE WHEN rf.s > 0 THEN (mass_residual - rf.m) / rf.s ELSE 0 END AS x, CASE WHEN af.s > 0 THEN (mass_residual - af.m) / af.s ELSE 0 END AS y FROM records r LEFT JOIN hf USING (network_id, scenario_id) JOIN rf ON rf.network_id = r.network_id JOIN af ON af.network_id = r.network_id WHERE scenario_kind <> 'baseline' OR half <> fold),
+ tg AS (SELECT fold, network_id, event_label, 'split' AS tag, x AS score FROM ev UNION ALL SELECT fold, network_id, event_label, 'full', y FROM ev), {ap_sql('m', 'tg', 'network_id, fold, tag')},
+ d AS (SELECT network_id, avg(ap) FILTER (tag = 'full') AS f, avg(ap) FILTER (tag = 'split') AS s FROM m GROUP BY network_id)"""
+
+
+@query("g4_split_difference", SPLIT + f" SELECT network_id, {r('f')} AS full, {r('s')} AS split, {r('s - f')} AS difference, {r('avg(s - f) OVER ()')} AS mean_difference, {r('max(abs(s - f)) OVER ()')} AS max_difference FROM d".replace(" AS full", ' AS "full"'))
+def g4_difference(spark, sf_dir):
+    return K.split_difference(K.split_metrics(K.split_scores(records(spark, sf_dir), 42, "mass_residual"), STREAM))
+
+
+@query("g4_split_metrics")
+def g4_metrics(spark, sf_dir):
+    return K.split_metrics(K.split_scores(records(spark, sf_dir), 42, "mass_residual"), STREAM)
+
+
 BOUNDS = STEPS + """, q AS (SELECT quantile_cont(pressure_mean, 0.01) AS a1, quantile_cont(pressure_mean, 0.99) AS b1, quantile_cont(demand_mean, 0.01) AS a2, quantile_cont(demand_mean, 0.99) AS b2 FROM steps WHERE event_label = 1)"""
 
 
