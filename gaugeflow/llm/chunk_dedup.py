@@ -53,7 +53,8 @@ def cut_points(text: bytes) -> list[int]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per chunk; chunks below LEAST (the last of a text) are left out, as they say too little to be repeats."""
+    """A row per chunk. Chunks below LEAST (only a text's last one can be) say too little by themselves: they are digested with
+    the chunk before and an end mark, so that endings go with what they end, and copies of whole texts go whole."""
     ids, digests, starts, lengths = [], [], [], []
 
     def batch_of(kind: pa.DataType) -> pa.RecordBatch:
@@ -67,14 +68,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         kind = batch.column("id").type
         for doc, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-            start = 0
+            start = before = 0
             for end in cut_points(text or b""):
-                if end - start >= LEAST:
-                    ids.append(doc)
-                    digests.append(hashlib.blake2b(text[start:end], digest_size=16).digest())
-                    starts.append(start)
-                    lengths.append(end - start)
-                start = end
+                ids.append(doc)
+                short = end - start < LEAST
+                digests.append(hashlib.blake2b(text[before if short else start : end], digest_size=16, person=b"end" if short else b"").digest())
+                starts.append(start)
+                lengths.append(end - start)
+                before, start = start, end
             if len(ids) >= ROWS:
                 yield batch_of(kind)
     if ids:
@@ -84,7 +85,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_chunks(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002
     """(id, n_bytes, n_repeats, n_removed, spans): for each id the chunks that stand earlier elsewhere, by id and place.
 
-    spans are (start, length) in UTF-8 bytes, sorted. The first place of each chunk stays. Rows that share an id count as
+    spans are (start, length) in UTF-8 bytes, sorted. The first place of each chunk stays; of later copies of a text nothing
+    stays. Rows that share an id count as
     one document: what they repeat is summed, n_bytes too. Null ids come after all others and share a row. Null and
     empty texts have no chunks. Digests have 128 bits. Chunks are counted before the shuffle, and only those of two
     places or more are joined back, on their digest; adaptive skew joins split a digest that very many documents hold.

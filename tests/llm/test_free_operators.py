@@ -177,15 +177,15 @@ def test_chunk_repeats_equal_plain_python(docs, empty):
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
     places = defaultdict(list)
     for i, t in rows:
-        start = 0
+        start = before = 0
         for end in chunk_dedup.cut_points(t):
-            if end - start >= chunk_dedup.LEAST:
-                places[t[start:end]].append((i, start))
-            start = end
+            short = end - start < chunk_dedup.LEAST  # an ending counts with the chunk before it
+            places[short, t[before if short else start : end]].append((i, start, end - start))
+            before, start = start, end
     want = defaultdict(list)
-    for chunk, at in places.items():
-        for i, s in sorted(at)[1:]:
-            want[i].append((s, len(chunk)))
+    for at in places.values():
+        for i, s, n in sorted(at)[1:]:
+            want[i].append((s, n))
     once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r["doc_id"]: r for r in chunk_dedup.repeated_chunks(once).collect()}
     assert len(got) == len(rows) and sum(map(len, want.values())) > 20
@@ -195,6 +195,17 @@ def test_chunk_repeats_equal_plain_python(docs, empty):
     assert chunk_dedup.repeated_chunks(empty).count() == 0 and chunk_dedup.repeated_chunks(docs).count() == len(rows) + 1
 
 
+def test_later_copies_go_whole_and_other_endings_stay(spark):
+    g = random.Random(6)
+    text = lambda n: "".join(g.choices("abcdefgh ", k=n))
+    rows = [(i, text(n)) for i, n in enumerate([1, 5, 39, 40, 41, 300, 513, 2000, 0])]
+    copies = [(100 + i, t) for i, t in rows] + [(200 + i, t) for i, t in rows]
+    other = [(300 + i, text(400) + " the end.") for i in range(20)]
+    got = {r["doc_id"]: r for r in chunk_dedup.repeated_chunks(spark.createDataFrame(rows + copies + other, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_removed"] == len(t) for i, t in copies)
+    assert all(got[i]["n_removed"] == 0 for i, _ in rows + other)
+
+
 def test_passages_of_fifty_words_are_caught(spark):
     g = random.Random(2)
     word = lambda: "".join(g.choices("abcdefghijklmnop", k=g.randint(3, 8)))

@@ -87,15 +87,15 @@ def test_op8_columns(spark, texts):
 def test_op9_spans(spark, texts):
     places = defaultdict(list)
     for i, t in texts.items():
-        start, raw = 0, t.encode()
+        start, before, raw = 0, 0, t.encode()
         for end in chunk_dedup.cut_points(raw):
-            if end - start >= chunk_dedup.LEAST:
-                places[raw[start:end]].append((i, start))
-            start = end
+            short = end - start < chunk_dedup.LEAST  # an ending counts with the chunk before it
+            places[short, raw[before if short else start : end]].append((i, start, end - start))
+            before, start = start, end
     want = defaultdict(list)
-    for chunk, at in places.items():
-        for i, s in sorted(at)[1:]:
-            want[i].append((s, len(chunk)))
+    for at in places.values():
+        for i, s, n in sorted(at)[1:]:
+            want[i].append((s, n))
     for i, r in rows_of(spark, "op9_chunk_dedup").items():
         spans = ",".join(f"{s}+{n}" for s, n in sorted(want[i]))
         assert (r["n_bytes"], r["n_repeats"], r["n_removed"], r["spans_sha256"]) == (len(texts[i].encode()), len(want[i]), sum(n for _, n in want[i]), hashlib.sha256(spans.encode()).hexdigest())
