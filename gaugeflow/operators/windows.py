@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gaugeflow.operators.ranks import at_ranks, cumulative
+from gaugeflow.operators.supersteps import Supersteps
 
 ORDER = ["time_seconds", "event_id"]
 
@@ -135,23 +136,24 @@ def pre_onset_alarm(df: DataFrame, stream: list[str], threshold: str) -> DataFra
     return marked.groupBy(*stream).agg(F.max(((F.col("time_seconds") < F.col("onset")) & (F.col("score") >= F.col(threshold))).cast("int")).alias("early"))
 
 
-def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: float, step_by: list[str], candidates: int = 400, order: list[str] = ORDER, parts: int | None = None) -> DataFrame:
-    """(by, threshold): the lowest of `candidates` high quantiles of the normal scores at which normal streams have at most
-    `budget` episodes a day; just above the maximum if none.
+def _budget_limits(df: DataFrame, stream: list[str], by: list[str], budgets: list[float], step_by: list[str], candidates: int, order: list[str], parts: int | None) -> DataFrame:
+    """(by, step, limit_0, limit_1, ...): a threshold for each budget, all looked up in one curve of episodes.
 
     An episode begins where a score reaches t and the one before doesn't: episodes(t) = #(x >= t) - #(min(x, previous) >= t).
-    Both are counts by score. A candidate lies on a score or between two neighbours, whose upper one then tells its episodes.
+    Both are counts by score, written once. A candidate lies on a score or between two neighbours, whose upper one then tells
+    its episodes.
     """
     normal = df.where(F.col("scenario_kind") == "baseline")
-    w = _stream(stream, order)
-    before = F.lag("score").over(w)  # a stream's first row has none: an alarm there begins an episode
+    before = F.lag("score").over(_stream(stream, order))  # a stream's first row has none: an alarm there begins an episode
     x = normal.select(*by, F.col("score").alias("x"), F.when(before.isNotNull(), F.least(F.col("score"), before)).alias("low"))
     ends = F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("low").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     points = x.select(*by, F.explode(ends).alias("p")).select(*by, "p.*").where("v is not null")
-    curve = cumulative(points.groupBy(*by, "v").agg(F.sum("up").alias("up"), F.sum("down").alias("down")), by, "v", ["up", "down"], parts=parts)
+    counts = Supersteps(df.sparkSession, "episodes").table(points.groupBy(*by, "v").agg(F.sum("up").alias("up"), F.sum("down").alias("down")))
+    curve = cumulative(counts, by, "v", ["up", "down"], parts=parts)
     left = lambda c: F.col(f"{c}_total") - F.col(f"{c}_upto") + F.col(c)
     curve = curve.withColumn("episodes", left("up") - left("down"))
-    sizes = normal.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("most")).join(step_length(df, step_by), step_by)
+    # Rows without a score count neither for levels nor for days; all others are in `up` once.
+    sizes = counts.groupBy(*by).agg(F.sum("up").alias("n"), F.max("v").alias("most")).join(step_length(df, step_by), step_by)
     grid = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
     q = 1 - F.exp(F.log(F.lit(0.3)) + F.col("i") / float(candidates - 1) * (F.log(F.lit(1e-6)) - F.log(F.lit(0.3))))
     # Rounded, so that a level that falls on a score, as the first one may, isn't put beside it by the logarithms' last digits.
@@ -162,19 +164,52 @@ def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: fl
     )
     at = F.col("lo.v") + (F.col("h") - F.floor("h")) * (F.col("hi.v") - F.col("lo.v"))
     known = near.withColumn("at", at).withColumn("episodes", F.when(F.col("at") <= F.col("lo.v"), F.col("lo.episodes")).otherwise(F.col("hi.episodes")))
-    fits = F.col("episodes") <= F.lit(budget) * F.col("n") * F.col("step") / 86400.0
-    return known.groupBy(*by).agg(F.coalesce(F.min(F.when(fits, F.col("at"))), F.max("most") + 1e-9).alias("threshold"))
-
-
-def alarm_budget(df: DataFrame, stream: list[str], by: list[str], budgets: list[float], step_by: list[str], soon: float = 10800.0) -> DataFrame:
-    """(by, budget, within_3h, in_window, pre_onset, n_streams) at the thresholds that each budget allows."""
-    out = None
-    for budget in budgets:
-        held = df.join(budget_threshold(df, stream, by, budget, step_by), by)
-        early = pre_onset_alarm(held.where(F.col("scenario_kind") == "leak"), stream, "threshold").groupBy(*by).agg(F.avg(F.col("early").cast("double")).alias("pre_onset"))
-        one = early_warning(held, stream, by, "threshold", soon).join(early, by).select(*by, F.lit(budget).alias("budget"), "within_3h", "in_window", "pre_onset", "n_streams")
-        out = one if out is None else out.unionByName(one)
-    return out
+    fits = lambda b: F.col("episodes") <= F.lit(b) * F.col("n") * F.col("step") / 86400.0
+    lowest = [F.coalesce(F.min(F.when(fits(b), F.col("at"))), F.max("most") + 1e-9).alias(f"limit_{j}") for j, b in enumerate(budgets)]
+    return known.groupBy(*by).agg(F.max("step").alias("step"), *lowest)
+
+
+def budget_threshold(df: DataFrame, stream: list[str], by: list[str], budget: float, step_by: list[str], candidates: int = 400, order: list[str] = ORDER, parts: int | None = None) -> DataFrame:
+    """(by, threshold): the lowest of `candidates` high quantiles of the normal scores at which normal streams have at most
+    `budget` episodes a day; just above the maximum if none."""
+    return _budget_limits(df, stream, by, [budget], step_by, candidates, order, parts).select(*by, F.col("limit_0").alias("threshold"))
+
+
+def alarm_budget(df: DataFrame, stream: list[str], by: list[str], budgets: list[float], step_by: list[str], soon: float = 10800.0, parts: int | None = None) -> DataFrame:
+    """(by, budget, within_3h, in_window, pre_onset, n_streams, step_hours, steps_3h): rates of leak streams with active steps
+    at the thresholds that each budget allows, the hours of a step and how many steps there are in `soon` seconds.
+
+    All budgets are read off one curve and one pass over the leak streams, so that scans don't grow with them. Groups
+    without normal rows have no threshold and are left out.
+    """
+    limits = _budget_limits(df, stream, by, budgets, step_by, 400, ORDER, parts)
+    leaks = _onset(df.where(F.col("scenario_kind") == "leak"), stream).where("onset is not null").join(limits, by)
+    time, every = F.col("time_seconds"), range(len(budgets))
+    over = [F.col("score") >= F.col(f"limit_{j}") for j in every]
+    first = [F.min(F.when(over[j] & time.between(F.col("onset"), F.col("last_on")), time)).alias(f"first_{j}") for j in every]
+    early = [F.max(F.coalesce(((time < F.col("onset")) & over[j]).cast("double"), F.lit(0.0))).alias(f"early_{j}") for j in every]
+    each = leaks.groupBy(*stream).agg(F.max("onset").alias("onset"), F.max("step").alias("step"), *first, *early)
+    hit = [F.col(f"first_{j}") for j in every]
+    rates = [
+        F.struct(
+            F.lit(float(b)).alias("budget"),
+            F.avg(F.coalesce((hit[j] - F.col("onset") < soon).cast("double"), F.lit(0.0))).alias("within_3h"),
+            F.avg(hit[j].isNotNull().cast("double")).alias("in_window"),
+            F.avg(f"early_{j}").alias("pre_onset"),
+        )
+        for j, b in enumerate(budgets)
+    ]
+    out = each.groupBy(*by).agg(F.array(*rates).alias("x"), F.count(F.lit(1)).alias("n_streams"), F.max("step").alias("step"))
+    out = out.select(*by, F.explode("x").alias("x"), "n_streams", "step")
+    return out.select(*by, "x.*", "n_streams", (F.col("step") / 3600.0).alias("step_hours"), F.bround(F.try_divide(F.lit(soon), F.col("step"))).cast("long").alias("steps_3h"))
+
+
+def alarm_budget_summary(rates: DataFrame, run: list[str], by: list[str]) -> DataFrame:
+    """(by, budget, mean and population deviation of each rate, n_runs) over runs (as seeds): alarm_budget()'s rates are first
+    pooled within a run, each stream counting once."""
+    names = ["within_3h", "in_window", "pre_onset"]
+    pooled = rates.groupBy(*run, "budget").agg(*[(F.sum(F.col(c) * F.col("n_streams")) / F.sum("n_streams")).alias(c) for c in names])
+    return pooled.groupBy(*by, "budget").agg(*[f(c).alias(f"{c}_{n}") for c in names for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))], F.count(F.lit(1)).alias("n_runs"))
 
 
 def pack_sequences(df: DataFrame, stream: list[str], column: str, length: int = 24, order: list[str] = ORDER) -> DataFrame:

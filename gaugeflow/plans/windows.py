@@ -118,13 +118,13 @@ def a22(spark, sf_dir):
     return W.step_length(records(spark, sf_dir), STEP_BY)
 
 
-def budget_sql(budget: float) -> str:
-    """The plain rule, over each candidate and row."""
+def budget_sql(*budgets: float) -> str:
+    """The plain rule, over each candidate and row and each budget."""
     return f""", bt AS (SELECT {GROUP_SQL}, score, CASE WHEN lag(score) OVER (PARTITION BY {STREAM_SQL} ORDER BY time_seconds, event_id) IS NOT NULL THEN least(score, lag(score) OVER (PARTITION BY {STREAM_SQL} ORDER BY time_seconds, event_id)) END AS low, row_number() OVER (PARTITION BY {GROUP_SQL} ORDER BY score) AS k FROM scored WHERE scenario_kind = 'baseline'),
 bn AS (SELECT {GROUP_SQL}, count(*) AS n, max(score) AS most FROM bt GROUP BY {GROUP_SQL}), bg AS (SELECT bn.*, step, round((1 - exp(ln(0.3) + i / 399.0 * (ln(1e-6) - ln(0.3)))) * (n - 1), 9) AS h FROM bn JOIN sl USING (seed, network_id) CROSS JOIN range(400) t(i)),
 bc AS (SELECT DISTINCT {', '.join('bg.' + c for c in GROUP)}, bg.n, step, most, lo.score + (h - floor(h)) * (hi.score - lo.score) AS t FROM bg JOIN bt lo ON lo.k = floor(h) + 1 AND {' AND '.join(f'lo.{c} = bg.{c}' for c in GROUP)} JOIN bt hi ON hi.k = ceil(h) + 1 AND {' AND '.join(f'hi.{c} = bg.{c}' for c in GROUP)}),
 be AS (SELECT {', '.join('bc.' + c for c in GROUP)}, t, max(bc.n) AS n, max(step) AS step, max(most) AS most, count(*) FILTER (score >= t) - count(*) FILTER (low >= t) AS episodes FROM bc JOIN bt USING ({GROUP_SQL}) GROUP BY ALL),
-budget AS (SELECT {GROUP_SQL}, coalesce(min(CASE WHEN episodes <= {budget} * n * step / 86400.0 THEN t END), max(most) + 1e-9) AS threshold FROM be GROUP BY {GROUP_SQL})"""
+budget AS (SELECT {GROUP_SQL}, b AS budget, max(step) AS step, coalesce(min(CASE WHEN episodes <= b * n * step / 86400.0 THEN t END), max(most) + 1e-9) AS threshold FROM be CROSS JOIN (VALUES {', '.join(f'({b}::DOUBLE)' for b in budgets)}) v(b) GROUP BY {GROUP_SQL}, b)"""
 
 
 @query("w12_budget_threshold", f"WITH {SCORED}{STEP_LEN}{budget_sql(1.0)} SELECT {GROUP_SQL}, {r('threshold')} AS threshold FROM budget")
@@ -132,10 +132,23 @@ def w12(spark, sf_dir):
     return W.budget_threshold(scored(spark, sf_dir), STREAM, GROUP, 1.0, STEP_BY)
 
 
-@query("w13_alarm_budget", f"WITH {SCORED}{STEP_LEN}{budget_sql(1.0)}, held AS (SELECT scored.*, threshold FROM scored JOIN budget USING ({GROUP_SQL})){DELAY}, early AS (SELECT {STREAM_SQL}, max(CASE WHEN time_seconds < onset AND score >= threshold THEN 1 ELSE 0 END) AS e FROM ons WHERE onset IS NOT NULL GROUP BY {STREAM_SQL})"
-       f" SELECT {GROUP_SQL}, 1.0::DOUBLE AS budget, {r('avg(CASE WHEN detected = 1 AND delay < 10800 THEN 1.0 ELSE 0.0 END)')} AS within_3h, {r('avg(detected)')} AS in_window, {r('avg(e)')} AS pre_onset, count(*) AS n_streams FROM delay JOIN early USING ({STREAM_SQL}) JOIN (SELECT DISTINCT scenario_id FROM scored WHERE scenario_kind = 'leak') USING (scenario_id) GROUP BY {GROUP_SQL}")
+BUDGETS = [0.5, 1.0, 2.0]
+RATES = f"""{SCORED}{STEP_LEN}{budget_sql(*BUDGETS)}, lk AS (SELECT * FROM scored WHERE scenario_kind = 'leak'),
+os AS (SELECT {STREAM_SQL}, min(CASE WHEN event_label = 1 THEN time_seconds END) AS onset, max(CASE WHEN event_label = 1 THEN time_seconds END) AS last_on FROM lk GROUP BY {STREAM_SQL}),
+hit AS (SELECT {STREAM_SQL}, budget, max(step) AS step, max(onset) AS onset, min(CASE WHEN time_seconds BETWEEN onset AND last_on AND score >= threshold THEN time_seconds END) AS first, max(CASE WHEN time_seconds < onset AND score >= threshold THEN 1.0 ELSE 0.0 END) AS e
+  FROM lk JOIN os USING ({STREAM_SQL}) JOIN budget USING ({GROUP_SQL}) WHERE onset IS NOT NULL GROUP BY {STREAM_SQL}, budget),
+rates AS (SELECT {GROUP_SQL}, budget, avg(CASE WHEN first - onset < 10800 THEN 1.0 ELSE 0.0 END) AS within_3h, avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END) AS in_window, avg(e) AS pre_onset, count(*) AS n_streams, max(step) AS step FROM hit GROUP BY {GROUP_SQL}, budget)"""
+
+
+@query("w13_alarm_budget", f"WITH {RATES} SELECT {GROUP_SQL}, budget, {r('within_3h')} AS within_3h, {r('in_window')} AS in_window, {r('pre_onset')} AS pre_onset, n_streams, {r('step / 3600.0')} AS step_hours, CAST(round_even(10800.0 / step, 0) AS BIGINT) AS steps_3h FROM rates")
 def w13(spark, sf_dir):
-    return W.alarm_budget(scored(spark, sf_dir), STREAM, GROUP, [1.0], STEP_BY)
+    return W.alarm_budget(scored(spark, sf_dir), STREAM, GROUP, BUDGETS, STEP_BY)
+
+
+@query("w13_alarm_budget_seeds", f"WITH {RATES}, pooled AS (SELECT seed, network_id, budget, {', '.join(f'sum({c} * n_streams) / sum(n_streams) AS {c}' for c in ('within_3h', 'in_window', 'pre_onset'))} FROM rates GROUP BY seed, network_id, budget)"
+       f" SELECT network_id, budget, {', '.join(r(f'{f}({c})') + f' AS {c}_{n}' for c in ('within_3h', 'in_window', 'pre_onset') for f, n in (('avg', 'mean'), ('stddev_pop', 'std')))}, count(*) AS n_runs FROM pooled GROUP BY network_id, budget")
+def w13_seeds(spark, sf_dir):
+    return W.alarm_budget_summary(W.alarm_budget(scored(spark, sf_dir), STREAM, GROUP, BUDGETS, STEP_BY), STEP_BY, ["network_id"])
 
 
 @query("w14_pre_onset_alarm", f"WITH {THRESHOLD}{ONSET} SELECT {STREAM_SQL}, max(CASE WHEN time_seconds < onset AND score >= threshold THEN 1 ELSE 0 END) AS early FROM ons WHERE onset IS NOT NULL GROUP BY {STREAM_SQL}")
