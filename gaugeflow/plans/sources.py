@@ -13,7 +13,7 @@ from gaugeflow.plans.registry import query, r
 from gaugeflow.sources import files
 from gaugeflow.sources.adapters import LONG, READINGS, RECORDS, STEPS, arm_records, records, steps, table
 from gaugeflow.sources.shared import shared_folder
-from gaugeflow.streaming import causal
+from gaugeflow.streaming import causal, ordered
 
 
 @query("s1_s2_records_round_trip", f"WITH {RECORDS} SELECT event_id, seed, network_id, {r('score__a')} AS score__a FROM records")
@@ -192,3 +192,26 @@ def r2(spark, sf_dir):
 def r3(spark, sf_dir):
     rows = _events_stream(spark, sf_dir).select("user_id", "event_id", "value")
     return _streamed(spark, causal.stream_alarm_episodes(rows, "user_id", "event_id", "value", 60.0, None), "episodes")
+
+
+#: Rows that the last watermark has passed, an hour before the latest row.
+ORDERED = "ev AS (SELECT user_id, event_id, value, ts FROM events WHERE ts IS NOT NULL AND value IS NOT NULL), ez AS (SELECT *, epoch_us(ts) <= (max(epoch_us(ts)) OVER () // 1000 - 3600000) * 1000 AS passed FROM ev)"
+
+
+def _timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered.use_rocksdb(spark)
+    at = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
+    return _events_stream(spark, sf_dir).select("user_id", "event_id", "value", at.alias("at"))
+
+
+@query("r2_event_time_scores", f"WITH {ORDERED}, z AS (SELECT *, CASE WHEN row_number() OVER w <= 4 THEN 0.0 ELSE (value - avg(value) OVER p) / (stddev_pop(value) OVER p + 1e-9) END AS z FROM ez WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), s AS (SELECT *, avg(z) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS score FROM z) SELECT user_id, event_id, round(score, 6) + 0.0 AS score FROM s WHERE passed")
+def r2_ordered(spark, sf_dir):
+    out = _streamed(spark, ordered.event_time_scores(_timed_events(spark, sf_dir), ["user_id"], "at", "event_id", "value"), "scores")
+    return out.select("user_id", "event_id", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query("r3_event_time_episodes", """WITH """ + ORDERED + """, m AS (SELECT user_id, ts, event_id, value >= 60 AS up, lag(value >= 60) OVER w AS was, lead(value) OVER w AS next FROM ez WHERE passed WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(CASE WHEN up AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM m)
+ SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended FROM g WHERE up GROUP BY user_id, g HAVING bool_and(next IS NOT NULL)""")
+def r3_ordered(spark, sf_dir):
+    out = _streamed(spark, ordered.event_time_episodes(_timed_events(spark, sf_dir), ["user_id"], "at", "event_id", "value", 60.0), "episodes")
+    return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"))
