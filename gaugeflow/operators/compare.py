@@ -266,10 +266,11 @@ def bootstrap_rsi(df: DataFrame, stream: list[str], group: str, a: str, b: str,
 
 
 def bootstrap_mean(df: DataFrame, by: list[str], member: str, column: str, count: int, salt: str) -> DataFrame:
-    """(by, mean, lo, hi): percentile interval of the mean over resampled members (networks or seeds), null below two."""
-    values = df.where(F.col(column).isNotNull()).groupBy(*by, member).agg(F.avg(column).alias("__v"))
+    """(by, mean, std, lo, hi): mean and sample deviation of the members' values (networks or seeds) and the percentile interval
+    of the mean over resampled members; all but the mean are null below two. Nulls and NaN are skipped."""
+    values = df.where(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(*by, member).agg(F.avg(column).alias("__v"))
     means = values.join(draws(values, by, member, count, salt), [*by, member]).groupBy(*by, "b").agg((F.sum(F.col("__v") * F.col("times")) / F.sum("times")).alias("m"))
     ends = means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    base = values.groupBy(*by).agg(F.avg("__v").alias("mean"), F.count(F.lit(1)).alias("members"))
+    base = values.groupBy(*by).agg(F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("std"), F.count(F.lit(1)).alias("members"))
     null_below = lambda c: F.when(F.col("members") >= 2, F.col(c)).alias(c)
-    return base.join(ends, by).select(*by, "mean", null_below("lo"), null_below("hi"))
+    return base.join(ends, by).select(*by, "mean", "std", null_below("lo"), null_below("hi"))

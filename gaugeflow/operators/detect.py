@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.scalar import unit_hash
+from gaugeflow.operators.many_logistic import leave_one_out_by_slice
 from gaugeflow.operators.metrics import ranking_metrics
 from gaugeflow.operators.sampling import augment
 
@@ -130,10 +131,17 @@ def isolation_scores(train: DataFrame, df: DataFrame, features: list[str], trees
     return df.withColumn("score", score(*[F.col(f).cast("double") for f in features]))
 
 
-def contamination_cut(df: DataFrame, label: str = "event_label") -> DataFrame:
-    """(cut): the score exceeded by the share of positives, clipped to 0.05..0.25."""
-    share = df.agg(F.least(F.lit(0.25), F.greatest(F.lit(0.05), F.avg(F.col(label).cast("double"))))).first()[0]
-    return df.agg(F.percentile("score", F.lit(1 - (share or 0.05))).alias("cut"))
+def isolation_predictions(train: DataFrame, df: DataFrame, features: list[str], label: str = "event_label", trees: int = 200) -> DataFrame:
+    """df with score and predicted: a forest of the rows of label 0 in `train`, whose own scores set the cut. The share of
+    positives in df, clipped to 0.05..0.25, of those rows lies above it; predicted is 1 above the cut."""
+    normal = train.where(F.col(label) == 0)
+    used = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"__f_{f}") for f in features]
+    names = [f"__f_{f}" for f in features]
+    both = df.select("*", *used, F.lit(1).alias("__new")).unionByName(normal.select(*used, F.lit(0).alias("__new")), allowMissingColumns=True)
+    scored = isolation_scores(normal.select(*used), both, names, trees)
+    share = df.agg(F.least(F.lit(0.25), F.greatest(F.lit(0.05), F.avg(F.col(label).cast("double"))))).first()[0] or 0.05
+    cut = scored.where("__new = 0").agg(F.percentile("score", F.lit(1 - share)).alias("__cut"))
+    return scored.where("__new = 1").join(F.broadcast(cut)).withColumn("predicted", (F.col("score") > F.col("__cut")).cast("int")).drop("__cut", "__new", *names)
 
 
 def reconstruction_score(train: DataFrame, df: DataFrame, values: str, k: int = 3) -> DataFrame:
@@ -156,13 +164,16 @@ def reconstruction_score(train: DataFrame, df: DataFrame, values: str, k: int =
 
 
 def arm_benchmark(train: DataFrame, test: DataFrame, arms: dict[str, tuple[str, str]], features: list[str], trees: int = 20) -> DataFrame:
-    """test with a score per arm; arms name (augmentation, classifier). Each arm is fitted once and scores all networks."""
+    """test with a score per arm; arms name (augmentation, classifier). Each arm is fitted once and scores all networks; an arm
+    whose rows have no two classes, or that has none, scores null."""
     train = train.persist()
     try:
         out = test
         for arm, (how, classifier) in arms.items():
             data = augment(train, how, features).fillna(0.0, subset=features)
-            model = fit_forest(data, features, trees=trees) if classifier == "forest" else fit_logistic(data, features)
+            model = None
+            if data.select("event_label").distinct().count() > 1:
+                model = fit_forest(data, features, trees=trees) if classifier == "forest" else fit_logistic(data, features)
             out = score_rows(model, out, arm)
         return out
     finally:
@@ -187,10 +198,28 @@ def feature_ablation(train: DataFrame, test: DataFrame, features: list[str], dro
 
 
 def leave_one_group_out(df: DataFrame, group: str, features: list[str], arms: dict[str, tuple[str, str]], trees: int = 10) -> DataFrame:
-    """evaluate_networks() of every group by arms fitted on all others; a fit per group, of which there are few."""
+    """evaluate_networks() of every group by arms fitted on all others. Logistic arms without augmentation are fitted for all
+    groups in the same passes; others, forests and augmented arms, one group after the other."""
+    together = [a for a, how in arms.items() if how == ("none", "logistic")]
+    apart = {a: how for a, how in arms.items() if a not in together}
     out = None
-    for (name,) in sorted(map(tuple, df.select(group).distinct().collect())):
-        scored = arm_benchmark(df.where(F.col(group) != name), df.where(F.col(group) == name), arms, features, trees)
-        one = evaluate_networks(scored, list(arms), [group])
+    if together:
+        filled = df.fillna(0.0, subset=features)
+        scored = leave_one_out_by_slice(filled.withColumn("__all", F.array(F.lit("all"))), group, "__all", features)
+        for arm in together:
+            one = evaluate_networks(scored.withColumnRenamed("score", f"score__{arm}"), [arm], [group])
+            out = one if out is None else out.unionByName(one)
+    for (name,) in sorted(map(tuple, df.select(group).distinct().collect())) if apart else []:
+        scored = arm_benchmark(df.where(F.col(group) != name), df.where(F.col(group) == name), apart, features, trees)
+        one = evaluate_networks(scored, list(apart), [group])
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def slice_benchmark(df: DataFrame, slices: str, features: list[str], group: str = "network_id", by: tuple[str, ...] = ("seed",)) -> DataFrame:
+    """(slice, by, group, ap, prior, rows): within each slice a row belongs to (column `slices`, an array of names) every group
+    is scored by the logistic model of the slice's other groups. All folds of all slices are fitted in the same passes."""
+    keys = ["slice", *by, group]
+    scored = leave_one_out_by_slice(df, group, slices, features).withColumnRenamed("__slice", "slice")
+    rows = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    return ranking_metrics(scored, keys).select(*keys, "ap", "prior").join(rows, keys)

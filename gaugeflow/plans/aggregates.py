@@ -188,8 +188,3 @@ def f10(spark, sf_dir):
 @query("f11_f12_emitter_sigmoid", f"WITH {RECORDS} SELECT event_id, {r('0.75 * mass_residual * sqrt(2 * 9.81)')} AS emitter, {r('1 / (1 + exp(-(score__a - 0.2) / 0.2))')} AS sigmoid FROM records")
 def f11_f12(spark, sf_dir):
     return records(spark, sf_dir).select("event_id", S.emitter_coefficient(F.col("mass_residual")).alias("emitter"), S.sigmoid_score(F.col("score__a"), F.lit(0.2)).alias("sigmoid"))
-
-
-@query("f13_net_seed")
-def f13(spark, sf_dir):
-    return records(spark, sf_dir).select("seed", "network_id").distinct().withColumn("net_seed", S.net_seed(F.col("seed"), F.col("network_id"), F.lit(7)))

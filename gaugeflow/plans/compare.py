@@ -158,7 +158,7 @@ def b4(spark, sf_dir):
 
 def _boot_mean_sql(source: str, by: str, member: str, column: str, count: int, salt: str) -> str:
     return (f"bv AS (SELECT {by}, {member}, avg({column}) AS v FROM {source} WHERE {column} IS NOT NULL GROUP BY {by}, {member}), {draws_sql('dr', 'bv', by, member, count, salt)}, bm AS (SELECT {by}, b, sum(v * times) / sum(times) AS m FROM bv JOIN dr USING ({by}, {member}) GROUP BY {by}, b),"
-            f" en AS (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY {by}), ba AS (SELECT {by}, avg(v) AS mean, count(*) AS c FROM bv GROUP BY {by}) SELECT {by}, {r('mean')} AS mean, {r('CASE WHEN c >= 2 THEN lo END')} AS lo, {r('CASE WHEN c >= 2 THEN hi END')} AS hi FROM ba JOIN en USING ({by})")
+            f" en AS (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY {by}), ba AS (SELECT {by}, avg(v) AS mean, stddev_samp(v) AS std, count(*) AS c FROM bv GROUP BY {by}) SELECT {by}, {r('mean')} AS mean, {r('std')} AS std, {r('CASE WHEN c >= 2 THEN lo END')} AS lo, {r('CASE WHEN c >= 2 THEN hi END')} AS hi FROM ba JOIN en USING ({by})")
 
 
 @query("b5_bootstrap_networks", f"WITH {ARM_AP}, {_boot_mean_sql('m', 'arm', 'network_id', 'ap', 2000, 'nets')}")

@@ -27,12 +27,13 @@ def s14(spark, sf_dir):
     return J.pending_keys(o.select(F.col("o_custkey").alias("key")).distinct(), o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("key")), ["key"])
 
 
-@query("s12_extract_paths", """WITH t AS (SELECT unnest(regexp_extract_all(concat('see "', p_name, '.INP", and ', p_brand, '/net.inp; none'), '(?i)[^\\s"'';,]+\\.inp')) AS path FROM part) SELECT path, count(*) AS n FROM t GROUP BY path""")
+@query("s12_extract_paths", """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(concat('see "', p_name, '.INP", and ', p_brand, '/net.inp; none'), '(?i)[^\\s"'';,]+\\.inp')) AS path FROM part) SELECT path FROM t WHERE path IN (SELECT concat(p_brand, '/net.inp') FROM part WHERE p_size % 2 = 0)""")
 def s12(spark, sf_dir):
     from gaugeflow.sources.files import extract_paths
 
-    text = table(spark, sf_dir, "part").select(F.concat(F.lit('see "'), "p_name", F.lit('.INP", and '), "p_brand", F.lit("/net.inp; none")).alias("text"))
-    return extract_paths(text, "text").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    part = table(spark, sf_dir, "part")
+    text = part.select(F.concat(F.lit('see "'), "p_name", F.lit('.INP", and '), "p_brand", F.lit("/net.inp; none")).alias("text"))
+    return extract_paths(text, "text", part.where("p_size % 2 = 0").select(F.concat("p_brand", F.lit("/net.inp")).alias("path")))
 
 
 @query("p5_hash_split", f"WITH {RECORDS} SELECT CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT scenario_id) AS scenarios FROM (SELECT *, {HASH(chr(39) + 'split' + chr(39) + ', CAST(scenario_id AS VARCHAR)')} AS u FROM records) q GROUP BY 1")

@@ -17,7 +17,7 @@ from gaugeflow.plans.compare import boot_ap_sql, student_sql
 from gaugeflow.plans.joins import _points
 from gaugeflow.plans.metrics import ap_sql
 from gaugeflow.plans.registry import query, r
-from gaugeflow.sources.adapters import EDGES, LONG, RECORDS, STEPS, STREAM, arm_records, edges, records, steps, table
+from gaugeflow.sources.adapters import EDGES, KINDS, LONG, RECORDS, STEPS, STREAM, arm_records, edges, records, steps, table
 
 FEATURES = ["pressure_mean", "demand_mean", "flow_mean", "pressure_std"]
 ARMS = {"forest": ("none", "forest"), "logistic": ("none", "logistic"), "noise": ("noise", "logistic")}
@@ -78,6 +78,12 @@ def d10(spark, sf_dir):
     return D.isolation_scores(train.where("event_label = 0"), test, FEATURES).groupBy("network_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"))
 
 
+@query("d10_isolation_predictions")
+def d10_cut(spark, sf_dir):
+    found = D.isolation_predictions(*_split(spark, sf_dir), FEATURES)
+    return found.select("network_id", "scenario_id", "time_seconds", "event_label", "score", "predicted")
+
+
 @query("d11_reconstruction_score")
 def d11(spark, sf_dir):
     seq = W.pack_sequences(records(spark, sf_dir), STREAM, "score__a", 24)
@@ -159,17 +165,20 @@ def _graph(spark, sf_dir):
 
 
 @query("n5_node_features", f"""WITH {GRAPH}, p AS (SELECT network_id, node, head AS p FROM nodes), d AS (SELECT network_id, node, count(*) AS c FROM (SELECT network_id, src AS node FROM edges UNION ALL SELECT network_id, dst FROM edges) GROUP BY ALL), s AS (SELECT DISTINCT network_id, dst AS node FROM edges WHERE CAST(substr(dst, 2) AS INT) % 11 = 0)
- SELECT network_id, node, {r('(p - min(p) OVER w) / nullif(max(p) OVER w - min(p) OVER w, 0)')} AS pressure, demand, head AS elevation, CASE WHEN node[1] = 'S' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS type_code, CASE WHEN (network_id, node) IN (SELECT (network_id, node) FROM s) THEN 1 ELSE 0 END AS sensor, {r('c / greatest(1, max(c) OVER w)')} AS degree, 1.0::DOUBLE AS multiplier FROM nodes JOIN p USING (network_id, node) JOIN d USING (network_id, node) WINDOW w AS (PARTITION BY network_id)""")
+ SELECT network_id, node, c / 2.0 AS centrality, {r('(p - min(p) OVER w) / nullif(max(p) OVER w - min(p) OVER w, 0)')} AS pressure, demand, head AS elevation, CASE WHEN node[1] = 'S' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS type_code, CASE WHEN (network_id, node) IN (SELECT (network_id, node) FROM s) THEN 1 ELSE 0 END AS sensor, {r('c / greatest(1, max(c) OVER w)')} AS degree, 1.0::DOUBLE AS multiplier FROM nodes JOIN p USING (network_id, node) JOIN d USING (network_id, node) WINDOW w AS (PARTITION BY network_id)""")
 def n5(spark, sf_dir):
     nodes, _ = _graph(spark, sf_dir)
+    ends = edges(spark, sf_dir).select("network_id", F.explode(F.array("src", "dst")).alias("node"))
     full = nodes.select("network_id", "node", F.col("demand").alias("base_demand"), F.col("head").alias("elevation"), F.when(F.left("node", F.lit(1)) == "S", "reservoir").otherwise("junction").alias("node_type"))
-    return N.node_features(full, edges(spark, sf_dir), nodes.select("network_id", "node", F.col("head").alias("value")), _sensors(spark, sf_dir))
+    return N.node_features(full, edges(spark, sf_dir), nodes.select("network_id", "node", F.col("head").alias("value")), _sensors(spark, sf_dir), ends.groupBy("network_id", "node").agg((F.count(F.lit(1)) / 2.0).alias("centrality")))
 
 
-@query("n6_edge_features", f"WITH {GRAPH}, f AS (SELECT network_id, src, dst, {r('abs(q) / max(abs(q)) OVER (PARTITION BY network_id)')} AS flow, {r('length / max(length) OVER (PARTITION BY network_id)')} AS length, {r('diameter / max(diameter) OVER (PARTITION BY network_id)')} AS diameter FROM pipes) SELECT * FROM f UNION ALL SELECT network_id, dst, src, flow, length, diameter FROM f")
+@query("n6_edge_features", f"WITH {GRAPH}, v AS (SELECT *, abs(q) AS flow, abs(q) / (diameter * diameter) AS velocity, q * q / diameter AS headloss FROM pipes), f AS (SELECT network_id, src, dst, {', '.join(r(f'{c} / max({c}) OVER (PARTITION BY network_id)') + ' AS ' + c for c in ('flow', 'velocity', 'headloss', 'length', 'diameter'))} FROM v) SELECT * FROM f UNION ALL SELECT network_id, dst, src, flow, velocity, headloss, length, diameter FROM f")
 def n6(spark, sf_dir):
     nodes, pipes = _graph(spark, sf_dir)
-    return N.edge_features(pipes.select("network_id", "pipe_id", "src", "dst", "length", "diameter"), nodes, pipes.select("network_id", "pipe_id", F.col("q").alias("value")))
+    q, d = F.col("q"), F.col("diameter")
+    seen = pipes.select("network_id", "pipe_id", q.alias("flow"), (q / (d * d)).alias("velocity"), (q * F.abs(q) / d).alias("headloss"))
+    return N.edge_features(pipes.select("network_id", "pipe_id", "src", "dst", "length", "diameter"), nodes, seen)
 
 
 @query("n7_node_mass_balance", f"WITH {GRAPH}, i AS (SELECT network_id, dst AS node, sum(q) AS q FROM pipes GROUP BY network_id, dst) SELECT network_id, {r('avg(pow(coalesce(q, 0) - demand, 2))')} AS mass FROM nodes LEFT JOIN i USING (network_id, node) GROUP BY network_id")
@@ -189,6 +198,14 @@ def n9(spark, sf_dir):
     return N.bound_penalty(_graph(spark, sf_dir)[0], 10.0, 50.0)
 
 
+@query("n9_physics_penalty", f"""WITH {GRAPH}, i AS (SELECT network_id, dst AS node, sum(q) AS q FROM pipes GROUP BY network_id, dst), m AS (SELECT network_id, avg(pow(coalesce(q, 0) - demand, 2)) AS mass, avg(pow(greatest(0, 10 - head) + greatest(0, head - 50), 2)) AS bounds FROM nodes LEFT JOIN i USING (network_id, node) GROUP BY network_id),
+ e AS (SELECT p.network_id, avg(pow(a.head - b.head - 10.67 * length / (pow(roughness, 1.852) * pow(diameter, 4.87)) * pow(abs(q), 1.852) * sign(q), 2)) AS energy FROM pipes p JOIN nodes a ON a.network_id = p.network_id AND a.node = src JOIN nodes b ON b.network_id = p.network_id AND b.node = dst GROUP BY p.network_id)
+ SELECT network_id, {r('bounds')} AS bounds, {r('mass')} AS mass, {r('energy')} AS energy, {r('0.5 * bounds + mass + energy')} AS total FROM m JOIN e USING (network_id)""")
+def n9_total(spark, sf_dir):
+    nodes, pipes = _graph(spark, sf_dir)
+    return N.physics_penalty(nodes, pipes, 10.0, 50.0)
+
+
 @query("n10_topology_propagation", f"""WITH {GRAPH}, tw AS (SELECT network_id, src, dst FROM edges UNION SELECT network_id, dst, src FROM edges UNION SELECT network_id, node, node FROM nodes), dg AS (SELECT network_id, src AS node, count(*) AS d FROM tw GROUP BY ALL), w AS (SELECT tw.*, 1 / sqrt(CAST(a.d AS DOUBLE) * b.d) AS w FROM tw JOIN dg a ON a.network_id = tw.network_id AND a.node = src JOIN dg b ON b.network_id = tw.network_id AND b.node = dst),
  r1 AS (SELECT w.network_id, src AS node, sum(w * head) AS head FROM w JOIN nodes ON nodes.network_id = w.network_id AND node = dst GROUP BY ALL), r2 AS (SELECT w.network_id, src AS node, sum(w * head) AS head FROM w JOIN r1 ON r1.network_id = w.network_id AND r1.node = dst GROUP BY ALL) SELECT network_id, {r('avg(head)')} AS head FROM r2 GROUP BY network_id""")
 def n10(spark, sf_dir):
@@ -232,6 +249,25 @@ def c5(spark, sf_dir):
     return out
 
 
+FITTED = ["mass_residual", "energy_residual", "sensor_coverage"]
+
+
+@query("c4_per_kind_fits")
+def c4_fits(spark, sf_dir):
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    df = records(spark, sf_dir).withColumn("kinds", F.when(F.col("scenario_kind") == "baseline", kinds).otherwise(F.array("scenario_kind")))
+    found = D.slice_benchmark(df, "kinds", FITTED)
+    weighted = A.macro_weighted(found, ["slice"], "ap", F.col("rows")).withColumnRenamed("macro", "weighted_ap")
+    return A.seed_summary(found, ["slice", "network_id"], "ap", 0).join(weighted, "slice")
+
+
+@query("c5_per_coverage_fits")
+def c5_fits(spark, sf_dir):
+    df = records(spark, sf_dir).withColumn("coverages", F.array(F.col("sensor_coverage").cast("string"), F.lit("all")))
+    found = D.slice_benchmark(df, "coverages", FITTED, by=())
+    return A.macro_weighted(found, ["slice"], "ap", F.col("rows")).join(A.seed_summary(found, ["slice"], "ap", 0), "slice")
+
+
 @query("c6_randomised_copy_training")
 def c6(spark, sf_dir):
     train, test = _split(spark, sf_dir)

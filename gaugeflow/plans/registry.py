@@ -17,6 +17,8 @@ def query(name: str, oracle: str | None = None):
     """Registers a function (spark, sf_dir) -> DataFrame, with DuckDB SQL for the same rows."""
 
     def add(f):
+        if name in QUERIES:
+            raise ValueError(f"a query is registered as {name!r} already")
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if oracle:
             ORACLES[name] = oracle

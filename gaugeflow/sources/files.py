@@ -96,6 +96,8 @@ def file_provenance(spark: SparkSession, root: str, pattern: str = "*") -> DataF
     return _files(spark, root, pattern).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
-def extract_paths(df: DataFrame, text: str) -> DataFrame:
-    """(path): words of the text that end in .inp in any case, without quotes around them."""
-    return df.select(F.explode(F.regexp_extract_all(text, F.lit(r"""(?i)[^\s"';,]+\.inp"""), F.lit(0))).alias("path"))
+def extract_paths(df: DataFrame, text: str, existing: DataFrame | None = None) -> DataFrame:
+    """(path), distinct and sorted: words of the text that end in .inp in any case, without quotes around them; with an
+    inventory (`existing`, column path) only those that are in it."""
+    found = df.select(F.explode(F.regexp_extract_all(text, F.lit(r"""(?i)[^\s"';,]+\.inp"""), F.lit(0))).alias("path")).distinct()
+    return (found if existing is None else found.join(existing.select("path"), "path", "left_semi")).orderBy("path")
