@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules whose import fills the registry.
-MODULES = ["metrics", "windows", "aggregates", "compare", "joins", "models", "sources"]
+MODULES = ["metrics", "windows", "aggregates", "compare", "joins", "models", "sources", "jobs"]
 
 
 def _load():
