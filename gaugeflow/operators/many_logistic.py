@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,22 +19,24 @@ from gaugeflow.operators.supersteps import Supersteps
 
 #: Numbers that a task and the driver hold for the fits of one pass; more fits are dealt into further passes.
 CELLS = 2_000_000
+#: Relative error that a sum over many rows may have; a loss that rises by less doesn't count as risen.
+NOISE = 1e-12
 MODEL = "fit string, intercept double, coefficients array<double>, medians array<double>, rows long, positive_rows long"
 
 
 def _passes(slim: DataFrame, fits: list[str], width: int, state) -> dict[str, np.ndarray]:
     """For each fit the sum over its rows of what `state(fit, x, y)` makes of a block of them, `width` numbers."""
-    known = {f: i for i, f in enumerate(fits)}
+    names, schema = pa.array(fits, pa.string()), pa.schema([("fit", pa.string()), ("s", pa.list_(pa.float64()))])
 
-    def sums(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((len(fits), width)), np.zeros(len(fits), bool)
-        for pdf in blocks:
-            if not len(pdf):
+        for block in blocks:
+            if not block.num_rows:
                 continue
-            x, y = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(float)
-            each = pdf["fits"].to_numpy()
-            row = np.repeat(np.arange(len(pdf)), [len(f) for f in each])
-            fit = np.array([known.get(f, -1) for names in each for f in names], int)
+            x = block.column("x").flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)
+            y, each = block.column("y").to_numpy(zero_copy_only=False), block.column("fits")
+            row = np.repeat(np.arange(block.num_rows), pc.list_value_length(each).to_numpy(zero_copy_only=False))
+            fit = pc.fill_null(pc.index_in(each.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
             by_fit = np.argsort(fit, kind="stable")
             fit, row = fit[by_fit], row[by_fit]
             for f, at, end in zip(*_runs(fit), strict=True):
@@ -41,9 +44,10 @@ def _passes(slim: DataFrame, fits: list[str], width: int, state) -> dict[str, np
                     total[f] += state(fits[f], x[row[at:end]], y[row[at:end]])
                     seen[f] = True
         used = np.flatnonzero(seen)
-        yield pd.DataFrame({"fit": [fits[f] for f in used], "s": list(total[used])})
+        # Typed by the schema: a task without rows has sums of no fit, whose type nothing else tells.
+        yield pa.RecordBatch.from_arrays([pa.array([fits[f] for f in used], pa.string()), pa.array(total[used].tolist(), schema.field("s").type)], schema=schema)
 
-    made = slim.mapInPandas(sums, "fit string, s array<double>")
+    made = slim.mapInArrow(sums, "fit string, s array<double>")
     parts = made.groupBy("fit").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)])
     return {r[0]: np.array(r[1:], float) for r in parts.collect()}  # a row for each fit of this pass
 
@@ -128,7 +132,7 @@ def _newton(slim: DataFrame, names: list[str], medians: dict[str, np.ndarray], w
         for f in sorted(active):
             n, s, beta = scale[f][3], sums[f], trial[f]
             loss = s[0] / n + beta @ penalty @ beta / 2
-            if loss > best[f][1] + 1e-4 * size[f] * step[f][1] + 1e-14:
+            if loss > best[f][1] + 1e-4 * size[f] * step[f][1] + NOISE * (1 + abs(best[f][1] if np.isfinite(best[f][1]) else 0.0)):
                 size[f] /= 2
                 continue
             slope = s[1 : wide + 2] / n + penalty @ beta

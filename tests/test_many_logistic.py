@@ -97,3 +97,29 @@ def test_slices_train_and_score_their_own_rows(spark, rows):
     intercept, slopes = minimum([r for r in rows if r[2] == "a" and r[1] != "g2"])
     for r in got.where("__slice = 'a' and g = 'g2'").collect():
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-(intercept + slopes[0] * r["u"] + slopes[1] * r["v"]))), rel=1e-4)
+
+
+def test_tasks_without_rows_add_nothing(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("fits", F.array(F.lit("x")))
+    known = L.fit_many_logistic(df, FEATURES).first()
+    slim = df.where("id <> 7").select("fits", F.col("event_label").cast("double").alias("y"), F.array("u", "v").alias("x"))
+    dealt = slim.repartition(64, F.lit(1))  # all rows in one task, none in the others
+    n = L._passes(dealt, ["x", "of no row"], 1, lambda fit, x, y: np.array([len(y)]))
+    assert {f: s.tolist() for f, s in n.items()} == {"x": [599.0]}
+    assert L._passes(slim.where("y > 1"), ["x"], 1, lambda fit, x, y: np.array([len(y)])) == {}
+    assert known["rows"] == 600
+
+
+def test_sums_that_round_do_not_stop_the_search(spark, rows, monkeypatch):
+    passes = L._passes
+
+    def noisy(slim, fits, width, state):
+        """Losses that are off by what adding up a hundred million rows in another order makes."""
+        noisy.calls += 1
+        return {f: np.concatenate([s[:1] * (1 + 2e-13 * noisy.calls), s[1:]]) if width > 6 else s for f, s in passes(slim, fits, width, state).items()}
+
+    noisy.calls = 0
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("fits", F.array(F.lit("x")))
+    known = L.fit_many_logistic(df, FEATURES).first()
+    monkeypatch.setattr(L, "_passes", noisy)
+    assert L.fit_many_logistic(df, FEATURES, most=30).first()["coefficients"] == pytest.approx(known["coefficients"], rel=1e-6)
