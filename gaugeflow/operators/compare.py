@@ -14,6 +14,7 @@ from gaugeflow.functions.scalar import unit_hash
 from gaugeflow.functions.tails import correlation_p, normal_tail
 from gaugeflow.operators.metrics import ranking_metrics
 from gaugeflow.operators.ranks import average_ranks, parts_for, weighted_correlation
+from gaugeflow.operators.supersteps import Supersteps
 
 
 def paired_baseline(df: DataFrame, keys: list[str], base: str, column: str) -> DataFrame:
@@ -37,7 +38,8 @@ def wilcoxon(df: DataFrame, by: list[str], delta: str = "delta", most_exact: int
     all_n = df.groupBy(*by).agg(F.count(delta).alias("n_all"))
     use = known.where(F.col(delta) != 0).withColumn("__a", F.abs(F.col(delta)))
     values = use.groupBy(*by, "__a").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(delta) > 0).alias("ups"))
-    ranks = values.join(average_ranks(use.select(*by, "__a"), by, "__a", "__r"), [*by, "__a"])
+    values = Supersteps(df.sparkSession, "differences").table(values)  # as in spearman()
+    ranks = values.join(average_ranks(values, by, "__a", "__r", F.col("t")), [*by, "__a"])
     sums = ranks.groupBy(*by).agg(F.sum("t").alias("m"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tie"), F.sum(F.col("__r") * F.col("ups")).alias("up"), F.sum(F.col("__r") * (F.col("t") - F.col("ups"))).alias("down"))
     s = all_n.join(sums, by, "left").withColumn("statistic", F.least("up", "down") if alternative == "two-sided" else F.col("up"))
     few = ranks.join(sums.where(F.col("m") <= most_exact).select(*by), by, "left_semi")
@@ -75,6 +77,8 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, ordinal: bool = False
     """(by, rho, n, p): correlation of average ranks, or of ordinal ones with ties broken by a column; null below 3 pairs.
 
     Average ranks are read off counts of distinct values, and equal pairs of values are counted before they meet their ranks.
+    The counted pairs are written once: values that are means may differ in their last digit from one computation to the next,
+    and would not meet their own ranks.
     p is two-sided: Student's t with n - 2 degrees for average ranks, the normal tail of that t for ordinal ones. A perfect
     correlation has p 0, or null for ordinal ranks.
     """
@@ -85,9 +89,9 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, ordinal: bool = False
         found = ranks.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 3, F.corr("__x", "__y")).alias("rho"), F.count(F.lit(1)).alias("n"))
         t = F.abs(F.col("rho")) * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
         return found.withColumn("p", F.when(F.abs("rho") < 1, 2 * normal_tail(t)))
-    pairs = use.groupBy(*by, F.col(x).alias("__vx"), F.col(y).alias("__vy")).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = use.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    ranks = [average_ranks(use.select(*by, F.col(c).alias(v)), by, v, r) for c, v, r in ((x, "__vx", "__x"), (y, "__vy", "__y"))]
+    pairs = Supersteps(df.sparkSession, "pairs").table(use.groupBy(*by, F.col(x).alias("__vx"), F.col(y).alias("__vy")).agg(F.count(F.lit(1)).alias("__n")))
+    sizes = pairs.groupBy(*by).agg(F.sum("__n").alias("n"))
+    ranks = [average_ranks(pairs, by, v, r, F.col("__n")) for v, r in (("__vx", "__x"), ("__vy", "__y"))]
     met = pairs.join(ranks[0], [*by, "__vx"]).join(ranks[1], [*by, "__vy"]).join(sizes, by)
     both, own_x, own_y = weighted_correlation(F.col("__n"), F.col("__x"), F.col("__y"), F.col("n"))
     sums = met.groupBy(*by, "n").agg(both.alias("__b"), own_x.alias("__p"), own_y.alias("__q"))

@@ -89,9 +89,9 @@ def at_ranks(ranked: DataFrame, by: list[str], rank: str, hit: list[str], wanted
     return both.where("__what = 0").select(*by, "__ask.*", "__hit.*")
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """(by, value, name): the average rank of each value among its group's rows."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+def average_ranks(df: DataFrame, by: list[str], value: str, name: str, times: Column | None = None) -> DataFrame:
+    """(by, value, name): the average rank of each value among its group's rows, each of which counts `times` times (once)."""
+    counts = df.groupBy(*by, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("__c"))
     return cumulative(counts, by, value, ["__c"]).select(*by, value, (F.col("__c_upto") - (F.col("__c") - 1) / 2).alias(name))
 
 

@@ -80,3 +80,12 @@ def test_deltas_carry_members_and_p_from_six_pairs_on(spark):
     got = {r["arm"]: r for r in compare.paired_deltas(spark.createDataFrame(rows, "arm string, network_id string, delta double"), ["arm"], member="network_id").collect()}
     assert set(got) == {"six", "five"} and got["six"]["p"] == pytest.approx(2 / 64) and got["five"]["p"] is None
     assert [tuple(x) for x in got["six"]["deltas"]] == [(f"n{i}", 0.1 * (i + 1)) for i in range(6)]
+
+
+def test_values_that_change_by_a_digit_still_meet_their_ranks(spark):
+    """Means may differ in their last digit from one computation to the next."""
+    wobble = F.udf(lambda v: v * (1 + random.random() * 1e-13), "double").asNondeterministic()
+    df = spark.createDataFrame([("f", float(i), float((i * 7) % 10)) for i in range(1, 11)], "family string, a double, b double")
+    known = compare.spearman(df, ["family"], "a", "b").first()
+    got = compare.spearman(df.select("family", wobble("a").alias("a"), wobble("b").alias("b")), ["family"], "a", "b").first()
+    assert (got["n"], got["rho"]) == (10, pytest.approx(known["rho"], abs=1e-12))
