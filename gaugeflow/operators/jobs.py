@@ -86,6 +86,7 @@ def classifier_grid(train: DataFrame, test: DataFrame, hows: list[str], classifi
         grid = {f"{how}|{kind}": (how, kind) for how in hows for kind in classifiers}
         scored = D.arm_benchmark(train.where(F.col(seed) == s), test.where(F.col(seed) == s), grid, features, trees)
         one = A.macro_weighted(D.evaluate_networks(scored, list(grid), ["network_id"]), ["arm"], "ap", F.col("rows").cast("double")).withColumn(seed, F.lit(s))
+        one = _written(one)  # a row per arm
         out = one if out is None else out.unionByName(one)
     table = A.seed_summary(out, ["arm"], "macro", 0)
     table = table.select(F.split_part("arm", F.lit("|"), F.lit(1)).alias("how"), F.split_part("arm", F.lit("|"), F.lit(2)).alias("classifier"), "mean", "std", "n")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeflow.operators import jobs
+from gaugeflow.operators import detect, jobs
 
 STREAM = ["seed", "network_id", "scenario_id", "sensor_coverage"]
 
@@ -123,3 +123,19 @@ def test_rows_of_unknown_networks_are_scored(spark):
     assert out.columns == [*df.columns, "score__topology"] and out.count() == 60
     by = {r["network_id"]: r["s"] for r in out.groupBy("network_id").agg(F.avg("score__topology").alias("s")).collect()}
     assert by["n1"] > 0.8 > 0.3 > by["n0"] and by["n2"] is not None
+
+
+def test_rows_are_scored_once_for_all_metrics(spark):
+    df = spark.createDataFrame([(f"n{i % 2}", i, float(i % 2 if i % 5 else 1 - i % 2), float(i % 7), i % 2) for i in range(80)], "network_id string, i int, x double, y double, event_label int")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        made.add(1)
+        return v
+
+    test = df.withColumn("x", F.udf(counted, "double").asNondeterministic()("x"))
+    arms = {"plain": ("none", "logistic"), "noise": ("noise", "logistic"), "trees": ("none", "forest")}
+    scored = detect.arm_benchmark(df, test, arms, ["x", "y"], 3)
+    found = detect.evaluate_networks(scored, list(arms), ["network_id"])
+    assert found.collect() == found.collect() and found.count() == 6  # as metrics in ranges read them several times
+    assert made.value == 80
