@@ -13,6 +13,8 @@ from gaugeflow.operators.supersteps import Supersteps
 
 #: Points of a block; pivots at most, whose vectors come to the driver.
 BLOCK, MOST_PIVOTS = 2_000, 1_024
+#: Points whose cells a task decides on together.
+STRIP = 512
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -92,20 +94,24 @@ class PivotIndex:
         return dealt.groupBy("target", "block", "part").applyInPandas(_near(k), f"id {self.kind}, neighbour {self.kind}, distance double")
 
     def _asks(self, bounds: DataFrame) -> DataFrame:
-        """(id, v, target) for the cells beside their own that can hold one of a point's nearest; bound is null without one."""
+        """(id, v, targets): the cells beside its own that can hold one of a point's nearest; bound is null without one.
+
+        A point has one row, whatever the number of cells, and only numbers of cells come out of Python beside it.
+        """
         at, radius = self.pivots, self.radius
 
         def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                d = _distances(np.stack(pdf["v"]).astype(float), at) if len(pdf) else np.zeros((0, len(at)))
-                bound = pdf["bound"].fillna(np.inf).to_numpy(float)
-                may = d - radius[None, :] <= bound[:, None] + 1e-9 * (1 + d)
-                may &= np.isfinite(radius)[None, :] & (pdf["cell"].to_numpy()[:, None] != np.arange(len(at))[None, :])
-                rows, cells = np.nonzero(may)
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows], "target": cells.astype(np.int32)})
+                for start in range(0, len(pdf), STRIP):
+                    part = pdf.iloc[start : start + STRIP]
+                    d = _distances(np.stack(part["v"]).astype(float), at)
+                    bound = part["bound"].fillna(np.inf).to_numpy(float)
+                    may = d - radius[None, :] <= bound[:, None] + 1e-9 * (1 + d)
+                    may &= np.isfinite(radius)[None, :] & (part["cell"].to_numpy()[:, None] != np.arange(len(at))[None, :])
+                    yield pd.DataFrame({"id": part["id"], "v": part["v"], "targets": [np.flatnonzero(m).astype(np.int32) for m in may]})
 
         source = self.cells.join(bounds, "id", "left").select("id", "v", "cell", "bound")
-        return source.mapInPandas(asked, f"id {self.kind}, v array<double>, target int")
+        return source.mapInPandas(asked, f"id {self.kind}, v array<double>, targets array<int>")
 
     def search(self, k: int) -> tuple[DataFrame, DataFrame]:
         """(id, neighbour, distance, rank) of each point's k nearest others, and (compared): pairs whose distance was taken,
@@ -115,7 +121,7 @@ class PivotIndex:
         home = self._dealt(self.cells.select("id", "v", F.col("cell").alias("target")))
         first = self.steps.table(best(self._searched(home, k)).drop("rank"))
         bounds = first.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
-        away = self._dealt(self.steps.table(self._asks(bounds)))
+        away = self._dealt(self.steps.table(self._asks(bounds)).select("id", "v", F.explode("targets").alias("target")))
         sides = lambda df: df.groupBy("target", "block", "part").agg((F.count_if(F.col("side") == 0) * F.count_if(F.col("side") == 1)).alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("compared"))
         return best(first.unionByName(self._searched(away, k))), sides(home).unionAll(sides(away))
 

@@ -53,3 +53,17 @@ def test_one_hot_place_is_dealt_into_blocks(spark, monkeypatch):
 def test_no_points(spark):
     df = spark.createDataFrame([], "id long, vec array<double>")
     assert neighbours.knn_pairs(df, "id", "vec", 3).count() == 0
+
+
+def test_a_point_that_no_cell_can_be_ruled_out_for_has_one_row(spark, monkeypatch):
+    """A row for each cell would hold the point's vector as often as there are cells."""
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    monkeypatch.setattr(neighbours, "STRIP", 7)
+    g = np.random.default_rng(2)
+    rows = list(enumerate(g.normal(size=(200, 30))))
+    index = neighbours.PivotIndex(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "id long, vec array<double>"), "id", "vec")
+    asked = index._asks(index.cells.select("id").selectExpr("id", "CAST(NULL AS DOUBLE) AS bound")).collect()
+    cells = {r["cell"] for r in index.cells.select("cell").distinct().collect()}
+    own = {r["id"]: r["cell"] for r in index.cells.collect()}
+    assert sorted(r["id"] for r in asked) == list(range(200)) and all(set(r["targets"]) == cells - {own[r["id"]]} for r in asked)
+    assert search(spark, rows, 4)[0] == brute(rows, 4)
