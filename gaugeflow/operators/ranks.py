@@ -84,8 +84,9 @@ def at_ranks(ranked: DataFrame, by: list[str], rank: str, hit: list[str], wanted
     payload = [c for c in wanted.columns if c not in by]
     one = ranked.select(*by, "__part", F.col(rank).alias("__pos"), F.lit(1).alias("__what"), F.struct(*hit).alias("__hit"))
     two = asked.select(*by, "__part", F.col(k).alias("__pos"), F.lit(0).alias("__what"), F.struct(*payload).alias("__ask"))
-    ahead = Window.partitionBy(*by, "__part").orderBy("__pos", "__what").rowsBetween(0, Window.unboundedFollowing)
-    both = one.unionByName(two, allowMissingColumns=True).withColumn("__hit", F.first("__hit", ignorenulls=True).over(ahead))
+    # From the end, so that the frame only ever gains rows: one that runs to the end of its range is gone through for each row.
+    so_far = Window.partitionBy(*by, "__part").orderBy(F.desc("__pos"), F.desc("__what")).rowsBetween(Window.unboundedPreceding, 0)
+    both = one.unionByName(two, allowMissingColumns=True).withColumn("__hit", F.last("__hit", ignorenulls=True).over(so_far))
     return both.where("__what = 0").select(*by, "__ask.*", "__hit.*")
 
 

@@ -125,3 +125,12 @@ def test_neighbours_of_equal_points_go_by_id(spark, monkeypatch):
     for i, v in rows:
         near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in rows if j != i)
         assert got[i] == [j for _, j in near[:12]]
+
+
+def test_ranks_are_looked_up_without_frames_that_run_to_the_end(spark):
+    values = spark.range(2_000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"), F.lit(1).alias("c"))
+    ranked = ranks.cumulative(values, ["g"], "v", ["c"], parts=1)
+    wanted = spark.createDataFrame([(g, k) for g in (0, 1) for k in (1, 2, 500, 1_000, 1_001)], "g long, k long")
+    found = ranks.at_ranks(ranked, ["g"], "c_upto", ["v"], wanted, "k")
+    assert {(r["g"], r["k"]): r["v"] for r in found.collect()} == {(g, k): 2.0 * (k - 1) + g for g in (0, 1) for k in (1, 2, 500, 1_000)}
+    assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
