@@ -140,17 +140,21 @@ def symmetric_edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("id").alias("src"), F.col("neighbour").alias("dst")).unionAll(pairs.select("neighbour", "id"))
 
 
-def propagate(features: DataFrame, edges: DataFrame, columns: list[str], rounds: int = 2) -> DataFrame:
-    """(id, columns): degree-normalised averaging over neighbours and oneself, `rounds` times (edges src, dst in both directions).
+def propagate(features: DataFrame, edges: DataFrame, columns: list[str], rounds: int = 2, distinct: bool = True) -> DataFrame:
+    """(id, columns): degree-normalised averaging over neighbours and oneself, `rounds` times (edges src, dst in both directions,
+    made distinct unless the caller has done so).
 
-    The weights are written once, and so is each round's result, so that rounds do not add to one plan.
+    A link's weight is 1 / sqrt(degree of one end * degree of the other), so values are divided by the root of their own
+    point's degree before they go over the links and after: links meet one table of points a round and carry no weight. The
+    links, the degrees and each round's result are written once, so that rounds do not add to one plan.
     """
     steps = Supersteps(features.sparkSession, "propagate")
-    pairs = edges.distinct()
-    loops = steps.table(pairs.unionByName(features.select(F.col("id").alias("src"), F.col("id").alias("dst"))))
-    degree = loops.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("deg"))
-    weighted = steps.table(loops.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("deg").alias("deg2")), "dst").select("src", "dst", (1 / F.sqrt(F.col("deg") * F.col("deg2"))).alias("w")))
-    now = features.select("id", *columns)
+    now = steps.table(features.select("id", *columns))
+    pairs = edges.distinct() if distinct else edges
+    loops = steps.table(pairs.select("src", "dst").unionByName(now.select(F.col("id").alias("src"), F.col("id").alias("dst"))))
+    degree = steps.table(loops.groupBy(F.col("src").alias("id")).agg(F.sqrt(F.count(F.lit(1)).cast("double")).alias("root")))
     for _ in range(rounds):
-        now = steps.table(weighted.join(now, F.col("dst") == F.col("id")).groupBy("src").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns]).withColumnRenamed("src", "id"))
+        sent = now.join(degree, "id").select(F.col("id").alias("dst"), *[(F.col(c) / F.col("root")).alias(c) for c in columns])
+        met = loops.join(sent, "dst").groupBy(F.col("src").alias("id")).agg(*[F.sum(c).alias(c) for c in columns])
+        now = steps.table(met.join(degree, "id").select("id", *[(F.col(c) / F.col("root")).alias(c) for c in columns]))
     return now

@@ -14,7 +14,7 @@ from gaugeflow.plans.joins import NET_CRC
 from gaugeflow.plans.metrics import ap_sql
 from gaugeflow.plans.models import FEATURES, FITTED, _graph, _split
 from gaugeflow.plans.registry import query, r
-from gaugeflow.sources.adapters import KINDS, LONG, RECORDS, STEPS, STREAM, arm_records, edges, records, steps, table
+from gaugeflow.sources.adapters import KINDS, LONG, RECORDS, STEPS, STREAM, arm_records, records, steps, table
 
 SUMMARIES = ["mean", "std", "abs_mean", "max", "min"]
 STREAM_FEATURES = [f"{c}_{s}" for c in ("pressure", "demand", "flow") for s in SUMMARIES] + ["n_steps", "n_sensors"]
@@ -139,6 +139,6 @@ def d8(spark, sf_dir):
 
 @query("n10_topology_scores")
 def n10(spark, sf_dir):
-    nodes, _ = _graph(spark, sf_dir)
-    scored = W.topology_scores(*_split(spark, sf_dir), edges(spark, sf_dir), nodes, ["head", "demand"], FEATURES)
+    nodes, pipes = _graph(spark, sf_dir)
+    scored = W.topology_scores(*_split(spark, sf_dir), pipes, nodes, ["head", "demand"], FEATURES)
     return D.evaluate_networks(scored, ["topology"], ["network_id"])
