@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.supersteps import Supersteps
+
 #: Bytes of input for each range, and ranges of a group at most.
 RANGE_BYTES, MOST_PARTS = 256 << 20, 4_096
 
@@ -90,6 +92,32 @@ def at_ranks(ranked: DataFrame, by: list[str], rank: str, hit: list[str], wanted
     return both.where("__what = 0").select(*by, "__ask.*", "__hit.*")
 
 
+def quantiles(df: DataFrame, by: list[str], values: list[str], fractions: list[float], name: str = "q", parts: int | None = None) -> DataFrame:
+    """(by, value, q): for each of the columns `values` (its name in `value`) and each group the exact quantiles, interpolated
+    linearly as percentile() does it, in the order of `fractions`; null for a group without values.
+
+    Two ranks for each are looked up in counts of distinct values, so that no task holds a group's values. The counts are
+    written once, and so is the result, a row per group and column.
+    """
+    parts = parts_for(df) if parts is None else parts
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("value"), F.col(v).cast("double").alias("__v")) for v in values])).alias("__x")
+    keys = [*by, "value"]
+    long = df.select(*by, each).select(*by, "__x.*")
+    steps = Supersteps(df.sparkSession, "quantiles")
+    counts = steps.table(long.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")))
+    known = counts.where("__v is not null")
+    sizes = known.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(float(f)).alias("__f")) for i, f in enumerate(fractions)])).alias("__x")
+    at = sizes.select(*keys, "__n", each).select(*keys, "__x.__i", ((F.col("__n") - 1) * F.col("__x.__f")).alias("__h"))
+    wanted = at.select(*keys, "__i", "__h", F.explode(F.array(F.floor("__h") + 1, F.ceil("__h") + 1)).alias("__k"))
+    near = at_ranks(cumulative(known, keys, "__v", ["__c"], parts=parts), keys, "__c_upto", ["__v"], wanted, "__k")
+    low, high, past = F.min("__v"), F.max("__v"), F.max("__h") - F.floor(F.max("__h"))
+    one = near.groupBy(*keys, "__i").agg(F.when(past == 0, low).otherwise((1 - past) * low + past * high).alias("__q"))
+    found = one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__q"))), lambda x: x["__q"]).alias(name))
+    names = counts.select(*keys).distinct() if by else df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, values))).alias("value"))
+    return steps.table(names.join(found, keys, "left"))
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str, times: Column | None = None) -> DataFrame:
     """(by, value, name): the average rank of each value among its group's rows, each of which counts `times` times (once)."""
     counts = df.groupBy(*by, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("__c"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.scalar import unit_hash
 from gaugeflow.operators.neighbours import knn_pairs
+from gaugeflow.operators.ranks import quantiles
 from gaugeflow.operators.windows import normal_reference, normalise
 
 
@@ -140,8 +141,7 @@ def adasyn_augment(df: DataFrame, vec: str, k: int = 5, n: int | None = None, sa
 
 def fit_quantile_screen(df: DataFrame, features: list[str], lo: float = 0.01, hi: float = 0.99, margin: float = 0.1) -> DataFrame:
     """(feature, lo, hi, screened): quantiles widened by margin * spread; a spread of 1e-9 or less isn't screened."""
-    q = df.agg(*[F.percentile(f, F.array(F.lit(lo), F.lit(hi))).alias(f) for f in features])
-    each = q.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f)[0].alias("a"), F.col(f)[1].alias("b")) for f in features])).alias("x")).select("x.*")
+    each = quantiles(df, [], features, [lo, hi]).select(F.col("value").alias("feature"), F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
     spread = F.col("b") - F.col("a")
     return each.select("feature", (F.col("a") - margin * spread).alias("lo"), (F.col("b") + margin * spread).alias("hi"), (spread > 1e-9).cast("int").alias("screened"))
 

@@ -134,3 +134,26 @@ def test_ranks_are_looked_up_without_frames_that_run_to_the_end(spark):
     found = ranks.at_ranks(ranked, ["g"], "c_upto", ["v"], wanted, "k")
     assert {(r["g"], r["k"]): r["v"] for r in found.collect()} == {(g, k): 2.0 * (k - 1) + g for g in (0, 1) for k in (1, 2, 500, 1_000)}
     assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_quantiles_equal_percentiles_of_all_values(spark, parts):
+    g = np.random.default_rng(4)
+    rows = [(f"g{i % 3}", float(g.integers(0, 40)) / 7 if i % 5 else None, float(g.normal())) for i in range(1_000)] + [("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    got = {(r["g"], r["value"]): r["q"] for r in ranks.quantiles(df, ["g"], ["a", "b"], [0.0, 0.013, 0.5, 0.99], parts=parts).collect()}
+    assert got.pop(("none", "a")) is None and len(got) == 7
+    for (name, column), q in got.items():
+        values = [r["ab".index(column) + 1] for r in rows if r[0] == name and r["ab".index(column) + 1] is not None]
+        assert np.allclose(q, np.quantile(values, [0.0, 0.013, 0.5, 0.99]), rtol=0, atol=1e-12)
+    whole = {r["value"]: r["q"] for r in ranks.quantiles(df.where("g = 'none'"), [], ["a", "b"], [0.5], parts=parts).collect()}
+    assert whole == {"a": None, "b": [1.0]}
+
+
+def test_bounds_and_histograms_hold_no_values_of_a_group_in_one_task(spark):
+    from gaugeflow.operators import aggregates, detect, sampling
+
+    df = spark.range(100).select(F.lit("N").alias("source"), F.col("id").cast("double").alias("x"), F.lit(0).alias("event_label"))
+    for made in (detect.fit_bounds(df, ["x"]), aggregates.density_histogram(df, "source", "x", "N"), sampling.fit_quantile_screen(df, ["x"])):
+        assert "percentile(" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [round(r["lo"], 9) for r in detect.fit_bounds(df, ["x"]).collect()] == [24.75 - 1.5 * 49.5]
