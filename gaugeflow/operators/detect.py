@@ -31,16 +31,30 @@ def _filled(features: list[str]) -> list:
     return [Imputer(strategy="median", inputCols=features, outputCols=names), VectorAssembler(inputCols=names, outputCol="__v", handleInvalid="keep")]
 
 
-def fit_forest(df: DataFrame, features: list[str], label: str = "event_label", trees: int = 200, seed: int = 42) -> PipelineModel:
+def _weighted(df: DataFrame, features: list[str], label: str, written: bool) -> DataFrame:
+    """The columns of a fit with class_weights(). They are written once unless df is a table already, since imputation, scaling
+    and the classifier each read them all; the counts of labels, a row each, come to the driver."""
+    slim = df.select(label, *features)
+    if not written:
+        slim = Supersteps(df.sparkSession, "fit").table(slim)
+    counts = slim.groupBy(label).agg(F.count(F.lit(1))).collect()
+    total, weight = sum(n for _, n in counts), F.lit(None).cast("double")
+    for value, n in counts:
+        if value is not None:
+            weight = F.when(F.col(label) == value, total / (2 * n)).otherwise(weight)
+    return slim.where(F.col(label).isNotNull()).withColumn("weight", weight)
+
+
+def fit_forest(df: DataFrame, features: list[str], label: str = "event_label", trees: int = 200, seed: int = 42, written: bool = False) -> PipelineModel:
     """Median imputation and a class-balanced random forest."""
     forest = RandomForestClassifier(numTrees=trees, weightCol="weight", labelCol=label, featuresCol="__v", seed=seed)
-    return Pipeline(stages=[*_filled(features), forest]).fit(class_weights(df, label))
+    return Pipeline(stages=[*_filled(features), forest]).fit(_weighted(df, features, label, written))
 
 
-def fit_logistic(df: DataFrame, features: list[str], label: str = "event_label") -> PipelineModel:
+def fit_logistic(df: DataFrame, features: list[str], label: str = "event_label", written: bool = False) -> PipelineModel:
     """Median imputation, scaling and class-balanced logistic regression."""
     scaler = StandardScaler(inputCol="__v", outputCol="__s", withMean=True)
-    return Pipeline(stages=[*_filled(features), scaler, LogisticRegression(weightCol="weight", labelCol=label, featuresCol="__s", regParam=1e-4)]).fit(class_weights(df, label))
+    return Pipeline(stages=[*_filled(features), scaler, LogisticRegression(weightCol="weight", labelCol=label, featuresCol="__s", regParam=1e-4)]).fit(_weighted(df, features, label, written))
 
 
 def score_rows(model: PipelineModel | None, df: DataFrame, arm: str) -> DataFrame:
@@ -207,7 +221,8 @@ def arm_benchmark(train: DataFrame, test: DataFrame, arms: dict[str, tuple[str,
     scores, which every metric reads again.
     """
     steps, out, made = Supersteps(test.sparkSession, "arms"), test, {}
-    train = steps.table(train)
+    if set(how for how, _ in arms.values()) != {"none"}:  # read once otherwise
+        train = steps.table(train)
     for arm, (how, classifier) in arms.items():
         if how not in made:
             data = steps.table(augment(train, how, features).fillna(0.0, subset=features).select("event_label", *features))
@@ -215,7 +230,7 @@ def arm_benchmark(train: DataFrame, test: DataFrame, arms: dict[str, tuple[str,
         data, two = made[how]
         model = None
         if two:
-            model = fit_forest(data, features, trees=trees) if classifier == "forest" else fit_logistic(data, features)
+            model = fit_forest(data, features, trees=trees, written=True) if classifier == "forest" else fit_logistic(data, features, written=True)
         out = score_rows(model, out, arm)
     return steps.table(out)
 

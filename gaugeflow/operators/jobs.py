@@ -168,4 +168,5 @@ def topology_scores(train: DataFrame, test: DataFrame, edges: DataFrame, nodes:
     names = [f"net_{c}" for c in node_columns]
     wide = spread.select("network_id", *[F.col(c).alias(x) for c, x in zip(node_columns, names, strict=True)])
     sides = [x.join(wide, "network_id", "left").fillna(0.0, subset=[*names, *features]) for x in (train, test)]
-    return D.score_rows(D.fit_logistic(sides[0], [*features, *names]), sides[1], "topology").drop(*names)
+    scored = D.score_rows(D.fit_logistic(sides[0], [*features, *names]), sides[1], "topology").drop(*names)
+    return _written(scored)  # metrics and counts read it many times

@@ -8,6 +8,7 @@ from gaugeflow.operators import aggregates as A
 from gaugeflow.operators import detect as D
 from gaugeflow.operators import jobs as W
 from gaugeflow.operators import metrics as M
+from gaugeflow.operators.supersteps import Supersteps
 from gaugeflow.plans.aggregates import PLAUSIBLE, plausible
 from gaugeflow.plans.compare import draws_sql, student_sql
 from gaugeflow.plans.joins import NET_CRC
@@ -134,6 +135,7 @@ def d8(spark, sf_dir):
     base = D.fit_logistic(train, FEATURES)
     sides = [W.triage_frame(D.score_rows(base, x, "base").withColumnRenamed("score__base", "base_score"), train.where("event_label = 0")) for x in (train, test)]
     scored = D.score_rows(D.fit_logistic(sides[0], W.triage_columns(sides[0])), sides[1], "triage")
+    scored = Supersteps(spark, "triage").table(scored.select("network_id", "event_label", "score__triage"))
     return M.ranking_metrics(scored, ["network_id"], score="score__triage").join(A.confusion_free_mean(scored, ["network_id"], "score__triage"), "network_id")
 
 
