@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,10 +148,10 @@ def draws(members: DataFrame, by: list[str], member: str, count: int, salt: str)
 #: How often a member counts in a draw, from sixteen bits of a hash: as often as the bits reach one of these fixed values,
 #: 65,536 times the distribution function of Poisson(1).
 TIMES = (24_109, 48_219, 60_273, 64_291, 65_296, 65_497, 65_530, 65_535)
-#: Draws that one hash decides, rows times draws of an array at most, and of a task at most, about.
-DRAWS, CELLS, TASK_CELLS = 8, 2_000_000, 128_000_000
-#: Members whose hashes are made together.
-MEMBERS = 65_536
+#: Draws that one hash decides, rows times draws of a task, about, and blocks of a group's draws at most.
+DRAWS, TASK_CELLS, BLOCKS = 8, 128_000_000, 8
+#: Members whose times a task remembers, and numbers that are weighed together if a task has 1,000 draws.
+MEMBERS, CELLS = 262_144, 2_000_000
 
 
 def with_draws(df: DataFrame, members: list[str], count: int, salt: str) -> DataFrame:
@@ -173,65 +175,132 @@ def with_draws(df: DataFrame, members: list[str], count: int, salt: str) -> Data
 def drawn_ap(slim: DataFrame, by: list[str], members: list[str], count: int, salt: str) -> DataFrame:
     """(by, b, ap): average precision of each draw over rows that count `rows` times their member's times.
 
-    Groups of a range of the input's size or less are drawn in arrays: a task has one group and one block of draws, as many as
-    make TASK_CELLS with the group's rows, and weighs CELLS numbers at a time. Larger inputs go by with_draws() and ranks in
-    ranges. Both give the same values.
+    A task goes through a group's rows by falling score, a batch at a time, and keeps the sums of one block of draws: memory
+    depends on neither the rows nor the draws. Blocks are as many as make TASK_CELLS with the group's rows, but BLOCKS at most,
+    as each gets the rows anew. with_draws() gives the same values from rows.
     """
-    if parts_for(slim) > 1:
-        weighted = with_draws(slim, members, count, salt)
-        return ranking_metrics(weighted, [*by, "b"], weight=(F.col("rows") * F.col("times")).cast("double")).select(*by, "b", "ap")
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in members])
     rows = slim.select(*by, key.alias("__m"), F.col("score").cast("double").alias("__s"), F.col("event_label").cast("double").alias("__y"), F.col("rows").cast("double").alias("__n"))
     kinds = dict(rows.dtypes)
     hashes = -(-count // DRAWS)
-    blocks = F.least(F.lit(hashes), F.greatest(F.lit(1), F.ceil(F.col("__size") * count / TASK_CELLS))).cast("int")
+    blocks = F.least(F.lit(hashes), F.lit(BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("__size") * count / TASK_CELLS))).cast("int")
     null_safe = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
     sizes = rows.groupBy(*[F.col(c).alias(f"__by_{c}") for c in by]).agg(F.count(F.lit(1)).alias("__size"))
-    dealt = rows.join(sizes, functools.reduce(Column.__and__, null_safe)).withColumn("__blocks", blocks).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    work = dealt.select(*by, "__m", "__s", "__y", "__n", "__blocks", "__block").groupBy(*by, "__block")
-    return work.applyInArrow(_drawn(by, count, salt), ", ".join(f"{c} {kinds[c]}" for c in by) + ", b int, ap double")
+    dealt = rows.join(F.broadcast(sizes), functools.reduce(Column.__and__, null_safe)).withColumn("__blocks", blocks).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    # A number, as Spark would merge tasks of few bytes, which are much work.
+    tasks = max(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")), BLOCKS * parts_for(slim))
+    work = dealt.select(*by, "__m", "__s", "__y", "__n", "__blocks", "__block").repartition(tasks, *by, "__block").sortWithinPartitions(*by, "__block", F.desc("__s"))
+    return work.mapInArrow(_drawn_sorted(by, count, salt), ", ".join(f"{c} {kinds[c]}" for c in by) + ", b int, ap double")
 
 
-def _times(names: pa.Array, salt: str, block: int) -> np.ndarray:
-    """How often each member counts in the DRAWS draws of a block, a row per member."""
-    cuts, found = np.array(TIMES, np.uint16), []
-    for at in range(0, len(names), MEMBERS):
-        digests = b"".join([hashlib.md5(b"%s|%d|%s" % (salt.encode(), block, m)).digest() for m in names.slice(at, MEMBERS).to_pylist()])
-        found.append(np.searchsorted(cuts, np.frombuffer(digests, ">u2").astype(np.uint16), "right").astype(np.int8).reshape(-1, DRAWS))
-    return np.concatenate(found)
+#: Times for each value of sixteen bits.
+LOOKUP = np.searchsorted(np.array(TIMES), np.arange(1 << 16), "right").astype(np.int8)
+
+
+def _times(names: list[bytes], salt: str, hashes: range) -> np.ndarray:
+    """How often each member counts in the draws of the hashes, a row per member."""
+    found = np.empty((len(names), len(hashes) * DRAWS), np.int8)
+    for i, k in enumerate(hashes):
+        start, md5 = b"%s|%d|" % (salt.encode(), k), hashlib.md5
+        found[:, i * DRAWS : (i + 1) * DRAWS] = LOOKUP[np.frombuffer(b"".join([md5(start + m).digest() for m in names]), ">u2")].reshape(-1, DRAWS)
+    return found
+
+
+class _Block:
+    """One block of draws of one group, given its rows by falling score."""
+
+    def __init__(self, count: int, salt: str, number: int, block: int):
+        hashes = -(-count // DRAWS)
+        self.salt, self.hashes = salt, range(hashes * block // number, hashes * (block + 1) // number)
+        wide = len(self.hashes) * DRAWS
+        self.draw, self.count = self.hashes.start * DRAWS + np.arange(wide), count
+        self.places, self.known = {}, np.empty((0, wide), np.int8)  # of the first MEMBERS members
+        self.tp, self.all, self.closed, self.area = (np.zeros(wide) for _ in range(4))
+        self.bad, self.score = np.zeros(wide, bool), None
+
+    def _weights(self, names: list[bytes]) -> np.ndarray:
+        at = np.fromiter((self.places.get(m, -1) for m in names), np.int64, len(names))
+        out = np.empty((len(names), len(self.draw)), np.int8)
+        out[at >= 0] = self.known[at[at >= 0]]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            out[new] = _times([names[i] for i in new], self.salt, self.hashes)
+            room = new[: max(0, MEMBERS - len(self.places))]
+            if len(room):
+                self.places.update(zip((names[i] for i in room), range(len(self.places), len(self.places) + len(room)), strict=True))
+                self.known = np.concatenate([self.known, out[room]])
+        return out
+
+    def _close(self, tp: np.ndarray, every: np.ndarray) -> None:
+        """Adds what ends of equal scores, a row each, gain."""
+        gain = np.diff(tp, axis=0, prepend=self.closed[None, :])
+        gain *= tp
+        gain /= np.maximum(every, 1e-300)
+        self.area += gain.sum(axis=0)
+        self.closed = tp[-1].copy()
+
+    def add(self, names: pa.Array, score: np.ndarray, label: np.ndarray, rows: np.ndarray) -> None:
+        coded = names.dictionary_encode()
+        times, member = self._weights(coded.dictionary.cast(pa.binary()).to_pylist()), coded.indices.to_numpy(zero_copy_only=False)
+        up, bad = rows * label, ~np.isfinite(score)
+        step = max(1, CELLS // 1_000)  # whatever the draws, so that sums don't depend on the blocks
+        for at in range(0, len(score), step):
+            part = slice(at, at + step)
+            s, weight = score[part], times[member[part]]
+            if self.score is not None and self.score != s[0]:
+                self._close(self.tp[None, :], self.all[None, :])
+            tp, every = (np.cumsum(weight * side[part, None], axis=0) + start for side, start in ((up, self.tp), (rows, self.all)))
+            last = np.flatnonzero(s[1:] != s[:-1])
+            if len(last):
+                self._close(tp[last], every[last])
+            if bad[part].any():
+                self.bad |= (weight[bad[part]] > 0).any(axis=0)
+            self.tp, self.all, self.score = tp[-1], every[-1], s[-1]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """(draws, their average precision), NaN for a draw of one class or with a score that is no number."""
+        self._close(self.tp[None, :], self.all[None, :])
+        fits = (self.tp > 0) & (self.all > self.tp) & ~self.bad
+        ap, kept = np.where(fits, self.area / np.maximum(self.tp, 1e-300), np.nan), self.draw < self.count
+        return self.draw[kept], ap[kept]
+
+
+def _drawn_sorted(by: list[str], count: int, salt: str):
+    """The draws of each group and block in batches of rows that are sorted by them and by falling score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, same, block = None, None, None
+
+        def done() -> pa.RecordBatch:
+            draw, ap = block.found()
+            ends = [pa.array(draw, pa.int32()), pa.array(ap, from_pandas=True)]
+            return pa.RecordBatch.from_arrays([pa.array([v] * len(draw), t) for v, t in same] + ends, [*by, "b", "ap"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = [batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in [*by, "__block"]]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
+            for start, end in itertools.pairwise([0, *cuts.tolist(), len(batch)]):
+                part = batch.slice(start, end - start)
+                own = [part.column(c)[0].as_py() for c in [*by, "__block"]]
+                if own != now:
+                    if block is not None:
+                        yield done()
+                    now, same = own, [(part.column(c)[0].as_py(), part.schema.field(c).type) for c in by]
+                    block = _Block(count, salt, part.column("__blocks")[0].as_py(), own[-1])
+                block.add(part.column("__m"), *(part.column(c).to_numpy(zero_copy_only=False) for c in ("__s", "__y", "__n")))
+        if block is not None:
+            yield done()
+
+    return run
 
 
 def _drawn(by: list[str], count: int, salt: str):
-    """Draws of one block of one group. Hashes are made DRAWS draws at a time and forgotten, so that memory depends on the
-    rows only."""
+    """_drawn_sorted() of one group and block that are in one table, in any order."""
 
     def run(table: pa.Table) -> pa.Table:
-        coded = table.column("__m").combine_chunks().dictionary_encode()
-        names, member = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(-table.column("__s").to_numpy(), kind="stable")
-        score, label, rows = (table.column(c).to_numpy()[order] for c in ("__s", "__y", "__n"))
-        member = member[order]
-        bad, last = ~np.isfinite(score), np.flatnonzero(np.append(score[1:] != score[:-1], True))
-        up, down = rows * label, rows * (1 - label)
-        hashes = -(-count // DRAWS)
-        number, block = table.column("__blocks")[0].as_py(), table.column("__block")[0].as_py()
-        ap, draw = [], []
-        for k in range(hashes * block // number, hashes * (block + 1) // number):
-            times = _times(names, salt, k)
-            width = max(1, min(DRAWS, CELLS // len(score)))
-            for at in range(0, DRAWS, width):
-                weight = times[member, at : at + width]
-                tp, fp = (np.cumsum(weight * side[:, None], axis=0)[last] for side in (up, down))
-                gain = np.diff(tp, axis=0, prepend=0)
-                gain *= tp
-                gain /= np.maximum(tp + fp, 1e-300)
-                one = gain.sum(axis=0) / np.maximum(tp[-1], 1e-300)
-                ap.append(np.where((tp[-1] > 0) & (fp[-1] > 0) & ~(weight[bad] > 0).any(axis=0), one, np.nan))
-                draw.append(k * DRAWS + np.arange(at, min(DRAWS, at + width)))
-        found, draws_made = np.concatenate(ap), np.concatenate(draw)
-        found, draws_made = found[draws_made < count], draws_made[draws_made < count]
-        same = {c: pa.array([table.column(c)[0].as_py()] * len(found), table.schema.field(c).type) for c in by}
-        return pa.table({**same, "b": pa.array(draws_made, pa.int32()), "ap": pa.array(found, from_pandas=True)})
+        return pa.Table.from_batches(_drawn_sorted(by, count, salt)(table.sort_by([("__s", "descending")]).to_batches(max_chunksize=MEMBERS)))
 
     return run
 

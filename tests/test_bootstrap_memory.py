@@ -41,3 +41,21 @@ def test_tasks_of_few_cells_equal_rows_weighted_in_sql(spark, monkeypatch):
         got = compare.drawn_ap(slim, ["g"], ["g", "member"], 21, "w").collect()
         assert sorted((r["g"] or "", r["b"]) for r in got) == sorted((k or "", b) for k in (None, "x") for b in range(21))
         assert all(abs(r["ap"] - want[r["g"], r["b"]]) < 1e-9 for r in got)
+
+
+def test_memory_of_a_task_does_not_grow_with_its_rows():
+    g = np.random.default_rng(3)
+
+    def batches(n):
+        for i in range(n):
+            rows, m = 10_000, pa.array([f"one|member{j}" for j in g.integers(0, 900, 10_000)])
+            score = np.sort(g.random(rows).round(4))[::-1] + (n - i)
+            numbers = {"__s": pa.array(score), "__y": pa.array((g.random(rows) < 0.1).astype(float)), "__n": pa.array(np.ones(rows))}
+            yield pa.record_batch({"g": pa.array(["one"] * rows), "__m": m, **numbers, "__blocks": pa.array([1] * rows, pa.int32()), "__block": pa.array([0] * rows, pa.int32())})
+
+    tracemalloc.start()
+    (got,) = compare._drawn_sorted(["g"], 16, "s")(batches(40))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 16 and got.column("ap").null_count == 0
+    assert peak < 12e6  # the scores, labels, members and weights of 400,000 rows take more
