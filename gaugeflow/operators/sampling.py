@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from gaugeflow.functions.scalar import unit_hash
 from gaugeflow.operators.neighbours import knn_pairs
 from gaugeflow.operators.ranks import quantiles
+from gaugeflow.operators.supersteps import Supersteps
 from gaugeflow.operators.windows import normal_reference, normalise
 
+#: Draws of one generator.
+DRAWN = 4_096
+
 
 def place_sensors(sensors: DataFrame, coverage: float, seed: int) -> DataFrame:
     """(network_id, sensor_id): ceil(n * coverage) of each network's sensors, at least one, the same for all its scenarios."""
@@ -70,23 +74,38 @@ def noise_augment(df: DataFrame, features: list[str], multiple: int, scale: floa
     return df.withColumn("is_synthetic", F.lit(0)).unionByName(made)
 
 
+def mixture_draws(ids: np.ndarray, weights: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], seed: int) -> np.ndarray:
+    """A row for each id from a Gaussian mixture of parts (mean, root of the covariance). DRAWN consecutive ids share a
+    generator, so that a row depends on its id only, whatever the batches."""
+    out, upto = np.empty((len(ids), len(parts[0][0]))), np.cumsum(weights) / np.sum(weights)
+    blocks = ids // DRAWN
+    for block in np.unique(blocks):
+        here = np.flatnonzero(blocks == block)
+        g, at = np.random.default_rng((seed, int(block))), ids[here] % DRAWN
+        which, z = np.searchsorted(upto[:-1], g.random(DRAWN), "right")[at], g.standard_normal((DRAWN, out.shape[1]))[at]
+        for k, (mean, root) in enumerate(parts):
+            out[here[which == k]] = mean + z[which == k] @ root.T
+    return out
+
+
 def gmm_augment(df: DataFrame, features: list[str], k: int, n: int, label: str = "event_label", seed: int = 42) -> DataFrame:
-    """Rows with is_synthetic 0, and n drawn from a Gaussian mixture of the positives; other columns are null there."""
+    """Rows with is_synthetic 0, and n drawn from a Gaussian mixture of the positives; other columns are null there.
+
+    The mixture is fitted on the positives' distinct features, each weighted by its count: every iteration reads all of them.
+    """
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
-    fitted = GaussianMixture(k=k, seed=seed, featuresCol="__f").fit(VectorAssembler(inputCols=features, outputCol="__f").transform(df.where(F.col(label) == 1)))
+    counts = df.where(F.col(label) == 1).groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias("__w"))
+    # Sorted, so that the first means are drawn from the same rows in each run.
+    counts = Supersteps(df.sparkSession, "mixture").table(counts.sortWithinPartitions(*features))
+    fitted = GaussianMixture(k=k, seed=seed, featuresCol="__f", weightCol="__w").fit(VectorAssembler(inputCols=features, outputCol="__f").transform(counts))
     weights = np.array(fitted.weights)
     parts = [(np.array(r.mean.toArray()), np.linalg.cholesky(r.cov.toArray() + 1e-9 * np.eye(len(features)))) for r in fitted.gaussiansDF.collect()]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for i in batch["id"]:
-                g = np.random.default_rng((seed, int(i)))
-                mean, root = parts[g.choice(len(parts), p=weights / weights.sum())]
-                rows.append(mean + root @ g.standard_normal(len(mean)))
-            yield pd.DataFrame(np.array(rows).reshape(-1, len(features)), columns=features)
+            yield pd.DataFrame(mixture_draws(batch["id"].to_numpy(), weights, parts, seed), columns=features)
 
     made = df.sparkSession.range(n).mapInPandas(draw, ", ".join(f"`{f}` double" for f in features)).withColumn(label, F.lit(1)).withColumn("is_synthetic", F.lit(1))
     return df.withColumn("is_synthetic", F.lit(0)).unionByName(made, allowMissingColumns=True)
