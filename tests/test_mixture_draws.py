@@ -1,4 +1,4 @@
-"""Draws from a mixture in blocks, and fits on counted rows."""
+"""Draws from a mixture in blocks, fits on counted rows, and noise that is computed once a row."""
 
 import numpy as np
 import pytest
@@ -43,3 +43,13 @@ def test_a_mixture_is_fitted_on_counted_rows(spark, monkeypatch):
     want = np.array([r[1:] for r in one if r[0]])
     assert (made["a"] > 25).mean() == pytest.approx((want[:, 0] > 25).mean(), abs=0.04)
     assert made.loc[made["a"] > 25, "a"].mean() == pytest.approx(want[want[:, 0] > 25, 0].mean(), abs=0.2)
+
+
+def test_screened_noise_is_computed_once(spark):
+    rows = [(int(i % 3 > 0), float(i % 7), None if i % 5 == 0 else float(i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "event_label int, a double, b double")
+    out = sampling.augment(df, "noise", ["a", "b"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" in plan and not [line for line in plan.split("\n") if "Filter" in line and "md5(" in line]
+    made = sampling.noise_augment(df, ["a", "b"], 2).where("is_synthetic = 1")
+    assert made.count() == 120 and made.where("b is null").count() == 2 * sum(r[0] and r[2] is None for r in rows)
