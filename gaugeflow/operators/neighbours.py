@@ -24,6 +24,18 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
+def _sent(x: np.ndarray) -> bytes:
+    """Coordinates as they are written and sent: of half the size where that loses nothing."""
+    with np.errstate(over="ignore"):
+        small = x.astype("<f4")
+    return (small if np.array_equal(small, x, equal_nan=True) else x.astype("<f8")).tobytes()
+
+
+def _read(v: bytes, n: int, width: int) -> np.ndarray:
+    """n rows of what _sent() was given."""
+    return np.frombuffer(v, "<f8" if len(v) == 8 * n * width else "<f4").reshape(n, width).astype(float)
+
+
 def _may(d: np.ndarray, radius: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Which cells may hold something within the bound, by distances to their pivots."""
     return (d - radius <= bound[:, None] + 1e-9 * (1 + d)) & np.isfinite(radius)
@@ -94,10 +106,11 @@ class PivotIndex:
 
         def assigned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                d = _distances(np.stack(pdf["v"]).astype(float), at) if len(pdf) else np.zeros((0, 1))
-                yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
+                x = np.stack(pdf["v"]).astype(float) if len(pdf) else np.zeros((0, at.shape[1]))
+                d = _distances(x, at)
+                yield pdf.assign(v=[_sent(v) for v in x], cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
 
-        self.cells = self.steps.table(base.mapInPandas(assigned, f"id {self.kind}, v array<double>, cell int, far double"))
+        self.cells = self.steps.table(base.mapInPandas(assigned, f"id {self.kind}, v binary, cell int, far double"))
         sizes = self.cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("far").alias("radius")).toPandas()
         self.size, self.radius = np.zeros(len(at), np.int64), np.full(len(at), -np.inf)
         self.size[sizes["cell"]], self.radius[sizes["cell"]] = sizes["size"], sizes["radius"]
@@ -112,7 +125,7 @@ class PivotIndex:
         block = (F.col("start") + F.pmod(F.xxhash64("id"), "blocks")).cast("int").alias("block")
 
         def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids, x, cell = pdf["id"].to_numpy(), np.stack(pdf["v"]).astype(float), int(pdf["cell"].iloc[0])
+            ids, x, cell = pdf["id"].to_numpy(), np.concatenate([_read(v, 1, at.shape[1]) for v in pdf["v"]]), int(pdf["cell"].iloc[0])
             best = _Nearest(ids, x, k)
             best.meet(ids, x, np.arange(len(x)))
             targets = np.zeros(len(at), bool)
@@ -120,7 +133,7 @@ class PivotIndex:
                 targets |= _may(_distances(x[start : start + STRIP], at), radius, best.bound[start : start + STRIP]).any(axis=0)
             targets[cell] = each[cell] > 1
             found = best.found
-            row = {"block": pdf["block"].iloc[0], "cell": cell, "ids": ids, "v": x.tobytes(), "rows": found["row"].to_numpy(np.int32), "who": ids[found["row"].to_numpy(np.int64)]}
+            row = {"block": pdf["block"].iloc[0], "cell": cell, "ids": ids, "v": _sent(x), "rows": found["row"].to_numpy(np.int32), "who": ids[found["row"].to_numpy(np.int64)]}
             row |= {"near": found["neighbour"].to_numpy(), "far": found["distance"].to_numpy(), "targets": np.flatnonzero(targets).astype(np.int32)}
             return pd.DataFrame({c: [v] for c, v in row.items()})
 
@@ -148,10 +161,10 @@ class PivotIndex:
                         if best is not None:
                             yield out(best)
                         found = pd.DataFrame({"row": np.asarray(r.rows, np.int64), "neighbour": r.near, "distance": np.asarray(r.far, float)})
-                        block, best = r.block, _Nearest(np.asarray(r.ids), np.frombuffer(r.v).reshape(len(r.ids), -1), k, found)
+                        block, best = r.block, _Nearest(np.asarray(r.ids), _read(r.v, len(r.ids), at.shape[1]), k, found)
                     d = _distances(best.x, at[r.cell_ : r.cell_ + 1])
                     rows = np.flatnonzero(_may(d, radius[r.cell_ : r.cell_ + 1], best.bound)[:, 0])
-                    best.meet(np.asarray(r.ids_), np.frombuffer(r.v_).reshape(len(r.ids_), -1), rows)
+                    best.meet(np.asarray(r.ids_), _read(r.v_, len(r.ids_), at.shape[1]), rows)
             if best is not None:
                 yield out(best)
 
@@ -159,7 +172,7 @@ class PivotIndex:
         return pairs.select(*columns).mapInPandas(searched, f"id {kind}, neighbour {kind}, distance double")
 
     def _asks(self, bounds: DataFrame) -> DataFrame:
-        """(id, v, targets): the cells beside its own that can hold one of a point's nearest; bound is null without one.
+        """(id, targets): the cells beside its own that can hold one of a point's nearest; bound is null without one.
 
         A point has one row, whatever the number of cells, and only numbers of cells come out of Python beside it.
         """
@@ -169,13 +182,13 @@ class PivotIndex:
             for pdf in frames:
                 for start in range(0, len(pdf), STRIP):
                     part = pdf.iloc[start : start + STRIP]
-                    d = _distances(np.stack(part["v"]).astype(float), at)
+                    d = _distances(np.concatenate([_read(v, 1, at.shape[1]) for v in part["v"]]), at)
                     bound = part["bound"].fillna(np.inf).to_numpy(float)
                     may = _may(d, radius, bound) & (part["cell"].to_numpy()[:, None] != np.arange(len(at))[None, :])
-                    yield pd.DataFrame({"id": part["id"], "v": part["v"], "targets": [np.flatnonzero(m).astype(np.int32) for m in may]})
+                    yield pd.DataFrame({"id": part["id"], "targets": [np.flatnonzero(m).astype(np.int32) for m in may]})
 
         source = self.cells.join(bounds, "id", "left").select("id", "v", "cell", "bound")
-        return source.mapInPandas(asked, f"id {self.kind}, v array<double>, targets array<int>")
+        return source.mapInPandas(asked, f"id {self.kind}, targets array<int>")
 
     def search(self, k: int) -> tuple[DataFrame, DataFrame]:
         """(id, neighbour, distance, rank) of each point's k nearest others, and (compared): pairs whose distance is taken at

@@ -33,3 +33,24 @@ def test_blocks_searched_in_parts_give_the_same(spark, monkeypatch):
     for r in sorted(neighbours.knn_pairs(spark.createDataFrame(rows, "id string, vec array<double>"), "id", "vec", 6).collect(), key=lambda r: (r["id"], r["rank"])):
         got.setdefault(r["id"], []).append(r["neighbour"])
     assert got == brute(rows, 6)
+
+
+def test_coordinates_are_halved_only_where_that_loses_nothing():
+    for x, size in (([[1.5, -2.0]], 4), ([[0.1, 2.0]], 8), ([[float("nan"), 0.25]], 4), ([[1e300, 0.25]], 8)):
+        x = np.array(x)
+        sent = neighbours._sent(x)
+        assert len(sent) == size * x.size and np.array_equal(neighbours._read(sent, 1, 2), x, equal_nan=True)
+
+
+def test_pairs_are_made_once_for_both_directions(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            made.add(len(pdf))
+            yield pdf
+
+    pairs = spark.range(40).selectExpr("id", "id + 1 AS neighbour").mapInPandas(counted, "id long, neighbour long")
+    rows = neighbours.symmetric_edges(pairs).collect()
+    assert sorted((r["src"], r["dst"]) for r in rows) == sorted([(i, i + 1) for i in range(40)] + [(i + 1, i) for i in range(40)])
+    assert made.value == 40
