@@ -5,6 +5,7 @@ from test_betweenness_disk import written
 from test_pivot_index import brute
 
 from gaugeflow.operators import neighbours
+from gaugeflow.operators.sampling import adasyn_augment
 
 
 def test_twice_the_points_without_clusters_shuffle_about_twice_the_bytes(spark, monkeypatch):
@@ -54,3 +55,14 @@ def test_pairs_are_made_once_for_both_directions(spark):
     rows = neighbours.symmetric_edges(pairs).collect()
     assert sorted((r["src"], r["dst"]) for r in rows) == sorted([(i, i + 1) for i in range(40)] + [(i + 1, i) for i in range(40)])
     assert made.value == 40
+
+
+def test_twice_the_points_of_an_augmentation_shuffle_about_twice_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    g, seen = np.random.default_rng(7), []
+    for n in (500, 1000):
+        df = spark.createDataFrame([(i, v, int(i % 3 == 0)) for i, v in enumerate(g.normal(size=(n, 24)).tolist())], "id long, vec array<double>, event_label int")
+        before = written(spark)
+        assert adasyn_augment(df, "vec", 4).groupBy("is_synthetic").count().where("is_synthetic = 0").first()["count"] == n
+        seen.append(written(spark) - before)
+    assert seen[1] < 2.5 * seen[0]
